@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -117,3 +118,30 @@ def rolled(hashes: np.ndarray, width: int) -> np.ndarray:
 
 def signed(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x).view(np.int64)
+
+
+class BitFilter:
+    """A fixed 2 MB of bits that say which keys may be wanted: no false negatives at any number of keys.
+
+    The bits are set on the executors and reach the driver as 2**18 words at most.
+    """
+
+    BITS = 1 << 24
+
+    def __init__(self, wanted: DataFrame, key: str):
+        at = wanted.select(F.pmod(F.xxhash64(key), F.lit(self.BITS)).alias("at"))
+        words_set = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at % 64 AS int)))").alias("bits")).collect()
+        table = np.zeros(self.BITS >> 6, dtype=np.int64)
+        if words_set:
+            table[[r["word"] for r in words_set]] = [r["bits"] for r in words_set]
+        self.shared = wanted.sparkSession.sparkContext.broadcast(table)
+
+    def keep(self, rows: DataFrame, key: str) -> DataFrame:
+        shared = self.shared
+
+        @F.pandas_udf("boolean")
+        def maybe(at: pd.Series) -> pd.Series:
+            a = at.to_numpy()
+            return pd.Series((shared.value[a >> 6] >> (a & 63)) & 1 == 1)
+
+        return rows.where(maybe(F.pmod(F.xxhash64(key), F.lit(self.BITS))))

@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import html_text, quality, sharding
+from quire.llm import html_text, jaccard, lm, quality, sharding
 from quire.llm.common import Scratch, remainder, table
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (remainder("doc_id", 5) != 1).alias("learn"))
+    scored = lm.score(docs, "learn", Scratch(spark, "op3"))
+    return scored.select("doc_id", (remainder("doc_id", 5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").where(remainder("doc_id", 3) != 1).select("doc_id", F.col("quality").alias("label"))
@@ -16,6 +22,11 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return jaccard.similar_groups(docs, Scratch(spark, "op6"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return sharding.digest(sharding.shard(docs, n_shards=16))
@@ -26,5 +37,21 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.withColumn("n_chars", F.length("text").cast("long"))
 
 
-QUERIES = {f.__name__: f for f in (op5_quality_classifier, op9_sharding, op10_html_extraction)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op3_lm_scoring, op5_quality_classifier, op6_ngram_jaccard_join, op9_sharding, op10_html_extraction)}
+_WORDS = """list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\\x20\\x09-\\x0D]+'), x -> x <> '')"""
+
+SQL = {
+    "op6_ngram_jaccard_join": f"""
+WITH RECURSIVE
+w AS (SELECT doc_id, {_WORDS} AS words FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+      ELSE list_transform(range(1, len(words) - 3), i -> array_to_string(words[i:i + 4], ' ')) END) AS shingle FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+met AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS both FROM s a JOIN s b USING (shingle) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM met JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * both >= 75 * (p.n + q.n - both)),
+reach AS (SELECT x AS origin, y AS node FROM links UNION SELECT origin, y FROM reach JOIN links ON node = x),
+low AS (SELECT origin, min(node) AS least FROM reach GROUP BY origin)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(low.least, d.doc_id)) AS component_id
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN low ON low.origin = d.doc_id""",
+}
