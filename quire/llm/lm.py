@@ -104,7 +104,7 @@ def score(
     scratch: Scratch,
     text: str = "text",
     order: int = 2,
-    strength: float = 8.0,
+    strength: float = 128.0,
     chunk_bytes: int = 16 << 20,
 ) -> DataFrame:
     """`docs` without its text and `learn` column, with n_tokens, n_known, train_tokens, base_score and score.

@@ -39,17 +39,17 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op3_lm_scoring, op5_quality_classifier, op6_ngram_jaccard_join, op9_sharding, op10_html_extraction)}
 _WORDS = """list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-    '[\\x20\\x09-\\x0D]+'), x -> x <> '')"""
+    '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"""
 
 SQL = {
     "op6_ngram_jaccard_join": f"""
 WITH RECURSIVE
 w AS (SELECT doc_id, {_WORDS} AS words FROM documents),
 s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
-      ELSE list_transform(range(1, len(words) - 3), i -> array_to_string(words[i:i + 4], ' ')) END) AS shingle FROM w),
+      ELSE list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' ')) END) AS shingle FROM w),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
-met AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS both FROM s a JOIN s b USING (shingle) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
-links AS (SELECT x, y FROM met JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * both >= 75 * (p.n + q.n - both)),
+met AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n_common FROM s a JOIN s b USING (shingle) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM met JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * n_common >= 75 * (p.n + q.n - n_common)),
 reach AS (SELECT x AS origin, y AS node FROM links UNION SELECT origin, y FROM reach JOIN links ON node = x),
 low AS (SELECT origin, min(node) AS least FROM reach GROUP BY origin)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(low.least, d.doc_id)) AS component_id
