@@ -31,11 +31,16 @@ class Scratch:
     """Tables written to the shared folder, which cut the lineage and outlive lost executors.
 
     Each scratch has a folder of its own. `drop` removes a table that is no longer read; what is
-    left goes when the driver ends, as a returned DataFrame may still read it.
+    left goes when the driver ends, as a returned DataFrame may still read it. As rows hold whole texts,
+    the session's Arrow batches are held to `BATCH_ROWS` rows.
     """
 
+    BATCH_ROWS = 1000
+
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
+        if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > self.BATCH_ROWS:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", self.BATCH_ROWS)
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
         atexit.register(self.close)
 
@@ -70,32 +75,80 @@ def remainder(key: str, modulus: int):
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-def words(text: str | None) -> list[bytes]:
-    """Words `[^\\x20\\x09-\\x0D]+` with A-Z in lower case: bytes.lower and bytes.split know ASCII only."""
-    return text.encode("utf-8", "surrogatepass").lower().split() if text else []
+class Digests(dict):
+    """64-bit hashes of tokens, with a bounded memory of those seen."""
+
+    LIMIT = 250_000
+
+    def __missing__(self, token: bytes) -> int:
+        value = self[token] = xxhash.xxh3_64_intdigest(token)
+        return value
+
+    def of(self, tokens: list[bytes]) -> np.ndarray:
+        if len(self) > self.LIMIT:
+            self.clear()
+        return np.fromiter(map(self.__getitem__, tokens), dtype=np.uint64, count=len(tokens))
 
 
-class WordHashes:
-    """64-bit hashes of words, with a bounded memory of those seen."""
+_RNG = np.random.default_rng(0x517E)
+_BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
+_PIECE = 1 << 17
+_SPACE = np.zeros(256, dtype=bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_VALUE = _RNG.integers(1, 1 << 64, size=256, dtype=np.uint64, endpoint=False)
+_VALUE[65:91] = _VALUE[97:123]  # A-Z as a-z
+_VALUE[_SPACE] = 0
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.ones(n, dtype=np.uint64)
+    done, step = 1, base
+    with np.errstate(over="ignore"):
+        while done < n:
+            take = min(done, n - done)
+            out[done : done + take] = out[:take] * np.uint64(step)
+            done, step = done * 2, step * step % (1 << 64)
+    return out
 
-    def __init__(self, limit: int = 1_000_000):
-        self.known: dict[bytes, int] = {}
-        self.limit = limit
 
-    def __call__(self, tokens: list[bytes]) -> np.ndarray:
-        if len(self.known) > self.limit:
-            self.known.clear()
-        known, digest = self.known, xxhash.xxh3_64_intdigest
-        out = [known.get(t) for t in tokens]
-        if None in out:
-            for i, h in enumerate(out):
-                if h is None:
-                    t = tokens[i]
-                    h = known.get(t)
-                    if h is None:
-                        h = known[t] = digest(t)
-                    out[i] = h
-        return np.array(out, dtype=np.uint64)
+_UP = _powers(_BASE, _PIECE + 1)
+_DOWN = _powers(pow(_BASE, -1, 1 << 64), _PIECE + 1)
+
+
+def word_hashes(text: str | None) -> np.ndarray:
+    """64-bit hashes of the words `[^\x20\x09-\x0D]+` of a text, A-Z in lower case, in order.
+
+    A word's hash is a polynomial in its bytes modulo 2**64, mixed: differences of prefix sums give those of
+    all words at once. Long texts go in pieces that end between words.
+    """
+    if not text:
+        return np.zeros(0, dtype=np.uint64)
+    codes = np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8)
+    if len(codes) <= _PIECE:
+        return _hash_piece(codes, _UP, _DOWN)
+    out, at = [], 0
+    while at < len(codes):
+        end = min(at + _PIECE, len(codes))
+        if end < len(codes):
+            gaps = np.flatnonzero(_SPACE[codes[at:end]])
+            if len(gaps):
+                end = at + int(gaps[-1]) + 1
+            else:  # one word fills the piece: take it whole
+                while end < len(codes) and not _SPACE[codes[end]]:
+                    end = min(end + _PIECE, len(codes)) if not _SPACE[codes[end : end + _PIECE]].any() else end + int(np.argmax(_SPACE[codes[end : end + _PIECE]]))
+        size = end - at + 1
+        out.append(_hash_piece(codes[at:end], *((_UP, _DOWN) if size <= len(_UP) else (_powers(_BASE, size), _powers(pow(_BASE, -1, 1 << 64), size)))))
+        at = end
+    return np.concatenate(out)
+
+
+def _hash_piece(codes: np.ndarray, up: np.ndarray, down: np.ndarray) -> np.ndarray:
+    inside = np.concatenate([[False], ~_SPACE[codes], [False]])
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    with np.errstate(over="ignore"):
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_VALUE[codes] * up[: len(codes)])])
+        return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -121,27 +174,27 @@ def signed(x: np.ndarray) -> np.ndarray:
 
 
 class BitFilter:
-    """A fixed 2 MB of bits that say which keys may be wanted: no false negatives at any number of keys.
+    """A fixed number of bits that say which keys may be wanted: no false negatives at any number of keys.
 
-    The bits are set on the executors and reach the driver as 2**18 words at most.
+    The bits are set on the executors and reach the driver as `bits` / 64 words at most (2 to 8 MB).
     """
 
-    BITS = 1 << 24
+    def __init__(self, wanted: DataFrame, key: str, bits: int = 1 << 24, hashed: bool = False):
+        """`hashed`: the key is itself a 64-bit hash."""
+        self.bits = bits
+        at = wanted.select(F.pmod(F.col(key) if hashed else F.xxhash64(key), F.lit(bits)).alias("at"))
+        set_words = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at % 64 AS int)))").alias("bits")).toPandas()
+        found = np.zeros(bits >> 6, dtype=np.int64)
+        found[set_words["word"].to_numpy(dtype=np.int64)] = set_words["bits"].to_numpy(dtype=np.int64)
+        self.shared = wanted.sparkSession.sparkContext.broadcast(found)
 
-    def __init__(self, wanted: DataFrame, key: str):
-        at = wanted.select(F.pmod(F.xxhash64(key), F.lit(self.BITS)).alias("at"))
-        words_set = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at % 64 AS int)))").alias("bits")).collect()
-        table = np.zeros(self.BITS >> 6, dtype=np.int64)
-        if words_set:
-            table[[r["word"] for r in words_set]] = [r["bits"] for r in words_set]
-        self.shared = wanted.sparkSession.sparkContext.broadcast(table)
+    def maybe(self, hashes: np.ndarray) -> np.ndarray:
+        at = hashes & (self.bits - 1)
+        return (self.shared.value[at >> 6] >> (at & 63)) & 1 == 1
 
     def keep(self, rows: DataFrame, key: str) -> DataFrame:
-        shared = self.shared
-
         @F.pandas_udf("boolean")
-        def maybe(at: pd.Series) -> pd.Series:
-            a = at.to_numpy()
-            return pd.Series((shared.value[a >> 6] >> (a & 63)) & 1 == 1)
+        def wanted(hashes: pd.Series) -> pd.Series:
+            return pd.Series(self.maybe(hashes.to_numpy(dtype=np.int64)))
 
-        return rows.where(maybe(F.pmod(F.xxhash64(key), F.lit(self.BITS))))
+        return rows.where(wanted(F.xxhash64(key)))

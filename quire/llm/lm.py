@@ -2,35 +2,21 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
-import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import Scratch, WordHashes, mix, words
+from quire.llm.chunks import bucket_edges, n_buckets, opened, packed, spread, spread_sorted, squeeze, squeeze_sorted, text_bytes
+from quire.llm.common import Scratch, mix, word_hashes
 
 START, END = np.uint64(0x5CA1AB1E0DDBA11), np.uint64(0xE4D0F7E47E4D0F7E)
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _squeeze(values: np.ndarray) -> bytes:
-    """Integers as byte planes: the high planes are nearly all zero."""
-    planes = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T)
-    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
-
-
-def _spread(blob: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), dtype=np.uint8).reshape(8, -1)
-    return np.ascontiguousarray(planes.T).view("<u8").reshape(-1)
-
-
 class Grams:
     """The distinct n-grams of a chunk of texts, and which of them ends at each token.
 
@@ -38,16 +24,15 @@ class Grams:
     at a word or END within one text; `at[k][i]` is the place there of the one that ends at token i, -1 if none.
     """
 
-    def __init__(self, texts: list[str | None], order: int, hasher: WordHashes):
-        tokens = [words(t) for t in texts]
-        lengths = np.array([len(t) for t in tokens], dtype=np.int64)
+    def __init__(self, texts: list[str | None], order: int):
+        hashes = [word_hashes(t) for t in texts]
+        lengths = np.array([len(t) for t in hashes], dtype=np.int64)
         self.ends = np.cumsum(lengths + 2)  # one past each text's END
         self.starts = self.ends - lengths - 2
-        flat = hasher([w for t in tokens for w in t])
         h = np.empty(int(self.ends[-1]) if len(texts) else 0, dtype=np.uint64)
         inside = np.ones(len(h), dtype=bool)
         inside[self.starts], inside[self.ends - 1] = False, False
-        h[inside] = flat
+        h[inside] = np.concatenate(hashes) if hashes else 0
         h[self.starts], h[self.ends - 1] = START, END
         depth = np.arange(len(h)) - np.repeat(self.starts, lengths + 2)
         self.sorted, self.at = [], []
@@ -71,30 +56,26 @@ class Grams:
         return [np.bincount(at[taught & (at >= 0)], minlength=len(s)) for at, s in zip(self.at, self.sorted, strict=True)]
 
 
-def _bounds(n_buckets: int) -> np.ndarray:
-    """First hash of each bucket but the first: equal ranges of the hash space."""
-    return np.array([(b << 64) // n_buckets for b in range(1, n_buckets)], dtype=np.uint64)
+def traverse(known: list[bool], arcs: list[list], falls: list[list]) -> float:
+    """One left-to-right walk over a text's tokens; START has set the first state.
 
-
-def traverse(counts: list[np.ndarray], first: int, end: int, arcs: list[list], falls: list[list], order: int) -> float:
-    """One left-to-right walk over tokens first..end-1 (the START before them sets the first state).
-
-    `arcs[k][i]` is the weight of the arc by token i out of the state of k words, None if there is none;
+    `arcs[k][i]` is the weight of the arc by token i out of the state of k words, nan if there is none;
     `falls[k][i]` is the weight of that state's failure arc. The state is the number of words of history
-    that the automaton still holds.
+    that the automaton still holds; after a word that it does not know that is none.
     """
-    total, state, longest = 0.0, min(1, order - 1), order - 1
-    for i in range(first, end):
+    longest = len(arcs) - 1
+    total, state = 0.0, min(1, longest)
+    for i in range(len(known)):
         weight = arcs[state][i]
-        while weight is None:
+        while weight != weight:
             total += falls[state][i]
             state -= 1
             weight = arcs[state][i]
         total += weight
-        if state < longest:
-            state += 1
-        if counts[0][i] == 0:
+        if not known[i]:
             state = 0
+        elif state < longest:
+            state += 1
     return total
 
 
@@ -105,7 +86,7 @@ def score(
     text: str = "text",
     order: int = 2,
     strength: float = 128.0,
-    chunk_bytes: int = 16 << 20,
+    chunk_bytes: int = 8 << 20,
 ) -> DataFrame:
     """`docs` without its text and `learn` column, with n_tokens, n_known, train_tokens, base_score and score.
 
@@ -126,62 +107,31 @@ def score(
     """
     made = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
     rows = docs.drop(*made).withColumn(learn, F.coalesce(F.col(learn), F.lit(False)))
-    size = rows.agg(F.sum(F.coalesce(F.octet_length(text), F.lit(0)) + 1)).first()[0] or 1
-    n_buckets = max(1, math.ceil(size / chunk_bytes))
-    edges = _bounds(n_buckets)
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, held_bytes, n, part = [], 0, 0, TaskContext.get().partitionId()
-
-        def chunk() -> pa.RecordBatch:
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-                for b in held:
-                    out.write_batch(b)
-            return pa.RecordBatch.from_pydict({"chunk": pa.array([(part << 24) + n], pa.int64()), "packed": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
-
-        for batch in batches:
-            at = 0
-            while at < batch.num_rows:
-                sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(names.index(text)).slice(at)), 0).to_numpy(zero_copy_only=False))
-                take = max(1, int(np.searchsorted(sizes, chunk_bytes - held_bytes, side="right")))
-                piece = batch.slice(at, take)
-                held.append(piece)
-                held_bytes += int(sizes[piece.num_rows - 1])
-                at += piece.num_rows
-                if held_bytes >= chunk_bytes or at < batch.num_rows:
-                    yield chunk()
-                    held, held_bytes, n = [], 0, n + 1
-        if held:
-            yield chunk()
-
-    names = rows.columns
-    chunks = scratch.save(rows.mapInArrow(pack, "chunk long, packed binary"), "chunks")
-
-    def opened(blob: bytes) -> pa.Table:
-        return pa.ipc.open_stream(blob).read_all()
+    size = text_bytes(rows, text)
+    n_parts = n_buckets(size, chunk_bytes)
+    edges = bucket_edges(n_parts)
+    chunks = scratch.save(packed(rows, text, chunk_bytes), "chunks")
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hasher = WordHashes()
         for pdf in batches:
             for chunk, blob in zip(pdf["chunk"], pdf["packed"], strict=True):
                 found = opened(blob)
-                grams = Grams(found.column(text).to_pylist(), order, hasher)
+                grams = Grams(found.column(text).to_pylist(), order)
                 out = []
                 for k, (h, c) in enumerate(zip(grams.sorted, grams.counts(found.column(learn).to_numpy()), strict=True)):
                     cuts = [0, *np.searchsorted(h, edges), len(h)]
-                    for b in range(n_buckets):
+                    for b in range(n_parts):
                         i, j = cuts[b], cuts[b + 1]
                         if j > i:
-                            out.append((k, b, chunk, _squeeze(np.diff(h[i:j], prepend=np.uint64(0))), _squeeze(c[i:j])))
+                            out.append((k, b, chunk, squeeze_sorted(h[i:j]), squeeze(c[i:j])))
                 yield pd.DataFrame(out, columns=["k", "bucket", "chunk", "hashes", "counts"])
 
     def answer(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        hashes = [np.cumsum(_spread(b), dtype=np.uint64) for b in pdf["hashes"]]
+        hashes = [spread_sorted(b) for b in pdf["hashes"]]
         distinct, place = np.unique(np.concatenate(hashes), return_inverse=True)
-        total = np.bincount(place, weights=np.concatenate([_spread(b) for b in pdf["counts"]]).astype(np.float64)).astype(np.int64)
+        total = np.bincount(place, weights=np.concatenate([spread(b) for b in pdf["counts"]]).astype(np.float64)).astype(np.int64)
         back = np.split(total[place], np.cumsum([len(h) for h in hashes])[:-1])
-        rows = [(c, key[0], key[1], _squeeze(b), 0, 0) for c, b in zip(pdf["chunk"], back, strict=True)]
+        rows = [(c, key[0], key[1], squeeze(b), 0, 0) for c, b in zip(pdf["chunk"], back, strict=True)]
         rows.append((-1, key[0], key[1], b"", int(total.sum()), int((total > 0).sum())))
         return pd.DataFrame(rows, columns=["chunk", "k", "bucket", "counts", "n", "v"])
 
@@ -190,34 +140,37 @@ def score(
     n_train, vocabulary = (x or 0 for x in answers.where("chunk = -1 AND k = 0").agg(F.sum("n"), F.sum("v")).first())
     rest = [f for f in rows.schema if f.name not in (text, learn)]
 
-    def walk(_: tuple, packed: pd.DataFrame, counted: pd.DataFrame) -> pd.DataFrame:
-        hasher, out = WordHashes(), []
+    def walk(_: tuple, held: pd.DataFrame, counted: pd.DataFrame) -> pd.DataFrame:
+        out = []
         counted = counted.sort_values(["k", "bucket"])
-        for blob in packed["packed"]:
+        for blob in held["packed"]:
             found = opened(blob)
-            grams = Grams(found.column(text).to_pylist(), order, hasher)
+            grams = Grams(found.column(text).to_pylist(), order)
             seen = []
             for k in range(order):
-                c = [_spread(b) for b in counted["counts"][counted["k"] == k]]
+                c = [spread(b) for b in counted["counts"][counted["k"] == k]]
                 c = np.append(np.concatenate(c) if c else np.zeros(0, np.uint64), 0).astype(np.int64)
                 seen.append(c[grams.at[k]])
             ends = seen[0][grams.ends - 1]  # END is in every learnt text, as START is
             seen[0][grams.starts] = ends
             base = (seen[0] + 0.5) / (n_train + 0.5 * (vocabulary + 1))
-            arcs, falls, p = [np.log10(base).tolist()], [[]], base
+            arcs, falls, p = [np.log10(base)], [base], base  # the empty state never fails
             for k in range(1, order):
                 context = np.concatenate([[0], seen[k - 1][:-1]])
                 q = (seen[k] + strength * p) / (context + strength)
-                arcs.append(np.where(seen[k] > 0, np.log10(q), None).tolist())
-                falls.append(np.log10(strength / (context + strength)).tolist())
+                arcs.append(np.where(seen[k] > 0, np.log10(q), np.nan))
+                falls.append(np.log10(strength / (context + strength)))
                 p = np.where(seen[k] > 0, q, strength / (context + strength) * p)
-            counts = [seen[0].tolist()]
-            known = np.concatenate([[0], np.cumsum(seen[0] > 0)])
+            known = seen[0] > 0
+            n_known = np.concatenate([[0], np.cumsum(known)])
             sums = [float(np.log10(base[s + 1 : e]).sum()) for s, e in zip(grams.starts, grams.ends, strict=True)]
-            scores = [traverse(counts, s + 1, e, arcs, falls, order) for s, e in zip(grams.starts.tolist(), grams.ends.tolist(), strict=True)]
+            scores = [
+                traverse(known[s + 1 : e].tolist(), [a[s + 1 : e].tolist() for a in arcs], [f[s + 1 : e].tolist() for f in falls])
+                for s, e in zip(grams.starts, grams.ends, strict=True)
+            ]
             table = found.select([f.name for f in rest])
             table = table.append_column("n_tokens", pa.array(grams.ends - grams.starts - 1))
-            table = table.append_column("n_known", pa.array(known[grams.ends] - known[grams.starts + 1]))
+            table = table.append_column("n_known", pa.array(n_known[grams.ends] - n_known[grams.starts + 1]))
             table = table.append_column("train_tokens", pa.array(np.full(len(table), n_train, dtype=np.int64)))
             table = table.append_column("base_score", pa.array(sums, pa.float64()))
             out.append(table.append_column("score", pa.array(scores, pa.float64())))
