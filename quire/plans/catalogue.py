@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-FLAGSHIP = ""
+from quire.plans import document_queries, text_queries  # noqa: F401  they register themselves
+from quire.plans.registry import QUERIES, SQL
+
+FLAGSHIP = "language_report"
+
+__all__ = ["FLAGSHIP", "QUERIES", "SQL"]
