@@ -2,32 +2,33 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
-import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import BitFilter, Scratch, WordHashes, mix, rolled, signed, words
+from quire.llm.chunks import bucket_edges, n_buckets, opened, packed, spread, spread_sorted, squeeze, squeeze_sorted, text_bytes
+from quire.llm.common import Scratch, mix, rolled, signed, word_hashes
 from quire.llm.components import connected_components
 
-#: Cells of the frequency sketch: one size at any input, 16 MB where it is broadcast.
-CELLS = 1 << 22
 #: Longest multi-match requirement, and the weight of a verification against reading a posting.
 LONGEST, VERIFY = 4, 8.0
-STAR_ROUNDS = 6
+STAR_ROUNDS = 2
+#: A shingle is paired by join while that gives at most so many pairs a posting; beyond, its sets are compared in blocks.
+PAIRS, BLOCK = 16, 256
 
 
-def shingle_set(text: str | None, width: int, hasher: WordHashes) -> np.ndarray:
+def shingle_set(text: str | None, width: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of a text's shingles; fewer words than a shingle make one shingle."""
-    tokens = words(text)
-    if not tokens:
-        return np.zeros(0, dtype=np.uint64)
-    return np.unique(rolled(hasher(tokens), min(width, len(tokens))))
+    hashes = word_hashes(text)
+    if not len(hashes):
+        return hashes
+    found = np.sort(rolled(hashes, min(width, len(hashes))))
+    return found[np.concatenate([[True], found[1:] != found[:-1]])]
 
 
 def set_id(shingles: np.ndarray) -> int:
@@ -35,228 +36,192 @@ def set_id(shingles: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(shingles.tobytes()) - (1 << 63)
 
 
-def _squeeze(cells: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(cells.view(np.uint8).reshape(-1, 4).T).tobytes())
+def prefix(shingles: np.ndarray, frequency: np.ndarray, num: int, den: int) -> tuple[np.ndarray, int]:
+    """(places of the set's prefix, the number of shared prefix shingles that it requires).
 
-
-def _spread(blob: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), dtype=np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view(np.uint32).reshape(-1)
-
-
-def prefix(shingles: np.ndarray, sketch: np.ndarray, num: int, den: int) -> tuple[np.ndarray, int]:
-    """(the set's prefix, the number of shared prefix shingles that it requires).
-
-    Shingles are ordered by sketched frequency, then hash. Two sets of Jaccard at least num/den share l
-    shingles of their first n - ceil(n num/den) + l. The l of least estimated cost is taken: postings read
-    plus verifications, of which there are at most postings / l.
+    Shingles are ordered by frequency, then hash. Two sets of Jaccard at least num/den share l shingles of their first
+    n - ceil(n num/den) + l, and the smaller of two requirements holds for both. The l of least estimated cost is
+    taken: postings read plus verifications, of which there are at most postings / l.
     """
     n = len(shingles)
-    frequency = sketch[(mix(shingles) & np.uint64(CELLS - 1)).astype(np.int64)]
     order = np.lexsort((shingles, frequency))
     need = -(-n * num // den)
     choices = np.arange(1, min(LONGEST, need) + 1)
     lengths = n - need + choices
-    reads = np.cumsum(np.maximum(frequency[order].astype(np.float64) - 1, 0))[lengths - 1]
+    reads = np.cumsum(frequency[order].astype(np.float64) - 1)[lengths - 1]
     best = int(np.argmin(reads * (1 + VERIFY / choices)))
-    return shingles[order[: lengths[best]]], int(choices[best])
+    return order[: lengths[best]], int(choices[best])
 
 
-def _sketch(docs: DataFrame, key: str, text: str, width: int, scratch: Scratch, label: str) -> tuple[DataFrame, np.ndarray]:
-    """(one row (key, n, sid) a document, how often each cell's shingles occur in documents)."""
+def _sets(docs: DataFrame, key: str, text: str, width: int, num: int, den: int, scratch: Scratch, label: str, chunk_bytes: int) -> DataFrame:
+    """A row (id, chunk, n, sid, l, head, shingles) for every document.
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hasher, cells = WordHashes(), np.zeros(CELLS, dtype=np.uint32)
-        for pdf in batches:
-            out = []
-            for t in pdf[text]:
-                s = shingle_set(t, width, hasher)
-                np.add.at(cells, (mix(s) & np.uint64(CELLS - 1)).astype(np.int64), np.uint32(1))
-                out.append((len(s), set_id(s)))
-            n, sid = zip(*out, strict=True) if out else ((), ())
-            yield pd.DataFrame({"id": pdf[key].astype("Int64"), "n": n, "sid": sid, "part": None, "cells": None})
-        yield pd.DataFrame({"id": [None], "n": [None], "sid": [None], "part": [TaskContext.get().partitionId()], "cells": [_squeeze(cells)]})
-
-    def add(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(CELLS, dtype=np.uint32)
-        for blob in pdf["cells"]:
-            total += _spread(blob)
-        return pd.DataFrame({"part": [group[0]], "cells": [_squeeze(total)]})
-
-    seen = scratch.save(docs.select(key, text).mapInPandas(read, "id long, n long, sid long, part long, cells binary"), f"{label}-sets")
-    sums, left = seen.where("part IS NOT NULL").select("part", "cells"), seen.agg(F.max("part")).first()[0] or 0
-    while left > 0:  # fan-in 16, so the driver gets one sketch
-        left = left // 16
-        sums = sums.groupBy(F.floor(F.col("part") / 16).alias("part")).applyInPandas(add, "part long, cells binary")
-    got = sums.collect()
-    return seen.where("part IS NULL").select("id", "n", "sid"), _spread(got[0]["cells"]) if got else np.zeros(CELLS, dtype=np.uint32)
-
-
-def _postings(docs: DataFrame, text: str, width: int, sketch: np.ndarray, num: int, den: int) -> DataFrame:
-    """(h, sid, n, l, p, lead) for every prefix shingle h that at least two sets have; lead: the smallest such sid.
-
-    One shuffle by h. A partition's sorted rows are read as a stream, so a frequent shingle needs no memory;
-    a set's copies within one input split send its prefix once.
+    head: its prefix shingles that occur in other sets too; null, with l and shingles, if they are fewer than l, which rules out
+    any link, or if the chunk has the set already.
+
+    Frequencies are counted over all documents by shortened hashes (13 bits more than the corpus has shingles, so that few share
+    one): each chunk sends its distinct ones to buckets of the hash space, which answer with their sums. A shared short hash
+    only makes a shingle look more frequent, to all sets alike.
     """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(sketch)  # CELLS * 4 bytes, whatever the input
+    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
+    size = text_bytes(rows, "text")
+    bits = int(np.clip(math.ceil(math.log2(size)) + 11, 32, 64))
+    drop = np.uint64(64 - bits)
+    n_parts = n_buckets(size, chunk_bytes)
+    edges = bucket_edges(n_parts, bits)
+    chunks = scratch.save(packed(rows, "text", chunk_bytes), f"{label}-chunks")
+
+    def built(blob: bytes) -> tuple[list, list[np.ndarray], list[int], np.ndarray]:
+        """ids, sets, names and which documents are the first of their set in the chunk."""
+        found = opened(blob)
+        sets = [shingle_set(t, width) for t in found.column("text").to_pylist()]
+        names = [set_id(s) for s in sets]
+        fresh = np.zeros(len(names), dtype=bool)
+        fresh[np.unique(np.array(names, dtype=np.int64), return_index=True)[1]] = True
+        return found.column("id").to_pylist(), sets, names, fresh
+
+    def short(sets: list[np.ndarray], fresh: np.ndarray) -> np.ndarray:
+        kept = [s for s, f in zip(sets, fresh, strict=True) if f]
+        return mix(np.concatenate(kept)) >> drop
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hasher, sent, table = WordHashes(), set(), shared.value
-        for pdf in batches:
-            out: list[tuple] = []
-            for t in pdf[text]:
-                s = shingle_set(t, width, hasher)
-                if not len(s):
-                    continue
-                sid = set_id(s)
-                if sid in sent:
-                    continue
-                if len(sent) > 1_000_000:
-                    sent.clear()
-                sent.add(sid)
-                head, need = prefix(s, table, num, den)
-                out.append((signed(head), sid, len(s), need))
-            if out:
-                sizes = [len(o[0]) for o in out]
-                columns = {"h": np.concatenate([o[0] for o in out])}
-                columns |= {name: np.repeat(np.array([o[k] for o in out], dtype=kind), sizes) for k, name, kind in ((1, "sid", np.int64), (2, "n", np.int32), (3, "l", np.int8))}
-                yield pd.DataFrame(columns)
-
-    def runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, before, lead = None, None, 0  # the row held back, the h before it, the lead of its h
         for pdf in batches:
-            if not len(pdf):
-                continue
-            pdf = pd.concat([last, pdf]) if last is not None else pdf
-            h, sid = pdf["h"].to_numpy(), pdf["sid"].to_numpy()
-            first = np.append(True, h[1:] != h[:-1])
-            if last is not None and before is not None and len(h) and h[0] == before:
-                first[0] = False
-            again = np.append(False, (h[1:] == h[:-1]) & (sid[1:] == sid[:-1]))
-            start = np.maximum.accumulate(np.where(first, np.arange(len(h)), -1))
-            leads = np.where(start >= 0, sid[np.maximum(start, 0)], lead)
-            # a row is kept if its h has another set: it is not the lead, or the next different row has the same h
-            other = sid != leads
-            more = np.zeros(len(h), dtype=bool)
-            distinct = np.flatnonzero(~again)
-            more[distinct[:-1]] = h[distinct[1:]] == h[distinct[:-1]]
-            keep = ~again & (other | more)
-            keep[distinct[-1]] = False  # it waits for what follows
-            if keep.any():
-                yield pdf[keep].assign(lead=leads[keep])
-            tail = distinct[-1]
-            before, lead, last = (None if first[tail] else h[tail]), leads[tail], pdf.iloc[[tail]]
-        if last is not None and last["sid"].iloc[0] != lead:
-            yield last.assign(lead=lead)
-
-    rows = docs.select(text).mapInPandas(send, "h long, sid long, n int, l byte")
-    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(n_parts, "h").sortWithinPartitions("h", "sid").mapInPandas(runs, "h long, sid long, n int, l byte, lead long")
+            for chunk, blob in zip(pdf["chunk"], pdf["packed"], strict=True):
+                _, sets, _, fresh = built(blob)
+                keys, n = np.unique(short(sets, fresh), return_counts=True)
+                cuts = [0, *np.searchsorted(keys, edges), len(keys)]
+                out = [(b, chunk, squeeze_sorted(keys[i:j]), squeeze(n[i:j])) for b, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False)) if j > i]
+                yield pd.DataFrame(out, columns=["bucket", "chunk", "keys", "counts"])
+
+    def answer(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        keys = [spread_sorted(b) for b in pdf["keys"]]
+        _, place = np.unique(np.concatenate(keys), return_inverse=True)
+        total = np.bincount(place, weights=np.concatenate([spread(b) for b in pdf["counts"]]).astype(np.float64)).astype(np.int64)
+        back = np.split(total[place], np.cumsum([len(k) for k in keys])[:-1])
+        return pd.DataFrame({"chunk": pdf["chunk"].to_numpy(), "bucket": group[0], "counts": [squeeze(b) for b in back]})
+
+    sent = chunks.mapInPandas(send, "bucket int, chunk long, keys binary, counts binary")
+    answers = scratch.save(sent.groupBy("bucket").applyInPandas(answer, "chunk long, bucket int, counts binary"), f"{label}-answers")
+
+    def heads(group: tuple, held: pd.DataFrame, counted: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        counts = [spread(b) for b in counted.sort_values("bucket")["counts"]]
+        known = np.concatenate(counts) if counts else np.zeros(0, np.uint64)
+        for blob in held["packed"]:
+            ids, sets, names, fresh = built(blob)
+            keys = np.unique(short(sets, fresh))
+            for i, s, name, first in zip(ids, sets, names, fresh, strict=True):
+                row = (i, group[0], len(s), name, None, None, None)
+                if first and len(s):
+                    frequency = known[np.searchsorted(keys, mix(s) >> drop)]
+                    at, need = prefix(s, frequency, num, den)
+                    head = s[at[frequency[at] > 1]]
+                    if len(head) >= need:
+                        row = (*row[:4], need, signed(head), squeeze_sorted(s))
+                out.append(row)
+        return pd.DataFrame(out, columns=["id", "chunk", "n", "sid", "l", "head", "shingles"]).astype({"id": "Int64", "l": "Int32"})
+
+    schema = "id long, chunk long, n long, sid long, l int, head array<long>, shingles binary"
+    made = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(heads, schema)
+    sets = scratch.save(made, f"{label}-sets")
+    scratch.drop(f"{label}-chunks", f"{label}-answers")
+    return sets
 
 
 def _plausible(pairs: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b, na, nb, la, lb, m) that may reach num/den by lengths and by the m shared prefix shingles.
+    """Pairs (na, nb, la, lb, m, ...) that may reach num/den by their sizes and the m shared prefix shingles.
 
-    The set whose prefix ends earlier has all its prefix matches in the other's prefix, so the intersection
-    is at most m plus what that set has beyond its prefix.
+    The set whose prefix ends earlier has all its prefix matches in the other's prefix, so the intersection is at most m plus what
+    one of the sets has beyond its prefix.
     """
     rest = [F.ceil(F.col(n) * num / den) - F.col(l) for n, l in (("na", "la"), ("nb", "lb"))]
-    return pairs.where(
-        (F.least("na", "nb") * den >= F.greatest("na", "nb") * num) & ((F.col("m") + F.greatest(*rest)) * (num + den) >= (F.col("na") + F.col("nb")) * num)
-    )
+    enough = (F.col("m") + F.greatest(*rest)) * (num + den) >= (F.col("na") + F.col("nb")) * num
+    return pairs.where((F.col("m") >= F.least("la", "lb")) & (F.least("na", "nb") * den >= F.greatest("na", "nb") * num) & enough)
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, key: str, text: str, width: int, num: int, den: int, scratch: Scratch, label: str) -> DataFrame:
+def _verified(pairs: DataFrame, holders: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs (a, b) of set names whose sets reach num/den, counted on the whole sets."""
-    wanted = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
-    holders = scratch.save(sets.groupBy("sid").agg(F.min("id").alias("id")).join(wanted, "sid"), f"{label}-holders")
-    few = BitFilter(holders, "id").keep(docs.select(F.col(key).alias("id"), text), "id")  # so that not all texts are shuffled
-
-    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hasher = WordHashes()
-        for pdf in batches:
-            built = [shingle_set(t, width, hasher) for t in pdf[text]]
-            yield pd.DataFrame({"sid": [set_id(s) for s in built], "want": pdf["want"].to_numpy(), "shingles": [s.tobytes() for s in built]})
-
-    texts = few.join(holders.select("id", F.col("sid").alias("want")), "id")
-    blobs = texts.mapInPandas(build, "sid long, want long, shingles binary").where("sid = want").drop("want").dropDuplicates(["sid"])
 
     @F.pandas_udf("boolean")
     def similar(x: pd.Series, y: pd.Series) -> pd.Series:
         out = []
         for a, b in zip(x, y, strict=True):
-            a, b = np.frombuffer(a, dtype=np.uint64), np.frombuffer(b, dtype=np.uint64)
+            a, b = spread_sorted(a), spread_sorted(b)
             small, large = (a, b) if len(a) <= len(b) else (b, a)
             place = np.minimum(np.searchsorted(large, small), len(large) - 1)
             both = int((large[place] == small).sum())
             out.append(den * both >= num * (len(a) + len(b) - both))
         return pd.Series(out, dtype=bool)
 
-    left = blobs.select(F.col("sid").alias("a"), F.col("shingles").alias("sa"))
-    right = blobs.select(F.col("sid").alias("b"), F.col("shingles").alias("sb"))
+    left = holders.select(F.col("sid").alias("a"), F.col("shingles").alias("sa"))
+    right = holders.select(F.col("sid").alias("b"), F.col("shingles").alias("sb"))
     return pairs.select("a", "b").join(left, "a").join(right, "b").where(similar("sa", "sb")).select("a", "b")
 
 
 def similar_groups(
-    docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "text", width: int = 5, num: int = 3, den: int = 4, label: str = "jaccard"
+    docs: DataFrame,
+    scratch: Scratch,
+    key: str = "doc_id",
+    text: str = "text",
+    width: int = 5,
+    num: int = 3,
+    den: int = 4,
+    label: str = "jaccard",
+    chunk_bytes: int = 8 << 20,
 ) -> DataFrame:
     """(key, n_shingles, component_id) for every row of `docs`: groups linked by Jaccard num/den or more.
 
     Texts are lower-cased (A-Z) and split into words; a document's set is its distinct `width`-word
-    shingles. Equal sets are one node, so copies never make pairs. A first pass over the texts sums a
-    frequency sketch of one size; a second sends each set's adaptive prefix, rarest shingles first.
-    Then links are sought without listing all pairs of a group:
+    shingles. Equal sets are one node, so copies never make pairs. Each set has an adaptive prefix of its rarest shingles; links
+    are sought among sets that share prefix shingles, without listing all pairs of a group:
 
-    - star rounds: every set is verified against the set that leads most of its shared prefix shingles;
-      the links are closed to components. Pairs within a component need no more work.
-    - the rest, exactly: all pairs of different components that share enough prefix shingles for their
-      lengths are verified. Star rounds repeat while those pairs outnumber the postings and links are found.
+    - Star rounds: every set is verified against the set that leads most of its shared prefix shingles;
+      the links are closed to components. Pairs within a component need no more work. A second round takes other leaders.
+    - The rest, exactly, is all pairs of different components that share prefix shingles. Where a shingle has few of them, they
+      are joined, counted, held against the bounds for their sizes and verified. Where it has many (families of texts that are
+      alike, but not enough), its sets go to their family, which is cut into blocks of `BLOCK`; each two blocks are compared in
+      memory and return one row a set, not their pairs.
 
-    So a component is exactly one of the graph of all links. Sets are held by 64-bit hashes of shingles and sets.
+    So a component is exactly one of the graph of all links. Shingles and sets are known by 64-bit hashes.
     Null keys get a null component and link nothing else to it; empty and null texts have no shingles
     and are linked with nothing; a repeated key is one row each time it occurs. An empty table gives no rows.
     """
-    sets, sketch = _sketch(docs, key, text, width, scratch, label)
-    keyed = docs.where(F.col(key).isNotNull())
-    nodes = sets.where("id IS NOT NULL AND n > 0")
-    postings = scratch.save(_postings(keyed, text, width, sketch, num, den), f"{label}-postings")
+    sets = _sets(docs, key, text, width, num, den, scratch, label, chunk_bytes)
+    owned = sets.where("head IS NOT NULL AND id IS NOT NULL")
+    owners = owned.groupBy("sid").agg(F.min("chunk").alias("chunk"))
+    holders = scratch.save(owned.join(owners, ["sid", "chunk"]).select("sid", "n", "l", "head", "shingles"), f"{label}-holders")
+    each = holders.select("sid", "n", "l", F.explode("head").alias("h"))
+    common = each.groupBy("h").agg(F.min("sid").alias("low"), F.max("sid").alias("high")).where("low < high").select("h")
+    postings = scratch.save(each.join(common, "h"), f"{label}-postings")
     n_postings = postings.count()
-    found = None
-    comps = None
-    stars = postings.where("sid <> lead").select("h", "sid", "n", "l", F.col("lead"))
+    found, comps = None, None
     for turn in range(STAR_ROUNDS if n_postings else 0):
         at = f"{label}-{turn}"
-        if turn:
-            grouped = postings.drop("lead").join(comps, "sid", "left").withColumn("c", F.coalesce("c", "sid"))
-            grouped = scratch.save(grouped, f"{at}-grouped")
-            crossing = grouped.groupBy("h", "c").agg(F.count("*").alias("k")).groupBy("h").agg(F.sum("k").alias("s"), F.sum(F.col("k") * F.col("k")).alias("q"))
-            crossing = crossing.where("s * s > q")
-            pairs_left = crossing.agg(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2)).first()[0] or 0
-            if not pairs_left:
-                break
-            if pairs_left <= n_postings or turn == STAR_ROUNDS - 1 or not progressed:
-                rest = scratch.save(_remaining(grouped, crossing, num, den), f"{at}-rest")
-                links = _verified(rest, keyed, nodes, key, text, width, num, den, scratch, f"{at}-rest")
-                found = scratch.save(found.union(links), f"{at}-links")
-                comps = _components(found, scratch, f"{at}-final")
-                break
-            leads = grouped.join(crossing.select("h"), "h", "left_semi").groupBy("h").agg(F.min_by(F.struct("sid", "c"), F.xxhash64(F.lit(turn), "sid")).alias("lead"))
-            stars = grouped.join(leads, "h").where("c <> lead.c").select("h", "sid", "n", "l", F.col("lead.sid").alias("lead"))
-        sizes = postings.groupBy("sid").agg(F.first("n").alias("nb"), F.first("l").alias("lb"))
-        met = stars.groupBy(F.col("sid").alias("a"), F.col("lead").alias("b")).agg(F.count("*").alias("m"), F.first("n").alias("na"), F.first("l").alias("la"))
-        met = _plausible(met.join(sizes.withColumnRenamed("sid", "b"), "b"), num, den)
-        best = met.groupBy("a").agg(F.max_by("b", F.struct("m", "b")).alias("b"))
-        best = scratch.save(best, f"{at}-pairs")
-        links = scratch.save(_verified(best, keyed, nodes, key, text, width, num, den, scratch, at), f"{at}-new")
-        progressed = links.count() > 0
+        now = postings.withColumn("c", F.col("sid"))
+        if comps is not None:
+            now = postings.join(comps, "sid", "left").withColumn("c", F.coalesce("c", "sid"))
+        leads = now.groupBy("h").agg(F.min_by(F.struct("sid", "c", "n", "l"), F.xxhash64(F.lit(turn), "sid")).alias("lead"), F.min("c").alias("low"), F.max("c").alias("high"))
+        leads = scratch.save(leads.where("low < high").select("h", "lead"), f"{at}-leads")
+        stars = now.join(leads, "h").where("c <> lead.c")
+        met = stars.groupBy(F.col("sid").alias("a"), F.col("lead.sid").alias("b")).agg(
+            F.count("*").alias("m"), F.first("n").alias("na"), F.first("l").alias("la"), F.first("lead.n").alias("nb"), F.first("lead.l").alias("lb")
+        )
+        best = _plausible(met, num, den).groupBy("a").agg(F.max_by("b", F.struct("m", "b")).alias("b"))
+        links = scratch.save(_verified(best, holders, num, den), f"{at}-new")
+        if links.isEmpty():
+            break
         found = scratch.save(found.union(links), f"{at}-links") if found is not None else links
         comps = _components(found, scratch, at)
+    if n_postings:
+        light, heavy = _remaining(postings, comps, scratch, label, num, den)
+        links = _verified(light, holders, num, den).union(_families(heavy, holders, scratch, label, num, den))
+        found = scratch.save(found.union(links) if found is not None else links, f"{label}-all-links")
+        comps = _components(found, scratch, f"{label}-last")
+    nodes = sets.where("id IS NOT NULL AND n > 0").groupBy("sid").agg(F.min("id").alias("low"))
     members = nodes.join(comps, "sid", "left").withColumn("c", F.coalesce("c", "sid")) if comps is not None else nodes.withColumn("c", F.col("sid"))
-    members = members.groupBy("sid").agg(F.first("c").alias("c"), F.min("id").alias("low"))
     lowest = members.groupBy("c").agg(F.min("low").alias("component_id"))
-    named = members.join(lowest, "c").select("sid", "component_id")
-    rows = sets.join(named, "sid", "left")
+    named = scratch.save(members.join(lowest, "c").select("sid", "component_id"), f"{label}-named")
+    rows = sets.select("id", "n", "sid").join(named, "sid", "left")
     component = F.when(F.col("id").isNull(), None).when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
     return rows.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"))
 
@@ -266,11 +231,82 @@ def _components(links: DataFrame, scratch: Scratch, label: str) -> DataFrame:
     return got.select(F.col("node").alias("sid"), F.col("component").alias("c"))
 
 
-def _remaining(grouped: DataFrame, crossing: DataFrame, num: int, den: int) -> DataFrame:
-    """All plausible pairs of sets of different components, each with all its shared prefix shingles."""
-    rows = grouped.join(crossing.select("h"), "h", "left_semi")
-    one = rows.select("h", *(F.col(x).alias(y) for x, y in (("sid", "a"), ("n", "na"), ("l", "la"), ("c", "ca"))))
-    two = rows.select("h", *(F.col(x).alias(y) for x, y in (("sid", "b"), ("n", "nb"), ("l", "lb"), ("c", "cb"))))
+def _remaining(postings: DataFrame, comps: DataFrame | None, scratch: Scratch, label: str, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """(plausible pairs (a, b) of sets of different components, the postings (h, sid, c) of shingles with too many pairs).
+
+    A pair that shares one of the latter is left to them; any other pair has all its shared prefix shingles counted here.
+    """
+    now = postings.withColumn("c", F.col("sid"))
+    if comps is not None:
+        now = postings.join(comps, "sid", "left").withColumn("c", F.coalesce("c", "sid"))
+    now = scratch.save(now, f"{label}-placed")
+    sums = now.groupBy("h", "c").agg(F.count("*").alias("k")).groupBy("h").agg(F.sum("k").alias("s"), F.sum(F.col("k") * F.col("k")).alias("q"))
+    sums = sums.where("s * s > q").select("h", (F.col("s") * F.col("s") - F.col("q") > 2 * PAIRS * F.col("s")).alias("many"))
+    crossing = scratch.save(now.join(sums, "h"), f"{label}-crossing")
+    few = crossing.where("NOT many")
+    one = few.select("h", *(F.col(x).alias(y) for x, y in (("sid", "a"), ("n", "na"), ("l", "la"), ("c", "ca"))))
+    two = few.select("h", *(F.col(x).alias(y) for x, y in (("sid", "b"), ("n", "nb"), ("l", "lb"), ("c", "cb"))))
     fits = (F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b")) & (F.least("na", "nb") * den >= F.greatest("na", "nb") * num)
     met = one.join(two, "h").where(fits).groupBy("a", "b").agg(F.count("*").alias("m"), *(F.first(x).alias(x) for x in ("na", "nb", "la", "lb")))
-    return _plausible(met.where(F.col("m") >= F.least("la", "lb")), num, den).select("a", "b")
+    light = scratch.save(_plausible(met, num, den).select("a", "b"), f"{label}-light")
+    return light, crossing.where("many").select("h", "sid", "c")
+
+
+def _families(heavy: DataFrame, holders: DataFrame, scratch: Scratch, label: str, num: int, den: int) -> DataFrame:
+    """Links (a, b) that close to the same components as all links between sets that share a heavy shingle.
+
+    Sets are a family if heavy shingles connect them. A family's blocks are dealt out by hash, every two to a task.
+    """
+    lows = heavy.groupBy("h").agg(F.min("sid").alias("low"))
+    kin = connected_components(heavy.join(lows, "h").select(F.col("sid").alias("a"), F.col("low").alias("b")).distinct(), scratch, f"{label}-kin")
+    kin = scratch.save(kin.select(F.col("node").alias("sid"), F.col("component").alias("family")), f"{label}-families")
+    sizes = kin.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    placed = kin.join(sizes, "family").withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
+    members = placed.join(heavy.select("sid", "c").distinct(), "sid").join(holders.select("sid", "shingles"), "sid")
+    dealt = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "sid", "c", "shingles")
+
+    def compare(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        sets = [spread_sorted(b) for b in pdf["shingles"]]
+        sizes, owner = np.array([len(x) for x in sets]), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        _, place, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        shared = seen[place] > 1
+        owner, place = owner[shared], np.unique(place[shared], return_inverse=True)[1]
+        both = np.zeros((len(sets), len(sets)), dtype=np.float32)
+        for at in range(0, int(place.max(initial=-1)) + 1, 4096):
+            now = (place >= at) & (place < at + 4096)
+            part = np.zeros((len(sets), 4096), dtype=np.float32)
+            part[owner[now], place[now] - at] = 1
+            both += part @ part.T
+        both = both.astype(np.int64)
+        union = sizes[:, None] + sizes[None, :] - both
+        c, block = pdf["c"].to_numpy(), pdf["block"].to_numpy()
+        linked = (den * both >= num * union) & (c[:, None] != c[None, :])
+        if key[1] != key[2]:  # pairs within a block have a task of their own
+            linked &= block[:, None] != block[None, :]
+        a, b = np.nonzero(linked)
+        sid = pdf["sid"].to_numpy()
+        low = sid.copy()
+        while len(a):  # the smallest set of each component of these links
+            before = low.copy()
+            np.minimum.at(low, a, before[b])
+            if (low == before).all():
+                break
+        hit = np.unique(a)
+        return pd.DataFrame({"a": sid[hit], "b": low[hit]})
+
+    return dealt.groupBy("family", "i", "j").applyInPandas(compare, "a long, b long").where("a <> b")
+
+
+def one_of_each(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """`docs` with one row of each group: that of the smallest key. Rows without a key or without words stay.
+
+    Keys name documents: of rows with equal key and text one stays, and a key goes if its text is linked to a smaller key.
+    """
+    groups = scratch.save(similar_groups(docs, scratch, key, text), "groups")
+    gone = groups.where(F.col(key) != F.col("component_id")).select(key).distinct()
+    kept = docs.join(gone, key, "left_anti")
+    repeated = scratch.save(groups.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").select(key), "repeated")
+    if repeated.isEmpty():
+        return kept
+    return kept.join(repeated, key, "left_anti").unionByName(kept.join(repeated, key, "left_semi").dropDuplicates([key, text]))
