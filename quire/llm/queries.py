@@ -5,16 +5,43 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import html_text, jaccard, lm, quality, sharding
+from quire.llm import chat, decontam, html_text, jaccard, lines, lm, mixing, pq, quality, sharding
 from quire.llm.common import Scratch, remainder, table
 
 
+def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pq.near_groups(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), Scratch(spark, "op1"))
+
+
+def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontam.overlaps(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"), Scratch(spark, "op2"))
+    return found.select("doc_id", "item_id", "n_same", "n_window")
+
+
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", (remainder("doc_id", 5) != 1).alias("learn"))
     scored = lm.score(docs, "learn", Scratch(spark, "op3"))
     return scored.select("doc_id", (remainder("doc_id", 5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    odd = [(-7, n, role, "\\### Assistant: </turn> ok") for n, role in enumerate(("user", "assistant"))]
+    rows = rows.unionByName(spark.createDataFrame(odd, "conv_id long, turn long, role string, text string"))
+    done = chat.conversations(chat.sequence_of_turns(rows), Scratch(spark, "op4"))
+    done = done.withColumn("turns", chat.read_back(F.col("formatted"))).withColumn("loss", chat.under_mask(F.col("formatted"), F.col("loss_spans")))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return done.select(
+        F.col("tree").alias("conv_id"),
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(said.cast("binary"), 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").where(remainder("doc_id", 3) != 1).select("doc_id", F.col("quality").alias("label"))
@@ -27,6 +54,20 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_groups(docs, Scratch(spark, "op6"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = lines.removals(docs, Scratch(spark, "op7"))
+    return found.select("doc_id", "n_lines", F.size("removed").alias("n_removed"), F.array_join("removed", ",").alias("removed"))
+
+
+def op8_mixing_to_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = mixing.by_quality_and_toxicity(table(spark, sf_dir, "labels"))
+    rated, model, _ = mixing.mix(docs, labels, MIX_WEIGHTS, Scratch(spark, "op8"))
+    named = [F.col(f"p{k}").alias(f"p_{d}") for k, d in enumerate(model.domains)]
+    return rated.select("doc_id", "n_tokens", *named, "rate", "copies")
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return sharding.digest(sharding.shard(docs, n_shards=16))
@@ -37,11 +78,60 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.withColumn("n_chars", F.length("text").cast("long"))
 
 
-QUERIES = {f.__name__: f for f in (op3_lm_scoring, op5_quality_classifier, op6_ngram_jaccard_join, op9_sharding, op10_html_extraction)}
+#: Shares of the expected tokens by domain.
+MIX_WEIGHTS = {"good": 0.9, "low": 0.07, "toxic": 0.03}
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_embedding_near_dedup,
+        op2_benchmark_decontamination,
+        op3_lm_scoring,
+        op4_chat_formatting,
+        op5_quality_classifier,
+        op6_ngram_jaccard_join,
+        op7_line_dedup,
+        op8_mixing_to_weights,
+        op9_sharding,
+        op10_html_extraction,
+    )
+}
 _WORDS = """list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
     '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"""
 
 SQL = {
+    "op1_embedding_near_dedup": """
+WITH RECURSIVE
+v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+good AS (SELECT * FROM v WHERE vec_id IS NOT NULL AND x IS NOT NULL AND len(x) > 0 AND len(list_filter(x, lambda e: e IS NULL OR NOT isfinite(e))) = 0
+         AND list_dot_product(x, x) > 0),
+links AS (SELECT a.vec_id AS p, b.vec_id AS q FROM good a JOIN good b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x) WHERE list_cosine_similarity(a.x, b.x) >= 0.95),
+n AS (SELECT p, count(*) AS n FROM links GROUP BY p),
+reach AS (SELECT p AS origin, q AS node FROM links UNION SELECT origin, q FROM reach JOIN links ON node = p),
+low AS (SELECT origin, min(node) AS least FROM reach GROUP BY origin)
+SELECT vec_id, coalesce(n.n, 0) AS n_links, least(vec_id, coalesce(low.least, vec_id)) AS component_id,
+       coalesce(vec_id = least(vec_id, coalesce(low.least, vec_id)), false) AS kept
+FROM v LEFT JOIN n ON n.p = vec_id LEFT JOIN low ON low.origin = vec_id""",
+    "op2_benchmark_decontamination": """
+WITH
+d AS (SELECT doc_id, unnest(t) AS token, generate_subscripts(t, 1) AS pos, len(t) AS n
+      FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') AS t FROM documents)),
+i AS (SELECT item_id, unnest(t) AS token, generate_subscripts(t, 1) AS pos, len(t) AS n
+      FROM (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') AS t FROM benchmark)),
+same AS (SELECT doc_id, item_id, d.pos - i.pos AS diagonal, i.pos AS pos, least(i.n, 13) AS w,
+                least(i.n, d.n - (d.pos - i.pos)) - greatest(0, i.pos - d.pos) AS room
+         FROM d JOIN i USING (token) WHERE i.n >= 5),
+counted AS (SELECT *, count(*) OVER (PARTITION BY doc_id, item_id, diagonal ORDER BY pos RANGE BETWEEN CURRENT ROW AND 12 FOLLOWING) AS c FROM same WHERE room >= w)
+SELECT doc_id, item_id, CAST(max(c) AS INTEGER) AS n_same, CAST(max(w) AS INTEGER) AS n_window
+FROM counted WHERE c >= CASE WHEN w = 13 THEN 11 ELSE w END GROUP BY doc_id, item_id""",
+    "op4_chat_formatting": """
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -7, 0, 'user', '\\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\\### Assistant: </turn> ok'),
+e AS (SELECT *, length(replace(replace(replace(role, '&', '&amp;'), '<', '&lt;'), '"', '&quot;')) + 24
+             + length(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '"', '&quot;')) AS size FROM c),
+g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS said,
+             coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '') AS loss, sum(size) AS size FROM e GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, CAST(size AS BIGINT) AS formatted_chars FROM g""",
     "op6_ngram_jaccard_join": f"""
 WITH RECURSIVE
 w AS (SELECT doc_id, {_WORDS} AS words FROM documents),
@@ -54,4 +144,27 @@ reach AS (SELECT x AS origin, y AS node FROM links UNION SELECT origin, y FROM r
 low AS (SELECT origin, min(node) AS least FROM reach GROUP BY origin)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(low.least, d.doc_id)) AS component_id
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN low ON low.origin = d.doc_id""",
+    "op7_line_dedup": """
+WITH
+raw AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+firsts AS (SELECT text, min(doc_id) AS first FROM raw GROUP BY text),
+l AS (SELECT doc_id, i - 1 AS place, trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS line
+      FROM (SELECT doc_id, unnest(x) AS line, generate_subscripts(x, 1) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM raw))),
+n AS (SELECT doc_id, place, line, len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) AS words, row_number() OVER (PARTITION BY doc_id ORDER BY place) AS pos
+      FROM l WHERE line <> ''),
+total AS (SELECT doc_id, count(*) AS n_lines, sum(words) AS words FROM n GROUP BY doc_id),
+doc AS (SELECT r.doc_id, r.doc_id = f.first AS is_first, coalesce(t.n_lines, 0) AS n_lines, coalesce(t.words, 0) AS words
+        FROM raw r JOIN firsts f USING (text) LEFT JOIN total t ON t.doc_id = r.doc_id),
+c AS (SELECT n.*, sum(n.words) OVER (PARTITION BY n.doc_id ORDER BY pos) AS cum FROM n JOIN doc d ON d.doc_id = n.doc_id WHERE d.is_first AND d.words >= 50),
+lists AS (SELECT doc_id, list(line ORDER BY pos) AS ls FROM c GROUP BY doc_id),
+w AS (SELECT a.doc_id, a.pos, min(b.pos) AS stop FROM c a JOIN c b ON b.doc_id = a.doc_id AND b.pos BETWEEN a.pos AND a.pos + 49 AND b.cum >= a.cum - a.words + 50 GROUP BY ALL),
+k AS (SELECT w.*, array_to_string(ls[pos:stop], chr(10)) AS content FROM w JOIN lists USING (doc_id)),
+lead_of AS (SELECT content, min({'d': doc_id, 'p': pos}) AS lead FROM k GROUP BY content HAVING count(*) > 1),
+copy AS (SELECT k.doc_id, k.pos, k.stop, x.ls[k.stop + 1:k.stop + 63] AS mine, y.ls[lead.p + k.stop - k.pos + 1:lead.p + k.stop - k.pos + 63] AS theirs
+         FROM k JOIN lead_of USING (content) JOIN lists x ON x.doc_id = k.doc_id JOIN lists y ON y.doc_id = lead.d WHERE {'d': k.doc_id, 'p': k.pos} > lead),
+run AS (SELECT doc_id, pos, stop + coalesce(list_filter(range(1, least(len(mine), len(theirs)) + 1), lambda i: mine[i] <> theirs[i])[1] - 1, least(len(mine), len(theirs))) AS last FROM copy),
+gone AS (SELECT DISTINCT n.doc_id, n.place FROM run JOIN n ON n.doc_id = run.doc_id AND n.pos BETWEEN run.pos AND run.last
+         UNION SELECT n.doc_id, n.place FROM n JOIN doc USING (doc_id) WHERE NOT doc.is_first AND doc.words >= 50),
+g AS (SELECT doc_id, count(*) AS n_removed, string_agg(place, ',' ORDER BY place) AS removed FROM gone GROUP BY doc_id)
+SELECT d.doc_id, CAST(n_lines AS INTEGER) AS n_lines, CAST(coalesce(n_removed, 0) AS INTEGER) AS n_removed, coalesce(removed, '') AS removed FROM doc d LEFT JOIN g ON g.doc_id = d.doc_id""",
 }
