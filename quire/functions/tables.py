@@ -1,0 +1,136 @@
+"""Table functions for SQL: sentences(text), chunks(text, budget), markdown_blocks(text), markdown_tables(text)."""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterator
+
+from pyspark.sql import SparkSession
+from pyspark.sql.functions import udtf
+
+from quire.functions.text import ABBREVIATIONS
+
+_CLOSERS = "'\"”’)]}"
+_WORD_BEFORE = re.compile(r"[^\W\d_]*$")
+_CLAUSE = re.compile(r"(?<=[;:])\s+|(?<=,)\s+(?=[A-Z0-9(])")
+
+
+def sentences(text: str) -> Iterator[str]:
+    """Sentences as the column function gives them."""
+    clean = " ".join(text.split())
+    start = 0
+    for m in re.finditer(r"[.!?]", clean):
+        at = m.start()
+        if at < start:
+            continue
+        end = at + 1
+        while end < len(clean) and clean[end] in _CLOSERS:
+            end += 1
+        if end < len(clean) and (clean[end] != " " or clean[end + 1].islower()):
+            continue
+        word = _WORD_BEFORE.search(clean, max(0, at - 30), at)[0].lower()
+        if clean[at] == "." and (word in ABBREVIATIONS or len(word) == 1):
+            continue
+        yield clean[start:end]
+        start = end + 1
+    if clean[start:]:
+        yield clean[start:]
+
+
+def _tokens(text: str) -> int:
+    return max(1, len(text) // 4)
+
+
+def _packed(pieces: list[str], budget: int) -> list[str]:
+    out = [""]
+    for p in pieces:
+        joined = f"{out[-1]} {p}".strip()
+        if out[-1] and _tokens(joined) > budget:
+            out.append(p)
+        else:
+            out[-1] = joined
+    return [x for x in out if x]
+
+
+def _cut(sentence: str, budget: int) -> list[str]:
+    clauses = _CLAUSE.split(sentence)
+    parts = _packed(clauses, budget)
+    return parts if len(clauses) > 1 and all(_tokens(p) <= budget for p in parts) else _packed(sentence.split(), budget)
+
+
+def chunks(text: str, budget: int) -> Iterator[str]:
+    """Chunks as the column function gives them."""
+    if _tokens(text) <= budget:
+        yield text
+        return
+    run: list[str] = []
+    for s in [*sentences(text), None]:
+        if s is not None and _tokens(s) <= budget:
+            run.append(s)
+            continue
+        yield from _packed(run, budget)
+        run = []
+        if s is not None:
+            yield from _cut(s, budget)
+
+
+@udtf(returnType="pos int, sentence string")
+class Sentences:
+    def eval(self, text: str):
+        yield from enumerate(sentences(text or ""))
+
+
+@udtf(returnType="pos int, chunk string")
+class Chunks:
+    def eval(self, text: str, budget: int):
+        yield from enumerate(chunks(text or "", budget))
+
+
+def _kind(line: str) -> str:
+    if line.startswith("|") and line.endswith("|"):
+        return "table"
+    if re.match(r"#{1,6}\s+.", line):
+        return "heading"
+    if re.match(r"[-*+]\s", line):
+        return "list"
+    if re.match(r"(table|figure)\s+\d", line, re.I):
+        return "caption"
+    return "paragraph" if line else "blank"
+
+
+def runs(text: str) -> Iterator[tuple[str, list[str]]]:
+    """(kind, lines) of a markdown text's blocks."""
+    kind, held = "blank", []
+    for line in (x.strip() for x in text.split("\n")):
+        now = _kind(line)
+        if held and (now != kind or now in ("heading", "list", "caption")):
+            yield kind, held
+            held = []
+        kind = now
+        if now != "blank":
+            held.append(line)
+    if held:
+        yield kind, held
+
+
+@udtf(returnType="pos int, block_type string, text string")
+class MarkdownBlocks:
+    def eval(self, text: str):
+        for pos, (kind, held) in enumerate(runs(text or "")):
+            bare = re.sub(r"^#{1,6}\s+", "", held[0]) if kind == "heading" else re.sub(r"^[-*+]\s+", "", held[0]) if kind == "list" else " ".join(held)
+            yield pos, kind, "[TABLE]" if kind == "table" else bare
+
+
+@udtf(returnType="pos int, headers array<string>, rows array<array<string>>")
+class MarkdownTables:
+    def eval(self, text: str):
+        for pos, held in enumerate(held for kind, held in runs(text or "") if kind == "table"):
+            rows = [[c.strip() for c in line.strip("|").split("|")] for line in held if line.strip("|")]
+            dashes = len(rows) > 2 and all(not c.strip("-: ") for c in rows[1])
+            yield pos, rows[0] if rows else [], rows[2 if dashes else 1 :]
+
+
+def register(spark: SparkSession) -> None:
+    """Makes the table functions known to SQL."""
+    for name, function in (("sentences", Sentences), ("chunks", Chunks), ("markdown_blocks", MarkdownBlocks), ("markdown_tables", MarkdownTables)):
+        spark.udtf.register(name, function)

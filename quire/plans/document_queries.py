@@ -126,10 +126,10 @@ def reindex_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     with_views("regions")
     + """, a AS (SELECT doc_id, doc_id AS page_number, id, reading_order, x0, y0, x1, y1, (x0 + x1) / 2 AS centre FROM regions),
-b AS (SELECT *, row_number() OVER w AS at, lead(centre) OVER w - centre AS gap, count(*) OVER (PARTITION BY doc_id) AS n, max(x1) OVER (PARTITION BY doc_id) - min(x0) OVER (PARTITION BY doc_id) AS span
+b AS (SELECT *, row_number() OVER w AS place, lead(centre) OVER w - centre AS gap, count(*) OVER (PARTITION BY doc_id) AS n, max(x1) OVER (PARTITION BY doc_id) - min(x0) OVER (PARTITION BY doc_id) AS span
       FROM a WINDOW w AS (PARTITION BY doc_id ORDER BY centre, y0, id)),
-c AS (SELECT *, max(gap) OVER (PARTITION BY doc_id) AS widest FROM b), d AS (SELECT *, min(CASE WHEN gap = widest THEN at END) OVER (PARTITION BY doc_id) AS cut FROM c)
-SELECT doc_id, id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN n >= 4 AND span > 0 AND widest >= greatest(0.12::DOUBLE, span * 0.22::DOUBLE) AND least(cut, n - cut) >= 2 AND at > cut THEN 1 ELSE 0 END,
+c AS (SELECT *, max(gap) OVER (PARTITION BY doc_id) AS widest FROM b), d AS (SELECT *, min(CASE WHEN gap = widest THEN place END) OVER (PARTITION BY doc_id) AS cut FROM c)
+SELECT doc_id, id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN n >= 4 AND span > 0 AND widest >= greatest(0.12::DOUBLE, span * 0.22::DOUBLE) AND least(cut, n - cut) >= 2 AND place > cut THEN 1 ELSE 0 END,
   round_even(y0, 4), round_even(x0, 4), reading_order, id) AS INT) AS reading_order FROM d"""
 )
 def column_order(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -650,10 +650,10 @@ _EXACT = "CAST(seconds AS DECIMAL(20,6))"
 
 @query(
     with_views("timings")
-    + f"SELECT job_id, page, stage, CAST(sum({_EXACT}) AS DOUBLE) AS seconds FROM timings WHERE page IS NOT NULL GROUP BY job_id, page, stage UNION ALL SELECT job_id, NULL, stage, CAST(sum({_EXACT}) AS DOUBLE) FROM timings GROUP BY job_id, stage"
+    + f"SELECT job_id, CAST(page AS VARCHAR) AS page, stage, CAST(sum({_EXACT}) AS DOUBLE) AS seconds FROM timings WHERE page IS NOT NULL GROUP BY job_id, page, stage UNION ALL SELECT job_id, 'ALL', stage, CAST(sum({_EXACT}) AS DOUBLE) FROM timings GROUP BY job_id, stage"
 )
 def profile_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.profile(S.timings(spark, sf_dir))
+    return reports.profile(S.timings(spark, sf_dir)).withColumn("page", F.coalesce(F.col("page").cast("string"), F.lit("ALL")))
 
 
 @query(

@@ -349,8 +349,8 @@ def table_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""WITH t AS (SELECT doc_id, '<image>' || chr(10) || CASE WHEN doc_id % 2 = 0 THEN 'Convert the document' || chr(10) || chr(10) ELSE '' END || '<|ref|>t<|/ref|><|det|>[[1]]<|/det|>' || left(text, 80) || '<|end|> PROMPT' AS raw FROM documents)
-SELECT doc_id, trim(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(CASE WHEN doc_id % 2 = 0 THEN substr(raw, 31) ELSE substr(raw, 9) END,
- '(?s)<\|ref\|>.*?<\|/ref\|>', '', 'g'), '(?s)<\|det\|>.*?<\|/det\|>', '', 'g'), '<\|[^>]+?\|>', '', 'g'), '^\s+', ''), 'PROMPT', '')) AS clean FROM t""")
+SELECT doc_id, regexp_replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(CASE WHEN doc_id % 2 = 0 THEN substr(raw, 31) ELSE substr(raw, 9) END,
+ '(?s)<\|ref\|>.*?<\|/ref\|>', '', 'g'), '(?s)<\|det\|>.*?<\|/det\|>', '', 'g'), '<\|[^>]+?\|>', '', 'g'), '^\s+', ''), 'PROMPT', '') , '^\s+|\s+$', '', 'g') AS clean FROM t""")
 def clean_ocr_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     echoed = F.when(F.col("doc_id") % 2 == 0, "Convert the document\n\n").otherwise("")
     raw = F.concat(F.lit("<image>\n"), echoed, F.lit("<|ref|>t<|/ref|><|det|>[[1]]<|/det|>"), F.left("text", F.lit(80)), F.lit("<|end|> PROMPT"))

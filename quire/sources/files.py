@@ -19,7 +19,7 @@ def pdf_files(spark: SparkSession, path: str) -> DataFrame:
 
 def cached_pages(spark: SparkSession, path: str) -> DataFrame:
     """(page_number, text) of `page_0001.md`, `page_0002.md`, ..."""
-    files = spark.read.option("wholetext", True).text(f"{path}/page_*.md").withColumn("file", F.input_file_name())
+    files = spark.read.text(f"{path}/page_*.md", wholetext=True).withColumn("file", F.input_file_name())
     return files.select(F.regexp_extract("file", r"page_(\d+)\.md$", 1).cast("int").alias("page_number"), F.col("value").alias("text"))
 
 

@@ -74,8 +74,21 @@ def test_sinks(spark, tmp_path):
     results = spark.createDataFrame([(1, 1, 1, "a", "one"), (1, 1, 2, "b", " "), (1, 2, 1, "a", "two")], "doc_id int, page_number int, reading_order int, box_id string, ocr_text string")
     assert sinks.region_markdown(results).first()["markdown"] == "<!-- page: 1 -->\n\none\n\n<!-- page: 2 -->\n\ntwo"
     sinks.write_markdown(sinks.region_markdown(results), str(tmp_path / "m"))
-    assert spark.read.option("wholetext", True).text(str(tmp_path / "m")).count() == 1
+    assert spark.read.text(str(tmp_path / "m"), wholetext=True).count() == 1
     copied = sinks.copied(regions.withColumn("job_id", F.lit("old")), "old", "new")
     assert copied.select("job_id").distinct().first()[0] == "new"
     with pytest.raises(FileNotFoundError):
         sinks.copied(regions.withColumn("job_id", F.lit("old")), "none", "new")
+
+
+def test_job_folders_as_a_data_source(spark, tmp_path):
+    from quire.sources import job_directory
+
+    for job in ("a", "b"):
+        (tmp_path / job).mkdir()
+        (tmp_path / job / "page_0001.md").write_text(f"text of {job}")
+    (tmp_path / "a" / "page_0002.md").write_text("more")
+    (tmp_path / "a" / "other.md").write_text("no page")
+    job_directory.register(spark)
+    got = spark.read.format("quire_pages").load(str(tmp_path))
+    assert sorted(map(tuple, got.collect())) == [("a", 1, "text of a"), ("a", 2, "more"), ("b", 1, "text of b")]
