@@ -11,7 +11,6 @@ from compare import DATA, assert_same
 
 import corpus_pipeline
 from quire.llm import decontam, queries
-from quire.llm.common import words
 
 
 @pytest.mark.parametrize("name", sorted(queries.SQL))
@@ -61,6 +60,10 @@ def test_extraction_query(spark):
     assert not got["text"].str.contains("track\\(0\\)|</p>").any()
 
 
+def words(text):
+    return text.encode().lower().split() if text else []
+
+
 def shingles(t):
     w = words(t)
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())

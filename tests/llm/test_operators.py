@@ -11,10 +11,14 @@ import numpy as np
 import pytest
 
 from quire.llm import chat, decontam, html_text, jaccard, lines, lm, mixing, pq, quality, sharding
-from quire.llm.common import Scratch, rolled, word_hashes, words
+from quire.llm.common import Scratch, rolled, word_hashes
 from quire.llm.components import connected_components
 
 
+def words(text):
+    return text.encode().lower().split() if text else []
+
+
 def prose(rng, n, vocabulary=400):
     return " ".join(f"w{int(x)}" for x in rng.zipf(1.3, n) % vocabulary)
 
