@@ -30,7 +30,7 @@ ENDS |= {"tr": frozenset(("tr", "td", "th", "p")), "td": frozenset(("td", "th",
 FENCE = frozenset("ul ol dl table div article section main body html aside nav header footer form blockquote".split())
 #: Words of a class, id or role that mark what is not the article.
 UNLIKELY = frozenset(
-    "ad ads adv advert adverts advertisement advertising adbox adsense sponsor sponsored sponsors promo promotion sidebar side aside menu menubar nav navbar navigation "
+    "ad ads adv advert adverts advertisement advertising adbox adsense sponsor sponsored sponsors promo promotion sidebar aside menu menubar nav navbar navigation "
     "navi breadcrumb breadcrumbs pagination pager header masthead topbar footer bottombar comment comments disqus respond reply replies discussion cookie "
     "cookies consent gdpr notice notices notification alert banner popup modal overlay newsletter subscribe subscription signup "
     "login share sharing social related recommended recommendations widget toolbar search skip copyright legal disclaimer hidden contentinfo complementary".split()
@@ -46,10 +46,14 @@ RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in RAW}
 SPACE = re.compile(r"\s+")
 
 
+#: What marks an element as junk: a name may be wrong about an element that holds the article, a tag is not.
+BY_NAME, BY_TAG = 1, 2
+
+
 class Node:
     __slots__ = ("children", "junk", "parent", "points", "tag")
 
-    def __init__(self, tag: str, parent: Node | None, junk: bool):
+    def __init__(self, tag: str, parent: Node | None, junk: int):
         self.tag, self.parent, self.junk, self.children, self.points = tag, parent, junk, [], 0.0
 
 
@@ -68,8 +72,8 @@ def _unlikely(attrs: str) -> bool:
 
 def parse(html: str) -> Node:
     """A tree of nodes and texts, with the implied ends that matter for blocks."""
-    root = node = Node("html", None, False)
-    at, length = 0, len(html)
+    root = node = Node("html", None, 0)
+    at, length, articles = 0, len(html), 0
     while at < length:
         m = PIECE.search(html, at)
         if not m:
@@ -105,7 +109,13 @@ def parse(html: str) -> Node:
                     up = up.parent
             if tag == "html":
                 continue
-            new = Node(tag, node, node.junk or tag in DROPPED or tag == "header" or _unlikely(attrs) and tag not in ("body", "main"))
+            own = BY_TAG if tag in DROPPED or tag == "header" else BY_NAME if tag not in ("body", "main") and _unlikely(attrs) else 0
+            if tag in ("article", "main") and not own:
+                articles += 1
+                up = node if articles == 1 and node.junk == BY_NAME else None
+                while up:  # what holds the page's first article is not junk
+                    up.junk, up = 0, up.parent
+            new = Node(tag, node, max(node.junk, own))
             node.children.append(new)
             if tag in RAW and not m[4]:
                 end = RAW_END[tag].search(html, at)
