@@ -3,17 +3,31 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
+# Arrow's own pools keep what is freed; workers share an executor's memory with its JVM
+pa.set_memory_pool(pa.system_memory_pool())
+
+
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def trim() -> None:
+    """Gives memory that is free within the process back to the system, where the C library can."""
+    if _TRIM is not None:
+        _TRIM(0)
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share, as the session names it.

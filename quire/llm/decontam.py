@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import BitFilter, Digests, Scratch, mix, signed
+from quire.llm.common import BitFilter, Digests, Scratch, mix, signed, trim
 
 #: A leak is a window of WINDOW tokens that differ from an item's in at most SUBSTITUTIONS places.
 WINDOW, SUBSTITUTIONS, LEAST = 13, 2, 5
@@ -19,7 +19,7 @@ WINDOW, SUBSTITUTIONS, LEAST = 13, 2, 5
 MASKS = ("11101011", "110100111")
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _TOKEN = re.compile(r"\w+")
-_SPLIT_TOKENS = 1 << 20
+_SPLIT_TOKENS = 1 << 18
 #: A table of test hashes of up to so many rows is broadcast (24 bytes a row); a larger one is shuffled.
 BROADCAST_ROWS = 1_000_000
 
@@ -119,12 +119,14 @@ def overlaps(docs: DataFrame, tests: DataFrame, scratch: Scratch, key: str = "do
                 if size >= _SPLIT_TOKENS:
                     yield flush()
                     pending, keys, size = [], [], 0
+                    trim()
         if pending:
             yield flush()
 
     texts = docs.select(F.col(key).alias("doc"), F.col(text).alias("text"))
     doc_kind = texts.schema["doc"].dataType.simpleString()
     hits = texts.mapInPandas(doc_rows, f"doc {doc_kind}, seed long, inside int, offset int, around binary") if n_tests else spark.createDataFrame([], f"doc {doc_kind}, seed long, inside int, offset int, around binary")
+    hits = scratch.save(hits, "hits")  # so that finding and verifying have one Python worker a task each, not two
     side = hashed.select("seed", "place", "item", "tokens")
     joined = hits.join(F.broadcast(side) if n_tests <= BROADCAST_ROWS else side, "seed")
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.chunks import bucket_edges, n_buckets, opened, packed, spread, spread_sorted, squeeze, squeeze_sorted, text_bytes
-from quire.llm.common import Scratch, mix, rolled, signed, word_hashes
+from quire.llm.common import Scratch, mix, rolled, signed, trim, word_hashes
 from quire.llm.components import connected_components
 
 #: Longest multi-match requirement, and the weight of a verification against reading a posting.
@@ -74,15 +74,15 @@ def _sets(docs: DataFrame, key: str, text: str, width: int, num: int, den: int,
     def built(blob: bytes) -> tuple[list, list[np.ndarray], list[int], np.ndarray]:
         """ids, sets, names and which documents are the first of their set in the chunk."""
         found = opened(blob)
-        sets = [shingle_set(t, width) for t in found.column("text").to_pylist()]
+        sets = [shingle_set(t.as_py(), width) for t in found.column("text")]
         names = [set_id(s) for s in sets]
         fresh = np.zeros(len(names), dtype=bool)
         fresh[np.unique(np.array(names, dtype=np.int64), return_index=True)[1]] = True
         return found.column("id").to_pylist(), sets, names, fresh
 
     def short(sets: list[np.ndarray], fresh: np.ndarray) -> np.ndarray:
-        kept = [s for s, f in zip(sets, fresh, strict=True) if f]
-        return mix(np.concatenate(kept)) >> drop
+        """Short hashes of the first sets, one set after the other."""
+        return mix(np.concatenate([s for s, f in zip(sets, fresh, strict=True) if f])) >> drop
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -92,6 +92,7 @@ def _sets(docs: DataFrame, key: str, text: str, width: int, num: int, den: int,
                 cuts = [0, *np.searchsorted(keys, edges), len(keys)]
                 out = [(b, chunk, squeeze_sorted(keys[i:j]), squeeze(n[i:j])) for b, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False)) if j > i]
                 yield pd.DataFrame(out, columns=["bucket", "chunk", "keys", "counts"])
+                trim()
 
     def answer(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         keys = [spread_sorted(b) for b in pdf["keys"]]
@@ -109,17 +110,27 @@ def _sets(docs: DataFrame, key: str, text: str, width: int, num: int, den: int,
         known = np.concatenate(counts) if counts else np.zeros(0, np.uint64)
         for blob in held["packed"]:
             ids, sets, names, fresh = built(blob)
-            keys = np.unique(short(sets, fresh))
+            keys = short(sets, fresh)
+            order = np.argsort(keys)
+            ranked = keys[order]
+            frequency = np.empty(len(keys), dtype=np.uint32)
+            frequency[order] = known[np.cumsum(np.concatenate([[False], ranked[1:] != ranked[:-1]]))]
+            at = 0
             for i, s, name, first in zip(ids, sets, names, fresh, strict=True):
                 row = (i, group[0], len(s), name, None, None, None)
-                if first and len(s):
-                    frequency = known[np.searchsorted(keys, mix(s) >> drop)]
-                    at, need = prefix(s, frequency, num, den)
-                    head = s[at[frequency[at] > 1]]
-                    if len(head) >= need:
-                        row = (*row[:4], need, signed(head), squeeze_sorted(s))
+                if first:
+                    own = frequency[at : at + len(s)]
+                    at += len(s)
+                    if len(s):
+                        places, need = prefix(s, own, num, den)
+                        head = s[places[own[places] > 1]]
+                        if len(head) >= need:
+                            row = (*row[:4], need, signed(head), squeeze_sorted(s))
                 out.append(row)
-        return pd.DataFrame(out, columns=["id", "chunk", "n", "sid", "l", "head", "shingles"]).astype({"id": "Int64", "l": "Int32"})
+        frame = pd.DataFrame(out, columns=["id", "chunk", "n", "sid", "l", "head", "shingles"]).astype({"id": "Int64", "l": "Int32"})
+        del out, held, counted, counts, known
+        trim()
+        return frame
 
     schema = "id long, chunk long, n long, sid long, l int, head array<long>, shingles binary"
     made = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(heads, schema)
@@ -167,7 +178,7 @@ def similar_groups(
     num: int = 3,
     den: int = 4,
     label: str = "jaccard",
-    chunk_bytes: int = 8 << 20,
+    chunk_bytes: int = 6 << 20,
 ) -> DataFrame:
     """(key, n_shingles, component_id) for every row of `docs`: groups linked by Jaccard num/den or more.
 
@@ -278,6 +289,7 @@ def _families(heavy: DataFrame, holders: DataFrame, scratch: Scratch, label: str
             part = np.zeros((len(sets), 4096), dtype=np.float32)
             part[owner[now], place[now] - at] = 1
             both += part @ part.T
+        trim()
         both = both.astype(np.int64)
         union = sizes[:, None] + sizes[None, :] - both
         c, block = pdf["c"].to_numpy(), pdf["block"].to_numpy()

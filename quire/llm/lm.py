@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.chunks import bucket_edges, n_buckets, opened, packed, spread, spread_sorted, squeeze, squeeze_sorted, text_bytes
-from quire.llm.common import Scratch, mix, word_hashes
+from quire.llm.common import Scratch, mix, trim, word_hashes
 
 START, END = np.uint64(0x5CA1AB1E0DDBA11), np.uint64(0xE4D0F7E47E4D0F7E)
 STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -125,6 +125,7 @@ def score(
                         if j > i:
                             out.append((k, b, chunk, squeeze_sorted(h[i:j]), squeeze(c[i:j])))
                 yield pd.DataFrame(out, columns=["k", "bucket", "chunk", "hashes", "counts"])
+                trim()
 
     def answer(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         hashes = [spread_sorted(b) for b in pdf["hashes"]]
@@ -174,7 +175,10 @@ def score(
             table = table.append_column("train_tokens", pa.array(np.full(len(table), n_train, dtype=np.int64)))
             table = table.append_column("base_score", pa.array(sums, pa.float64()))
             out.append(table.append_column("score", pa.array(scores, pa.float64())))
-        return pa.concat_tables(out).to_pandas(integer_object_nulls=True)
+        frame = pa.concat_tables(out).to_pandas(integer_object_nulls=True)
+        del out
+        trim()
+        return frame
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest), "n_tokens long, n_known long, train_tokens long, base_score double, score double"])
     return chunks.groupBy("chunk").cogroup(answers.where("chunk >= 0").groupBy("chunk")).applyInPandas(walk, schema)

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import Scratch
+from quire.llm.common import Scratch, trim
 from quire.llm.components import connected_components
 
 CODES = 256
@@ -196,6 +196,7 @@ def near_groups(
             np.minimum.at(low_q, a, low_y[b])
             if low_q.sum() + low_y.sum() == before:
                 break
+        trim()
         at, to = np.unique(a), np.unique(b)
         return pd.DataFrame({"node": np.concatenate([ids[at], others[to]]), "links": np.concatenate([links[at], np.zeros(len(to), np.int64)]), "root": np.concatenate([low_q[at], low_y[to]])})
 

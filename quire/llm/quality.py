@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import Scratch
+from quire.llm.common import Scratch, trim
 
 FOLDS, BINS, LOW, HIGH = 4, 2000, -0.75, 1.75
 _BYTE = np.arange(256)
@@ -232,6 +232,8 @@ def keep_good(docs: DataFrame, model: QualityModel, least: float = 0.5) -> DataF
     def good(texts: pd.Series) -> pd.Series:
         if not len(texts):
             return pd.Series([], dtype=bool)
-        return pd.Series(model.score(np.stack([statistics(t) for t in texts])) >= least)
+        found = pd.Series(model.score(np.stack([statistics(t) for t in texts])) >= least)
+        trim()
+        return found
 
     return docs.where(good("text"))

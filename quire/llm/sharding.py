@@ -10,11 +10,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quire.llm.common import trim
+
 BUCKET, TIE = "_quire_bucket", "_quire_tie"
 
 
 def shard(
-    df: DataFrame, n_shards: int = 16, key: str = "doc_id", text: str = "text", seed: int = 17, bucket_bytes: int = 32 << 20
+    df: DataFrame, n_shards: int = 16, key: str = "doc_id", text: str = "text", seed: int = 17, bucket_bytes: int = 8 << 20
 ) -> DataFrame:
     """Every row of `df`, in random order, with its `shard` and its `slot` there.
 
@@ -55,6 +57,7 @@ def shard(
         order = np.lexsort((pdf[TIE].to_numpy(), pdf[key].fillna(-1).to_numpy()) if pdf[key].dtype != object else (pdf[TIE].to_numpy(),))
         np.random.default_rng([seed, b]).shuffle(order)  # Fisher-Yates
         at = start[b] + np.arange(len(order), dtype=np.int64)
+        trim()
         return pdf.iloc[order].drop(columns=[BUCKET, TIE]).assign(shard=(at % n_shards).astype(np.int32), slot=at // n_shards)
 
     return rows.withColumn(TIE, F.xxhash64(*ties)).groupBy(BUCKET).applyInPandas(shuffled, schema)
