@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.text import strip
@@ -58,3 +58,53 @@ def copied(rows: DataFrame, old: str, new: str, key: str = "job_id") -> DataFram
     if found.isEmpty():
         raise FileNotFoundError(f"nothing is cached for {old}")
     return found.withColumn(key, F.lit(new))
+
+
+def decisions(pages: DataFrame) -> DataFrame:
+    """(doc_id, decisions): why each page was read as it was, as a map from page to reason."""
+    return pages.groupBy("doc_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("page_number").cast("string"), "reason")))).alias("decisions"))
+
+
+#: Column rules of the output modes; `faithful` sets two columns.
+MODE_CSS = {"readable": "", "faithful": "column-count: 2; column-gap: 8mm;", "debug_markdown": "white-space: pre-wrap; font-family: monospace;"}
+
+
+def html_page(body: Column, title: Column, mode: str = "readable") -> Column:
+    """A printable page around a body that is HTML already."""
+    head = F.concat(F.lit('<!doctype html>\n<html><head><meta charset="utf-8"><title>'), F.coalesce(title, F.lit("Translated Document")), F.lit("</title>"))
+    style = f"<style>@page {{ size: A4; margin: 18mm 16mm; }} table {{ width: 100%; border-collapse: collapse; }} main {{ {MODE_CSS.get(mode, '')} }}</style></head><body><main>\n"
+    return F.concat(head, F.lit(style), body, F.lit("\n</main></body></html>\n"))
+
+
+def report_markdown(report: DataFrame) -> DataFrame:
+    """(doc_id, markdown) of a report (doc_id, failure, fix, source and translated counts as maps, n_chunks, empty_ids, short_ids)."""
+    keys = F.array_sort(F.map_keys("source_counts"))
+    count = lambda m, k: F.coalesce(F.try_element_at(F.col(m), k).cast("string"), F.lit("0"))
+    rows = F.array_join(F.transform(keys, lambda k: F.concat(F.lit("| "), k, F.lit(" | "), count("source_counts", k), F.lit(" | "), count("translated_counts", k), F.lit(" |"))), "\n")
+    listed = lambda c: F.when(F.coalesce(F.col(c), F.lit("")) == "", "none").otherwise(F.col(c))
+    text = F.concat_ws(
+        "\n",
+        F.lit("# Translation Comparison Report\n"),
+        F.concat(F.lit("- Likely failure point: **"), "failure", F.lit("**")),
+        F.concat(F.lit("- Recommended fix: "), "fix"),
+        F.lit("\n## Counts\n\n| Metric | Source | Translated |\n| --- | ---: | ---: |"),
+        rows,
+        F.concat(F.lit("\n## Chunks\n\n- Source chunks: "), F.col("n_chunks").cast("string")),
+        F.concat(F.lit("- Empty translated chunks: "), listed("empty_ids")),
+        F.concat(F.lit("- Suspiciously short chunks: "), listed("short_ids")),
+    )
+    return report.select("doc_id", text.alias("markdown"))
+
+
+def with_artifacts(status: DataFrame, found: DataFrame) -> DataFrame:
+    """Status rows (job_id, artifacts) with the files that exist (job_id, name, path); names that are there keep their path."""
+    new = found.groupBy("job_id").agg(F.map_from_entries(F.collect_list(F.struct("name", "path"))).alias("new"))
+    joined = status.join(new, "job_id", "left").withColumn("old", F.coalesce("artifacts", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))))
+    extra = F.map_filter("new", lambda k, _: ~F.map_contains_key("old", k))
+    return joined.withColumn("artifacts", F.when(F.col("new").isNull(), F.col("old")).otherwise(F.map_concat("old", extra))).drop("new", "old")
+
+
+def lineage(status: DataFrame) -> DataFrame:
+    """Jobs with the file name and stage of the job that they repeat."""
+    parents = status.select(F.col("job_id").alias("parent_id"), F.col("filename").alias("parent_filename"), F.col("stage").alias("parent_stage"))
+    return status.withColumn("parent_id", F.try_element_at("artifacts", F.lit("parent_job_id"))).join(parents, "parent_id", "left")
