@@ -13,13 +13,12 @@ from quire.operators.settings import JobSettings
 from quire.sources import sinks
 
 
-def draw(content, page, scale):
-    image = np.full((int(8 * scale), int(8 * scale)), 255, dtype=np.uint8)
-    image[: page + 1, :2] = content[0]
-    return image
-
-
 def test_images(spark):
+    def draw(content, page, scale):
+        image = np.full((int(8 * scale), int(8 * scale)), 255, dtype=np.uint8)
+        image[: page + 1, :2] = content[0]
+        return image
+
     pages = spark.createDataFrame([("a", bytearray([100]), 1), ("b", bytearray([200]), 2)], "name string, content binary, page_number int")
     got = images.rendered(pages, lambda: draw, dpi=72, binarize=True)
     assert {r["name"]: r["nonwhite"] for r in images.inked(got).collect()} == {"a": 4 / 64, "b": 0.0}
