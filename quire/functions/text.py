@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,6 +25,11 @@ LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
 CHUNK_SIZE, CHUNK_FLOOR, CHUNK_CAP, TABLE_TOKENS, ROW_GROUP = 1800, 128, 800, 4096, 8
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
@@ -215,17 +222,21 @@ def for_detection(c: Column) -> Column:
 
 def looks_english(c: Column) -> Column:
     """Whether a text may be English already: plain ASCII, no markup and enough common words."""
-    clean = for_detection(c)
-    found = F.regexp_extract_all(F.lower(clean), F.lit("([a-z]+)"), 1)
-    n = F.size(found)
-    hits = F.size(F.filter(found, lambda w: w.isin(*ENGLISH_HINTS)))
-    return (
-        F.when(strip(c) == "", True)
-        .when((clean == "") | inline_markup(c) | clean.rlike(r"[^\x00-\x7F]") | (n == 0), False)
-        .when(n == 1, F.get(found, F.lit(0)).isin(*ENGLISH_TITLES))
-        .when(n <= 4, hits >= 1)
-        .otherwise(hits >= F.greatest(F.lit(2), F.floor(n / 8)))
-    )
+
+    def by_words(found: Column) -> Column:
+        n, hits = F.size(found), F.size(F.filter(found, lambda w: w.isin(*ENGLISH_HINTS)))
+        return (
+            F.when(n == 0, False)
+            .when(n == 1, F.get(found, F.lit(0)).isin(*ENGLISH_TITLES))
+            .when(n <= 4, hits >= 1)
+            .otherwise(hits >= F.greatest(F.lit(2), F.floor(n / 8)))
+        )
+
+    def by_text(clean: Column) -> Column:
+        found = F.regexp_extract_all(F.lower(clean), F.lit("([a-z]+)"), 1)
+        return F.when((clean == "") | clean.rlike(r"[^\x00-\x7F]"), False).otherwise(bound(found, by_words))
+
+    return F.when(strip(c) == "", True).when(inline_markup(c), False).otherwise(bound(for_detection(c), by_text))
 
 
 def skip_translation(c: Column, language: Column) -> Column:
@@ -273,15 +284,22 @@ def output_budget(prompt_tokens: Column, max_tokens: Column) -> Column:
     return F.greatest(F.lit(128), F.least(max_tokens, F.floor(prompt_tokens * 0.75).cast("int")))
 
 
+def _with(now: Column, piece: Column) -> Column:
+    return F.when(now == "", piece).otherwise(F.concat(now, F.lit(" "), piece))
+
+
+def _tokens_with(now: Column, piece: Column) -> Column:
+    return F.floor((F.length(now) + 1 + F.length(piece)) / 4)
+
+
 def greedy(pieces: Column, budget: Column | int) -> Column:
     """Pieces joined by spaces into parts of at most `budget` estimated tokens, in order; a larger piece is a part of its own."""
     limit = budget if isinstance(budget, Column) else F.lit(budget)
     start = F.struct(F.array().cast("array<string>").alias("parts"), F.lit("").alias("now"))
 
     def step(acc: Column, piece: Column) -> Column:
-        joined = strip(F.concat(acc["now"], F.lit(" "), piece))
-        full = (acc["now"] != "") & (token_count(joined) > limit)
-        return F.when(full, F.struct(F.concat(acc["parts"], F.array(acc["now"])).alias("parts"), piece.alias("now"))).otherwise(F.struct(acc["parts"].alias("parts"), joined.alias("now")))
+        full = (acc["now"] != "") & (_tokens_with(acc["now"], piece) > limit)
+        return F.when(full, F.struct(F.concat(acc["parts"], F.array(acc["now"])).alias("parts"), piece.alias("now"))).otherwise(F.struct(acc["parts"].alias("parts"), _with(acc["now"], piece).alias("now")))
 
     return F.aggregate(pieces, start, step, lambda acc: F.when(acc["now"] != "", F.concat(acc["parts"], F.array(acc["now"]))).otherwise(acc["parts"]))
 
@@ -290,29 +308,31 @@ def split_long(sentence: Column, budget: Column | int) -> Column:
     """A sentence beyond the budget in parts: by clauses if all parts then fit, else by words."""
     limit = budget if isinstance(budget, Column) else F.lit(budget)
     clauses = F.split(sentence, r"(?<=[;:])\s+|(?<=,)\s+(?=[A-Z0-9(])")
-    by_clause = greedy(clauses, limit)
-    fits = (F.size(clauses) > 1) & (F.size(by_clause) > 0) & F.forall(by_clause, lambda p: token_count(p) <= limit)
-    by_word = greedy(F.filter(F.split(sentence, r"(?U)\s+"), lambda w: w != ""), limit)
-    return F.when(token_count(sentence) <= limit, F.array(sentence)).when(fits, by_clause).when(F.size(by_word) == 0, F.array(sentence)).otherwise(by_word)
+    words = greedy(F.filter(F.split(sentence, r"(?U)\s+"), lambda w: w != ""), limit)
+    by_word = bound(words, lambda w: F.when(F.size(w) == 0, F.array(sentence)).otherwise(w))
+
+    def by_clause(parts: Column) -> Column:
+        fits = (F.size(clauses) > 1) & (F.size(parts) > 0) & F.forall(parts, lambda p: token_count(p) <= limit)
+        return F.when(fits, parts).otherwise(by_word)
+
+    return F.when(token_count(sentence) <= limit, F.array(sentence)).otherwise(bound(greedy(clauses, limit), by_clause))
 
 
 def chunks(c: Column, budget: Column | int) -> Column:
     """A text in parts of at most `budget` estimated tokens: whole, else by sentences, else by clauses or words."""
     limit = budget if isinstance(budget, Column) else F.lit(budget)
-    found = sentences(c)
     start = F.struct(F.array().cast("array<string>").alias("parts"), F.lit("").alias("now"))
     flushed = lambda acc: F.when(acc["now"] != "", F.concat(acc["parts"], F.array(acc["now"]))).otherwise(acc["parts"])
 
     def step(acc: Column, s: Column) -> Column:
-        joined = strip(F.concat(acc["now"], F.lit(" "), s))
         return (
             F.when(token_count(s) > limit, F.struct(F.concat(flushed(acc), split_long(s, limit)).alias("parts"), F.lit("").alias("now")))
-            .when((acc["now"] != "") & (token_count(joined) > limit), F.struct(F.concat(acc["parts"], F.array(acc["now"])).alias("parts"), s.alias("now")))
-            .otherwise(F.struct(acc["parts"].alias("parts"), joined.alias("now")))
+            .when((acc["now"] != "") & (_tokens_with(acc["now"], s) > limit), F.struct(F.concat(acc["parts"], F.array(acc["now"])).alias("parts"), s.alias("now")))
+            .otherwise(F.struct(acc["parts"].alias("parts"), _with(acc["now"], s).alias("now")))
         )
 
-    packed = F.aggregate(found, start, step, flushed)
-    return F.when(token_count(c) <= limit, F.array(c)).when(F.size(packed) == 0, F.array(c)).otherwise(packed)
+    packed = F.aggregate(sentences(c), start, step, flushed)
+    return F.when(token_count(c) <= limit, F.array(c)).otherwise(bound(packed, lambda p: F.when(F.size(p) == 0, F.array(c)).otherwise(p)))
 
 
 def join_lines(lines: Column) -> Column:
