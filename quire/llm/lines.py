@@ -9,8 +9,6 @@ from pyspark.sql.window import Window
 from quire.llm.common import Scratch
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: How many lines past its window a repeated run is followed; the run's later windows find what lies beyond.
-BEYOND = 63
 
 
 def _lines(text: Column) -> Column:
@@ -37,8 +35,9 @@ def removals(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str =
     - Their line IDs are ranked, then pairs of ranks 1, 2, 4, ... lines apart, each by one distributed sort of the
       distinct pairs: prefix doubling. As every line has a word, runs are told apart by at most `min_words` lines, so the
       suffix array is sorted to that depth and no further, however long texts are.
-    - Suffixes that share their shortest prefix of `min_words` words form an interval of the array. All but the first
-      of an interval begin later copies; each reaches as far as its longest common prefix with the first.
+    - A window is the shortest run of `min_words` words that begins at a line, or the shortest that ends at one. Equal windows
+      form an interval of the array, and all but the first of an interval are later copies. A run that occurs before is the
+      union of its windows: the one that begins it holds its lines up to `min_words` words, each further line ends one.
 
     Ranks and intervals are sums and joins, nothing is gathered by line or interval; windows are within one text.
     Null keys come last; rows with equal keys and texts are one document; null and empty texts have no lines; further
@@ -61,15 +60,18 @@ def removals(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str =
     held = lines.join(often, "id", "left_semi").withColumn("stretch", F.col("pos") - F.row_number().over(in_text))
     held = held.withColumn("total", F.sum("words").over(stretch)).where(F.col("total") >= min_words).drop("total")
     along = Window.partitionBy("text_id", "stretch").orderBy("pos")
-    ahead = F.collect_list("words").over(along.rowsBetween(0, min_words - 1))
-    reach = F.aggregate(
-        ahead,
+    shortest = lambda words: F.aggregate(
+        words,
         F.struct(F.lit(0).alias("n"), F.lit(0).alias("words")),
         lambda a, x: F.when(a["words"] >= min_words, a).otherwise(F.struct((a["n"] + 1).alias("n"), (a["words"] + x).alias("words"))),
     )
-    held = held.withColumn("reach", reach).withColumn("width", F.when(F.col("reach.words") >= min_words, F.col("reach.n"))).drop("reach")
+    held = held.withColumn("ahead", shortest(F.collect_list("words").over(along.rowsBetween(0, min_words - 1))))
+    held = held.withColumn("behind", shortest(F.reverse(F.collect_list("words").over(along.rowsBetween(1 - min_words, 0)))))
+    held = held.withColumn("width", F.when(F.col("ahead.words") >= min_words, F.col("ahead.n")))
+    # one that is too short without its last line is the shortest of its first line already
+    held = held.withColumn("width_back", F.when(F.col("behind.words") - F.col("words") >= min_words, F.col("behind.n"))).drop("ahead", "behind", "words")
     state = scratch.save(_named(held, scratch, "0", ["id"], "r0").drop("id"), "state-0")
-    widest = state.agg(F.max("width")).first()[0]
+    widest = state.agg(F.max(F.greatest("width", "width_back"))).first()[0]
     depth = 0
     while widest and (2 << depth) <= widest:
         pairs = state.withColumn("next", F.coalesce(F.lead(f"r{depth}", 1 << depth).over(along), F.lit(-1)))
@@ -78,25 +80,22 @@ def removals(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str =
         depth += 1
     level = F.floor(F.log2("width")).cast("int")
     at_level = lambda alias: F.coalesce(*(F.when(F.col("a.level") == k, F.col(f"{alias}.r{k}")) for k in range(depth + 1)))
-    starts = state.where("width IS NOT NULL").withColumn("level", level)
-    starts = starts.withColumn("back", (F.col("pos") + F.col("width") - F.shiftleft(F.lit(1), 0) * F.pow(F.lit(2), F.col("level"))).cast("int"))
-    windows = starts.alias("a").join(state.alias("b"), (F.col("a.text_id") == F.col("b.text_id")) & (F.col("a.back") == F.col("b.pos")))
-    windows = windows.select("a.text_id", "a.first", "a.pos", "a.width", at_level("a").alias("head"), at_level("b").alias("tail"))
+    spans = F.array(
+        F.when(F.col("width").isNotNull(), F.struct("pos", "width")),
+        F.when(F.col("width_back").isNotNull(), F.struct((F.col("pos") - F.col("width_back") + 1).alias("pos"), F.col("width_back").alias("width"))),
+    )
+    starts = state.select("text_id", "first", F.inline(F.array_compact(spans))).withColumn("level", level)
+    starts = starts.withColumn("back", (F.col("pos") + F.col("width") - F.pow(F.lit(2), F.col("level"))).cast("int"))
+    windows = starts.alias("a").join(state.alias("h"), (F.col("a.text_id") == F.col("h.text_id")) & (F.col("a.pos") == F.col("h.pos")))
+    windows = windows.select("a.*", at_level("h").alias("head"))
+    windows = windows.alias("a").join(state.alias("b"), (F.col("a.text_id") == F.col("b.text_id")) & (F.col("a.back") == F.col("b.pos")))
+    windows = windows.select("a.text_id", "a.first", "a.pos", "a.width", "a.head", at_level("b").alias("tail"))
     windows = scratch.save(windows, "windows")
     interval = ["width", "head", "tail"]
     leads = windows.groupBy(*interval).agg(F.min(F.struct("first", "text_id", "pos")).alias("lead"), F.count("*").alias("n")).where("n > 1").drop("n")
     leads = scratch.save(leads, "leads")
     copies = windows.join(leads, interval).where(F.struct("first", "text_id", "pos") > F.col("lead"))
-    copies = copies.select("text_id", "pos", "width", F.col("lead.text_id").alias("lead_id"), F.col("lead.pos").alias("lead_pos"))
-    after = state.withColumn("after", F.collect_list("r0").over(along.rowsBetween(0, min_words + BEYOND))).select("text_id", "pos", "after")
-    mine = copies.join(after, ["text_id", "pos"])
-    theirs = after.select(F.col("text_id").alias("lead_id"), F.col("pos").alias("lead_pos"), F.col("after").alias("lead_after"))
-    both = mine.join(theirs, ["lead_id", "lead_pos"])
-    rest = lambda c: F.slice(c, F.col("width") + 1, F.lit(BEYOND))
-    equal = F.zip_with(rest(F.col("after")), rest(F.col("lead_after")), lambda x, y: F.coalesce(x == y, F.lit(False)))
-    stop = F.array_position(equal, F.lit(False))
-    common = F.when(stop > 0, stop - 1).otherwise(F.size(equal))
-    ends = both.select("text_id", "pos", (F.col("pos") + F.col("width") + common).alias("end"))
+    ends = copies.groupBy("text_id", "pos").agg(F.max(F.col("pos") + F.col("width")).alias("end"))
     covered = F.max("end").over(in_text.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     gone = state.join(ends, ["text_id", "pos"], "left").withColumn("end", covered).where("end > pos")
     gone = scratch.save(gone.groupBy("text_id").agg(F.array_sort(F.collect_list("place")).alias("gone")), "gone")

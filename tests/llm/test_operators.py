@@ -329,6 +329,37 @@ def test_line_dedup_finds_later_copies(spark):
     assert lines.removals(empty(docs), Scratch(spark, "t")).count() == 0
 
 
+def repeated_lines(texts, min_words=50):
+    """Places of lines in runs that occur before, by trying all runs; texts without blank lines, none twice."""
+    runs, out = set(), []
+    for t in texts:
+        split = t.split("\n")
+        gone = set()
+        spans = [(i, j) for j in range(1, len(split) + 1) for i in range(j) if len(words(" ".join(split[i:j]))) >= min_words]
+        for i, j in spans:  # by their ends, so an overlapping occurrence further up is known
+            run = tuple(split[i:j])
+            if run in runs:
+                gone.update(range(i, j))
+            runs.add(run)
+        out.append(sorted(gone))
+    return out
+
+
+def test_line_dedup_follows_every_earlier_copy(spark):
+    rng = np.random.default_rng(11)
+    long, tail = prose(rng, 60), prose(rng, 10)
+    texts = [f"{long}\n{prose(rng, 9)}", f"{long}\n{tail}", f"{long}\n{tail}\n{prose(rng, 3)}"]
+    stock = [prose(rng, int(n)) for n in rng.integers(1, 30, 12)]
+    for _ in range(40):
+        parts = [stock[k : k + int(rng.integers(2, 7))] for k in rng.integers(0, 10, 4)]
+        texts.append("\n".join(itertools.chain(*parts, [prose(rng, 4)])))
+    want = dict(enumerate(repeated_lines(texts)))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: list(r["removed"]) for r in lines.removals(docs, Scratch(spark, "t")).collect()}
+    assert want[2] == [0, 1]
+    assert got == want
+
+
 # 8
 
 
