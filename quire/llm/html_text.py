@@ -44,33 +44,40 @@ PIECE = re.compile(
 )
 RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in RAW}
 SPACE = re.compile(r"\s+")
+#: Characters below which text within the article bears out a name, and a page's text is hardly any.
+SHORT, SCANT = 25, 80
 
 
-#: What marks an element as junk: a name may be wrong about an element that holds the article, a tag is not.
-BY_NAME, BY_TAG = 1, 2
+#: What marks an element as junk: a name may be wrong about an element that holds the article or is part of it, hidden
+#: markup only about one that holds it, a tag is not.
+BY_NAME, BY_STYLE, BY_TAG = 1, 2, 3
 
 
 class Node:
-    __slots__ = ("children", "junk", "parent", "points", "tag")
+    __slots__ = ("children", "junk", "own", "parent", "points", "tag")
 
-    def __init__(self, tag: str, parent: Node | None, junk: int):
-        self.tag, self.parent, self.junk, self.children, self.points = tag, parent, junk, [], 0.0
+    def __init__(self, tag: str, parent: Node | None, own: int):
+        self.tag, self.parent, self.own, self.children, self.points = tag, parent, own, [], 0.0
+        self.junk = max(own, parent.junk) if parent else own
 
 
-def _unlikely(attrs: str) -> bool:
+def _unlikely(tag: str, attrs: str, by_name: bool) -> int:
+    """How the attributes mark an element as junk; the id of a heading is a slug of its text and marks nothing."""
     if "=" not in attrs and "hidden" not in attrs.lower():
-        return False
+        return 0
     if HIDDEN.search(attrs):
-        return True
-    for m in NAME.finditer(attrs):
+        return BY_STYLE
+    for m in NAME.finditer(attrs) if by_name else ():
+        if tag in HEADING and m[0][:2].lower() == "id":
+            continue
         for name in (m[1] or m[2] or m[3] or "").split():
             found = re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower())
             if UNLIKELY.intersection(found) and not ARTICLE_WORDS.issuperset(found):
-                return True
-    return False
+                return BY_NAME
+    return 0
 
 
-def parse(html: str) -> Node:
+def parse(html: str, by_name: bool = True) -> Node:
     """A tree of nodes and texts, with the implied ends that matter for blocks."""
     root = node = Node("html", None, 0)
     at, length, articles = 0, len(html), 0
@@ -88,7 +95,7 @@ def parse(html: str) -> Node:
                 node.children.append(" ")
                 continue
             if tag == "p":  # an end without its start makes an empty paragraph
-                node.children.append(Node("p", node, node.junk))
+                node.children.append(Node("p", node, 0))
             while up and up.tag != tag:
                 if up.tag in FENCE and tag not in BLOCK:
                     up = None
@@ -109,13 +116,13 @@ def parse(html: str) -> Node:
                     up = up.parent
             if tag == "html":
                 continue
-            own = BY_TAG if tag in DROPPED or tag == "header" else BY_NAME if tag not in ("body", "main") and _unlikely(attrs) else 0
+            own = BY_TAG if tag in DROPPED or tag == "header" else _unlikely(tag, attrs, by_name) if tag not in ("body", "main") else 0
             if tag in ("article", "main") and not own:
                 articles += 1
-                up = node if articles == 1 and node.junk == BY_NAME else None
+                up = node if articles == 1 and 0 < node.junk < BY_TAG else None
                 while up:  # what holds the page's first article is not junk
-                    up.junk, up = 0, up.parent
-            new = Node(tag, node, max(node.junk, own))
+                    up.junk, up.own, up = 0, 0, up.parent
+            new = Node(tag, node, own)
             node.children.append(new)
             if tag in RAW and not m[4]:
                 end = RAW_END[tag].search(html, at)
@@ -194,6 +201,43 @@ def _within_article(node: Node | None) -> bool:
     return False
 
 
+def _below(top: Node) -> list[Node]:
+    """The elements below `top`, each after its parent."""
+    found = [top]
+    for node in found:
+        found.extend(c for c in node.children if isinstance(c, Node))
+    return found[1:]
+
+
+def _spread(top: Node, junk: int) -> None:
+    top.junk = junk
+    for node in _below(top):
+        node.junk = max(node.own, node.parent.junk)
+
+
+def _clear_names(top: Node) -> bool:
+    """Takes the mark of its name from each element below `top` whose text bears it out: it is neither short nor links."""
+    cleared = False
+    for node in reversed([n for n in _below(top) if n.own == BY_NAME]):
+        node.own = 0
+        _spread(node, 0)
+        blocks: list[tuple[Node, str, int]] = []
+        _blocks(node, blocks)
+        length, linked = sum(len(t) for _, t, _ in blocks), sum(x for _, _, x in blocks)
+        body = [(t, x) for own, t, x in blocks if own.tag not in HEADING]
+        points = sum(_points(t, x) for t, x in body)
+        if sum(len(t) for t, _ in body) < SHORT or points < 2 or 3 * linked >= length:
+            node.own = BY_NAME
+        else:
+            cleared = True
+    _spread(top, top.junk)
+    return cleared
+
+
+def _points(text: str, linked: int) -> float:
+    return (1 + text.count(",") + min(len(text) // 100, 3)) * (1 - min(1.0, linked / len(text)))
+
+
 def main_text(html: str | None) -> str:
     """The article of a page, as blocks joined by newlines; empty if there is none.
 
@@ -201,20 +245,28 @@ def main_text(html: str | None) -> str:
     link density. Its parent gets all of it, each further ancestor a smaller share. The ancestor with
     most points, discounted by the link density of all it holds, is the container, widened to the `article` or `main` around it; its
     siblings are kept if they score a fifth as much, or are headings or long paragraphs with few links.
-    Equal points go to the first in page order.
+    Equal points go to the first in page order. Within the container an element is junk by its name only if
+    its text is short or much of it is links. If names leave hardly any text, the page is scored without them.
     """
     if not html:
         return ""
-    root = parse(html)
+    text, sure = _main_text(parse(html))
+    if sure or len(text) >= SCANT:
+        return text
+    whole, _ = _main_text(parse(html, by_name=False))
+    return whole if not text or len(whole) >= 10 * len(text) else text
+
+
+def _main_text(root: Node) -> tuple[str, bool]:
+    """The text and whether an `article` or `main` holds it."""
     blocks: list[tuple[Node, str, int]] = []
     _blocks(root, blocks)
     if not blocks:
-        return ""
+        return "", False
     order: dict[int, Node] = {}
     volume: dict[int, list[int]] = {}
     for own, text, linked in blocks:
-        density = min(1.0, linked / len(text))
-        points = (1 + text.count(",") + min(len(text) // 100, 3)) * (1 - density)
+        points = _points(text, linked)
         up, share = own.parent if own.tag not in ("div", "article", "section", "main", "body", "html", "td") and own.parent else own, 1.0
         level = 1
         while up:
@@ -244,6 +296,9 @@ def main_text(html: str | None) -> str:
                 kept.add(id(near))
     elif best.tag == "article" and best.parent:
         kept.update(id(n) for n in best.parent.children if isinstance(n, Node) and n.tag == "article" and not n.junk and n.points >= 0.2 * best.points)
+    if best.tag not in ("body", "html") and _clear_names(best):
+        blocks.clear()
+        _blocks(root, blocks)
     out = []
     for own, text, _ in blocks:
         up = own
@@ -251,7 +306,7 @@ def main_text(html: str | None) -> str:
             up = up.parent
         if up:
             out.append(text)
-    return "\n".join(out)
+    return "\n".join(out), best.tag in ("article", "main")
 
 
 def extract(pages: DataFrame, html: str = "html", text: str = "text") -> DataFrame:

@@ -442,6 +442,17 @@ def test_main_text(body, want):
     assert html_text.main_text(PAGE.format(body=body)) == want
 
 
+def test_names_need_support_from_the_text():
+    said = "We found this, as others did, and say so at some length here."
+    links = "<a href=/x>One story, of many</a> <a href=/y>Another story, of many</a>"
+    parts = f"<section id='discussion'><h2 id='search-strategy'>Search</h2><p>{said}</p></section><div class='related'>{links}</div><div class='ad'>Buy, it</div>"
+    for around in ("article", "div"):
+        got = html_text.main_text(PAGE.format(body=f"<{around}><h1>Head</h1><p>{'aa, bb ' * 30}</p>{parts}<p hidden>{said} {said}</p></{around}>"))
+        assert got == f"Head\n{('aa, bb ' * 30).strip()}\nSearch\n{said}"
+    plain = f"<body><div class='content has-sidebar'><h1>Head</h1><p>{said}</p></div></body>"
+    assert html_text.main_text(plain) == f"Head\n{said}"
+
+
 def test_main_text_of_odd_pages(spark):
     assert [html_text.main_text(x) for x in (None, "", "<p>", "plain", "<p>a<p>b", "x &lt;b&gt;\ty", "<script>if(a<b)", "<!-- open")] == ["", "", "", "plain", "a\nb", "x <b> y", "", ""]
     deep = "<div>" * 3000 + "<p>in, here</p>"
