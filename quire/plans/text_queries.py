@@ -182,12 +182,18 @@ f AS (SELECT doc_id, 1 AS i, 0 AS part, x[1] AS now, x FROM s WHERE {_TOKENS.for
 whole AS (SELECT doc_id, part, arg_max(now, i) AS chunk FROM f GROUP BY doc_id, part)
 SELECT doc_id, part AS pos, chunk FROM whole UNION ALL SELECT doc_id, 0, text FROM s WHERE {_TOKENS.format("text")} <= 128""")
 def pack_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents without oversize sentences in chunks of 128 tokens; the others are the query chunk_table's."""
+    """Documents without oversize sentences in chunks of 128 tokens; pack_all_chunks has all documents."""
     c = F.col("text")
     fits = (T.token_count(c) <= 128) | F.forall(T.sentences(c), lambda s: T.token_count(s) <= 128)
     return _documents(spark, sf_dir).where(fits).select("doc_id", F.posexplode(T.chunks(c, 128)).alias("pos", "chunk"))
 
 
+@query()
+def pack_all_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in chunks of 128 tokens, with the sentences split that are longer."""
+    return _documents(spark, sf_dir).select("doc_id", F.posexplode(T.chunks(F.col("text"), 128)).alias("pos", "chunk"))
+
+
 @query()
 def split_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole texts taken as one sentence each, in parts of 64 tokens."""

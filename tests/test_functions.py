@@ -9,6 +9,9 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from compare import DATA
+
+from quire.plans import catalogue
 from quire.functions import geometry as G
 from quire.functions import text as T
 from quire.operators import compiling, layout, markdown, translation
@@ -118,6 +121,12 @@ def test_sentences_and_chunks_follow_a_walk(spark, texts):
     assert values(spark, T.chunks(F.col("t"), 12), texts) == [chunks_reference(t, 12) for t in texts]
 
 
+def test_all_documents_are_packed(spark):
+    want = [(r["doc_id"], i, x) for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect() for i, x in enumerate(chunks_reference(r["text"], 128))]
+    got = [tuple(r) for r in catalogue.QUERIES["pack_all_chunks"](spark, DATA).select("doc_id", "pos", "chunk").collect()]
+    assert sorted(got) == sorted(want)
+
+
 def test_join_lines(spark):
     lines = F.array(*map(F.lit, ("para-", " graph ", "", "goes on")))
     assert value(spark, T.join_lines(lines)) == "paragraph goes on"
