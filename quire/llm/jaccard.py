@@ -72,17 +72,19 @@ def _sets(docs: DataFrame, key: str, text: str, width: int, num: int, den: int,
     chunks = scratch.save(packed(rows, "text", chunk_bytes), f"{label}-chunks")
 
     def built(blob: bytes) -> tuple[list, list[np.ndarray], list[int], np.ndarray]:
-        """ids, sets, names and which documents are the first of their set in the chunk."""
+        """ids, sets, names and which documents are the first with a key of their set in the chunk."""
         found = opened(blob)
         sets = [shingle_set(t.as_py(), width) for t in found.column("text")]
         names = [set_id(s) for s in sets]
+        ids = found.column("id").to_pylist()
+        keyed = np.flatnonzero([i is not None for i in ids])
         fresh = np.zeros(len(names), dtype=bool)
-        fresh[np.unique(np.array(names, dtype=np.int64), return_index=True)[1]] = True
-        return found.column("id").to_pylist(), sets, names, fresh
+        fresh[keyed[np.unique(np.array(names, dtype=np.int64)[keyed], return_index=True)[1]]] = True
+        return ids, sets, names, fresh
 
     def short(sets: list[np.ndarray], fresh: np.ndarray) -> np.ndarray:
         """Short hashes of the first sets, one set after the other."""
-        return mix(np.concatenate([s for s, f in zip(sets, fresh, strict=True) if f])) >> drop
+        return mix(np.concatenate([np.zeros(0, np.uint64), *(s for s, f in zip(sets, fresh, strict=True) if f)])) >> drop
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -114,7 +116,8 @@ def _sets(docs: DataFrame, key: str, text: str, width: int, num: int, den: int,
             order = np.argsort(keys)
             ranked = keys[order]
             frequency = np.empty(len(keys), dtype=np.uint32)
-            frequency[order] = known[np.cumsum(np.concatenate([[False], ranked[1:] != ranked[:-1]]))]
+            if len(keys):
+                frequency[order] = known[np.cumsum(np.concatenate([[False], ranked[1:] != ranked[:-1]]))]
             at = 0
             for i, s, name, first in zip(ids, sets, names, fresh, strict=True):
                 row = (i, group[0], len(s), name, None, None, None)

@@ -308,6 +308,15 @@ def test_similar_groups_against_brute_force(spark, docs, texts, chunk_bytes):
         assert jaccard.similar_groups(empty(docs), Scratch(spark, "t")).count() == 0
 
 
+def test_a_null_key_does_not_hide_its_copy(spark):
+    rng = np.random.default_rng(6)
+    text = prose(rng, 80)
+    rows = [(None, text), (1, text), (2, text + " more"), (None, prose(rng, 30))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.similar_groups(docs, Scratch(spark, "t")).collect()}
+    assert got == {None: None, 1: 1, 2: 1}
+
+
 # 7
 
 
