@@ -21,7 +21,7 @@ def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", (remainder("doc_id", 5) != 1).alias("learn"))
-    scored = lm.score(docs, "learn", Scratch(spark, "op3"))
+    scored = lm.score(docs, "learn", Scratch(spark, "op3"), order=3)
     return scored.select("doc_id", (remainder("doc_id", 5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 

@@ -10,7 +10,8 @@ import pytest
 from compare import DATA, assert_same
 
 import corpus_pipeline
-from quire.llm import decontam, queries
+from quire.llm import decontam, lm, queries
+from quire.llm.common import Scratch, remainder
 
 
 @pytest.mark.parametrize("name", sorted(queries.SQL))
@@ -54,6 +55,14 @@ def test_language_model_query(spark):
     assert got["score"].sum() > got["base_score"].sum()
 
 
+def test_language_model_query_uses_trigrams(spark):
+    got = queries.op3_lm_scoring(spark, DATA).toPandas().set_index("doc_id").sort_index()
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text", (remainder("doc_id", 5) != 1).alias("learn"))
+    bigrams = lm.score(docs, "learn", Scratch(spark, "t"), order=2).toPandas().set_index("doc_id").sort_index()
+    held = got["held_out"].to_numpy(dtype=bool)
+    assert got["score"][held].sum() > bigrams["score"][held].sum()
+
+
 def test_extraction_query(spark):
     got = queries.op10_html_extraction(spark, DATA).toPandas().merge(table("pages"), on="page_id")
     assert (got["n_chars"] == got["text"].str.len()).all() and (got["n_chars"] > 0).all()
