@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
-from quire.plans.registry import query
+from quire.plans.registry import SQL, query
 from quire.sources import tables as S
 from quire.sources.tables import with_views
 
@@ -407,9 +407,8 @@ def malformed_markup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def ngram_ban(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tokens (code points modulo 7) that would repeat a trigram in the last 50 of a text's first line."""
-    line = F.get(F.split("text", "\n"), F.lit(0))
-    ids = F.transform(F.filter(F.split(line, ""), lambda ch: ch != ""), lambda ch: (F.ascii(ch) % 7).cast("int"))
+    """Tokens (code points modulo 7) that would repeat a trigram in a text's last 50."""
+    ids = F.transform(F.filter(F.split("text", ""), lambda ch: ch != ""), lambda ch: (F.ascii(ch) % 7).cast("int"))
     return _documents(spark, sf_dir).select("doc_id", T.banned_tokens(ids, 3, 50, [2]).alias("banned"))
 
 
@@ -420,3 +419,32 @@ def prompt_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.operators.translation import prompt
 
     return _documents(spark, sf_dir).select("doc_id", F.length(prompt(F.col("text"), F.col("lang"), "SYSTEM")).cast("long").alias("n_chars"))
+
+
+# The same over whole texts: the queries above take the beginning of each
+
+
+@query(SQL["clean_ocr_text"].replace("left(text, 80)", "text"))
+def clean_whole_ocr_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    echoed = F.when(F.col("doc_id") % 2 == 0, "Convert the document\n\n").otherwise("")
+    raw = F.concat(F.lit("<image>\n"), echoed, F.lit("<|ref|>t<|/ref|><|det|>[[1]]<|/det|>"), F.col("text"), F.lit("<|end|> PROMPT"))
+    return _documents(spark, sf_dir).select("doc_id", T.clean_ocr(raw, "PROMPT").alias("clean"))
+
+
+@query(SQL["postprocess"].replace("left(text, 50)", "text"))
+def postprocess_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marks = F.lit("<end_of_turn> <end_of_turn>")
+    raw = F.when(F.col("doc_id") % 4 == 0, marks).otherwise(F.concat(F.lit("<think>why</think> "), F.col("text"), F.lit("<|im_end|><|eot_id|> "), marks))
+    return _documents(spark, sf_dir).select("doc_id", T.clean_translation(raw, reasoning_model=True).alias("clean"))
+
+
+@query(SQL["table_html"].replace("left(text, 40)", "text"))
+def table_html_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cell = F.struct(F.col("text"), (F.col("doc_id") % 3).cast("int").alias("rowspan"), (F.col("doc_id") % 4).cast("int").alias("colspan"))
+    return _documents(spark, sf_dir).select("doc_id", T.table_html(F.array("lang", F.lit("a|b")), F.array(F.array(cell))).alias("html"))
+
+
+@query(SQL["chunk_language"].replace("left(text, (doc_id % 60)::INT)", "text"))
+def text_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    detected = F.when(F.col("doc_id") % 4 > 0, F.col("lang"))
+    return _documents(spark, sf_dir).select("doc_id", T.chunk_language(F.col("text"), detected, F.col("doc_id") % 5 == 0, F.lit("de")).alias("language"))

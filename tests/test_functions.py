@@ -127,6 +127,15 @@ def test_all_documents_are_packed(spark):
     assert sorted(got) == sorted(want)
 
 
+def test_ngram_ban_reads_the_whole_text(spark):
+    want = {}
+    for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect():
+        ids = [ord(c) % 7 for c in r["text"]]
+        starts = range(max(0, len(ids) - 50), len(ids) - 2)
+        want[r["doc_id"]] = sorted({ids[i + 2] for i in starts if ids[i : i + 2] == ids[-2:]} - {2})
+    assert {r["doc_id"]: r["banned"] for r in catalogue.QUERIES["ngram_ban"](spark, DATA).collect()} == want
+
+
 def test_join_lines(spark):
     lines = F.array(*map(F.lit, ("para-", " graph ", "", "goes on")))
     assert value(spark, T.join_lines(lines)) == "paragraph goes on"
