@@ -32,24 +32,48 @@ def trim() -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share, as the session names it.
 
-    Where the session names none (tests on one machine), a folder of this machine is set.
+    Where the session names none and runs within one process (tests), a folder of this machine is set. On a cluster
+    that would leave each machine with files that no other sees, so there it is an error.
     """
     found = spark.conf.get(CHECKPOINT_DIR, None)
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError(f"{CHECKPOINT_DIR} names no folder that the driver and the executors share")
         found = "file://" + tempfile.mkdtemp(prefix="quire-")
         spark.conf.set(CHECKPOINT_DIR, found)
     return found.rstrip("/")
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names that begin as `names` do and that no column of `df` has, in whatever case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def whole_numbers(df: DataFrame, key: str) -> None:
+    """Raises if the key's column isn't one of whole numbers, rather than let a cast make nulls of its values."""
+    kind = dict(df.dtypes)[key]
+    if kind not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"{key} must be a column of whole numbers, not {kind}")
+
+
 class Scratch:
     """Tables written to the shared folder, which cut the lineage and outlive lost executors.
 
     Each scratch has a folder of its own. `drop` removes a table that is no longer read; what is
-    left goes when the driver ends, as a returned DataFrame may still read it. As rows hold whole texts,
+    left goes when the driver ends, as a returned DataFrame may still read it. The shuffle files of what is saved
+    go as soon as it is, since nothing reads them any more. As rows hold whole texts,
     the session's Arrow batches are held to `BATCH_ROWS` rows.
     """
 
     BATCH_ROWS = 1000
+    CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
@@ -60,8 +84,13 @@ class Scratch:
 
     def save(self, df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
         path = f"{self.root}/{name}"
-        writer = df.write.option("compression", "zstd")
-        (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+        before = self.spark.conf.get(self.CLEANUP, "false")
+        self.spark.conf.set(self.CLEANUP, "true")
+        try:
+            writer = df.write.option("compression", "zstd")
+            (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+        finally:
+            self.spark.conf.set(self.CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:

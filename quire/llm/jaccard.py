@@ -11,8 +11,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.chunks import bucket_edges, n_buckets, opened, packed, spread, spread_sorted, squeeze, squeeze_sorted, text_bytes
-from quire.llm.common import Scratch, mix, rolled, signed, trim, word_hashes
+from quire.llm.chunks import FAN, MESSAGE, corpus_counts, messages, n_chunks, opened, packed, range_bits, spread, spread_sorted, squeeze_sorted, text_bytes
+from quire.llm.common import Scratch, mix, rolled, signed, trim, whole_numbers, word_hashes
 from quire.llm.components import connected_components
 
 #: Longest multi-match requirement, and the weight of a verification against reading a posting.
@@ -31,9 +31,10 @@ def shingle_set(text: str | None, width: int) -> np.ndarray:
     return found[np.concatenate([[True], found[1:] != found[:-1]])]
 
 
-def set_id(shingles: np.ndarray) -> int:
-    """64 bits that name a set; equal sets have equal names."""
-    return xxhash.xxh3_64_intdigest(shingles.tobytes()) - (1 << 63)
+def set_name(shingles: np.ndarray) -> tuple[int, int]:
+    """128 bits that name a set, as two signed halves; equal sets have equal names."""
+    both = xxhash.xxh3_128_intdigest(shingles.tobytes())
+    return (both >> 64) - (1 << 63), (both & ((1 << 64) - 1)) - (1 << 63)
 
 
 def prefix(shingles: np.ndarray, frequency: np.ndarray, num: int, den: int) -> tuple[np.ndarray, int]:
@@ -53,33 +54,35 @@ def prefix(shingles: np.ndarray, frequency: np.ndarray, num: int, den: int) -> t
     return order[: lengths[best]], int(choices[best])
 
 
-def _sets(docs: DataFrame, key: str, text: str, width: int, num: int, den: int, scratch: Scratch, label: str, chunk_bytes: int) -> DataFrame:
-    """A row (id, chunk, n, sid, l, head, shingles) for every document.
+def _sets(docs: DataFrame, key: str, text: str, width: int, num: int, den: int, scratch: Scratch, label: str, chunk_bytes: int, fan: int) -> DataFrame:
+    """A row (id, chunk, n, s1, s2, l, head, shingles) for every document; s1 and s2 name its set.
 
     head: its prefix shingles that occur in other sets too; null, with l and shingles, if they are fewer than l, which rules out
     any link, or if the chunk has the set already.
 
     Frequencies are counted over all documents by shortened hashes (13 bits more than the corpus has shingles, so that few share
-    one): each chunk sends its distinct ones to buckets of the hash space, which answer with their sums. A shared short hash
+    one): each chunk sends its distinct ones to ranges of the hash space, which answer with their sums. A shared short hash
     only makes a shingle look more frequent, to all sets alike.
     """
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     size = text_bytes(rows, "text")
     bits = int(np.clip(math.ceil(math.log2(size)) + 11, 32, 64))
     drop = np.uint64(64 - bits)
-    n_parts = n_buckets(size, chunk_bytes)
-    edges = bucket_edges(n_parts, bits)
+    senders = n_chunks(size, chunk_bytes)
+    more = range_bits(senders, fan)
     chunks = scratch.save(packed(rows, "text", chunk_bytes), f"{label}-chunks")
 
-    def built(blob: bytes) -> tuple[list, list[np.ndarray], list[int], np.ndarray]:
+    def built(blob: bytes) -> tuple[list, list[np.ndarray], list[tuple[int, int]], np.ndarray]:
         """ids, sets, names and which documents are the first with a key of their set in the chunk."""
         found = opened(blob)
         sets = [shingle_set(t.as_py(), width) for t in found.column("text")]
-        names = [set_id(s) for s in sets]
+        names = [set_name(s) for s in sets]
         ids = found.column("id").to_pylist()
-        keyed = np.flatnonzero([i is not None for i in ids])
-        fresh = np.zeros(len(names), dtype=bool)
-        fresh[keyed[np.unique(np.array(names, dtype=np.int64)[keyed], return_index=True)[1]]] = True
+        fresh, seen = np.zeros(len(names), dtype=bool), set()
+        for at, (i, name) in enumerate(zip(ids, names, strict=True)):
+            if i is not None and name not in seen:
+                seen.add(name)
+                fresh[at] = True
         return ids, sets, names, fresh
 
     def short(sets: list[np.ndarray], fresh: np.ndarray) -> np.ndarray:
@@ -91,24 +94,14 @@ def _sets(docs: DataFrame, key: str, text: str, width: int, num: int, den: int,
             for chunk, blob in zip(pdf["chunk"], pdf["packed"], strict=True):
                 _, sets, _, fresh = built(blob)
                 keys, n = np.unique(short(sets, fresh), return_counts=True)
-                cuts = [0, *np.searchsorted(keys, edges), len(keys)]
-                out = [(b, chunk, squeeze_sorted(keys[i:j]), squeeze(n[i:j])) for b, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False)) if j > i]
-                yield pd.DataFrame(out, columns=["bucket", "chunk", "keys", "counts"])
+                yield pd.DataFrame(messages(0, chunk, keys, n, 0, 0, more, bits), columns=["k", "part", "sender", "keys", "counts"])
                 trim()
 
-    def answer(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        keys = [spread_sorted(b) for b in pdf["keys"]]
-        _, place = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.bincount(place, weights=np.concatenate([spread(b) for b in pdf["counts"]]).astype(np.float64)).astype(np.int64)
-        back = np.split(total[place], np.cumsum([len(k) for k in keys])[:-1])
-        return pd.DataFrame({"chunk": pdf["chunk"].to_numpy(), "bucket": group[0], "counts": [squeeze(b) for b in back]})
-
-    sent = chunks.mapInPandas(send, "bucket int, chunk long, keys binary, counts binary")
-    answers = scratch.save(sent.groupBy("bucket").applyInPandas(answer, "chunk long, bucket int, counts binary"), f"{label}-answers")
+    answers = corpus_counts(chunks.mapInPandas(send, MESSAGE), senders, bits, scratch, label, fan)
 
     def heads(group: tuple, held: pd.DataFrame, counted: pd.DataFrame) -> pd.DataFrame:
         out = []
-        counts = [spread(b) for b in counted.sort_values("bucket")["counts"]]
+        counts = [spread(b) for b in counted.sort_values("part")["counts"]]
         known = np.concatenate(counts) if counts else np.zeros(0, np.uint64)
         for blob in held["packed"]:
             ids, sets, names, fresh = built(blob)
@@ -120,7 +113,7 @@ def _sets(docs: DataFrame, key: str, text: str, width: int, num: int, den: int,
                 frequency[order] = known[np.cumsum(np.concatenate([[False], ranked[1:] != ranked[:-1]]))]
             at = 0
             for i, s, name, first in zip(ids, sets, names, fresh, strict=True):
-                row = (i, group[0], len(s), name, None, None, None)
+                row = (i, group[0], len(s), *name, None, None, None)
                 if first:
                     own = frequency[at : at + len(s)]
                     at += len(s)
@@ -128,17 +121,17 @@ def _sets(docs: DataFrame, key: str, text: str, width: int, num: int, den: int,
                         places, need = prefix(s, own, num, den)
                         head = s[places[own[places] > 1]]
                         if len(head) >= need:
-                            row = (*row[:4], need, signed(head), squeeze_sorted(s))
+                            row = (*row[:5], need, signed(head), squeeze_sorted(s))
                 out.append(row)
-        frame = pd.DataFrame(out, columns=["id", "chunk", "n", "sid", "l", "head", "shingles"]).astype({"id": "Int64", "l": "Int32"})
+        frame = pd.DataFrame(out, columns=["id", "chunk", "n", "s1", "s2", "l", "head", "shingles"]).astype({"id": "Int64", "l": "Int32"})
         del out, held, counted, counts, known
         trim()
         return frame
 
-    schema = "id long, chunk long, n long, sid long, l int, head array<long>, shingles binary"
-    made = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(heads, schema)
+    schema = "id long, chunk long, n long, s1 long, s2 long, l int, head array<long>, shingles binary"
+    made = chunks.groupBy("chunk").cogroup(answers.where("sender >= 0").groupBy("sender")).applyInPandas(heads, schema)
     sets = scratch.save(made, f"{label}-sets")
-    scratch.drop(f"{label}-chunks", f"{label}-answers")
+    scratch.drop(f"{label}-chunks")
     return sets
 
 
@@ -182,6 +175,7 @@ def similar_groups(
     den: int = 4,
     label: str = "jaccard",
     chunk_bytes: int = 6 << 20,
+    fan: int = FAN,
 ) -> DataFrame:
     """(key, n_shingles, component_id) for every row of `docs`: groups linked by Jaccard num/den or more.
 
@@ -196,14 +190,19 @@ def similar_groups(
       alike, but not enough), its sets go to their family, which is cut into blocks of `BLOCK`; each two blocks are compared in
       memory and return one row a set, not their pairs.
 
-    So a component is exactly one of the graph of all links. Shingles and sets are known by 64-bit hashes.
+    So a component is exactly one of the graph of all links. Shingles are known by 64-bit hashes, which need to differ only
+    between two texts that are compared, sets by 128-bit ones.
     Null keys get a null component and link nothing else to it; empty and null texts have no shingles
-    and are linked with nothing; a repeated key is one row each time it occurs. An empty table gives no rows.
+    and are linked with nothing; a repeated key is one row each time it occurs. Keys are whole numbers; further columns are ignored.
+    An empty table gives no rows.
     """
-    sets = _sets(docs, key, text, width, num, den, scratch, label, chunk_bytes)
-    owned = sets.where("head IS NOT NULL AND id IS NOT NULL")
-    owners = owned.groupBy("sid").agg(F.min("chunk").alias("chunk"))
-    holders = scratch.save(owned.join(owners, ["sid", "chunk"]).select("sid", "n", "l", "head", "shingles"), f"{label}-holders")
+    whole_numbers(docs, key)
+    sets = _sets(docs, key, text, width, num, den, scratch, label, chunk_bytes, fan)
+    keyed = sets.where("id IS NOT NULL AND n > 0")
+    nodes = keyed.groupBy("s1", "s2").agg(F.min("id").alias("low"), F.min(F.when(F.col("head").isNotNull(), F.col("chunk"))).alias("chunk"))
+    nodes = scratch.save(nodes.withColumn("sid", F.monotonically_increasing_id()), f"{label}-nodes")  # numbers that stay, once written
+    owned = keyed.where("head IS NOT NULL").select("s1", "s2", "chunk", "n", "l", "head", "shingles")
+    holders = scratch.save(owned.join(nodes.where("chunk IS NOT NULL"), ["s1", "s2", "chunk"]).select("sid", "n", "l", "head", "shingles"), f"{label}-holders")
     each = holders.select("sid", "n", "l", F.explode("head").alias("h"))
     common = each.groupBy("h").agg(F.min("sid").alias("low"), F.max("sid").alias("high")).where("low < high").select("h")
     postings = scratch.save(each.join(common, "h"), f"{label}-postings")
@@ -231,11 +230,11 @@ def similar_groups(
         links = _verified(light, holders, num, den).union(_families(heavy, holders, scratch, label, num, den))
         found = scratch.save(found.union(links) if found is not None else links, f"{label}-all-links")
         comps = _components(found, scratch, f"{label}-last")
-    nodes = sets.where("id IS NOT NULL AND n > 0").groupBy("sid").agg(F.min("id").alias("low"))
-    members = nodes.join(comps, "sid", "left").withColumn("c", F.coalesce("c", "sid")) if comps is not None else nodes.withColumn("c", F.col("sid"))
+    members = nodes.select("s1", "s2", "sid", "low")
+    members = members.join(comps, "sid", "left").withColumn("c", F.coalesce("c", "sid")) if comps is not None else members.withColumn("c", F.col("sid"))
     lowest = members.groupBy("c").agg(F.min("low").alias("component_id"))
-    named = scratch.save(members.join(lowest, "c").select("sid", "component_id"), f"{label}-named")
-    rows = sets.select("id", "n", "sid").join(named, "sid", "left")
+    named = scratch.save(members.join(lowest, "c").select("s1", "s2", "component_id"), f"{label}-named")
+    rows = sets.select("id", "n", "s1", "s2").join(named, ["s1", "s2"], "left")
     component = F.when(F.col("id").isNull(), None).when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
     return rows.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"))
 

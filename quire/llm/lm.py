@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.chunks import bucket_edges, n_buckets, opened, packed, spread, spread_sorted, squeeze, squeeze_sorted, text_bytes
+from quire.llm.chunks import FAN, MESSAGE, corpus_counts, messages, n_chunks, opened, packed, range_bits, spread, text_bytes
 from quire.llm.common import Scratch, mix, trim, word_hashes
 
 START, END = np.uint64(0x5CA1AB1E0DDBA11), np.uint64(0xE4D0F7E47E4D0F7E)
@@ -87,6 +87,7 @@ def score(
     order: int = 2,
     strength: float = 128.0,
     chunk_bytes: int = 8 << 20,
+    fan: int = FAN,
 ) -> DataFrame:
     """`docs` without its text and `learn` column, with n_tokens, n_known, train_tokens, base_score and score.
 
@@ -97,10 +98,9 @@ def score(
 
     Counts never sit in one place. Texts are packed into chunks of about `chunk_bytes` in the shared folder.
     Each chunk sends its distinct n-gram hashes (64 bits, sorted, packed as differences) with its counts to
-    buckets of the hash space, one message a chunk and bucket; buckets add the counts and answer each chunk
-    with the corpus's counts of just its n-grams. So a word that is in every text costs one entry a chunk,
+    ranges of the hash space, `fan` messages an order at most; ranges add the counts, through blocks of chunks if there are more than
+    `fan` chunks, and answer each chunk with the corpus's counts of just its n-grams. So a word that is in every text costs one entry a chunk,
     and a chunk's automaton is held by the one worker that walks its texts. The driver gets two sums.
-    The messages grow as chunks times buckets: raise `chunk_bytes` with the square root of the input.
 
     Null and empty texts are the END token alone. Null keys, repeated rows and further columns pass
     through; result names that clash with input columns replace them. An empty table gives no rows.
@@ -108,42 +108,28 @@ def score(
     made = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
     rows = docs.drop(*made).withColumn(learn, F.coalesce(F.col(learn), F.lit(False)))
     size = text_bytes(rows, text)
-    n_parts = n_buckets(size, chunk_bytes)
-    edges = bucket_edges(n_parts)
     chunks = scratch.save(packed(rows, text, chunk_bytes), "chunks")
+    senders = n_chunks(size, chunk_bytes)
+    more = range_bits(senders, fan)
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for chunk, blob in zip(pdf["chunk"], pdf["packed"], strict=True):
                 found = opened(blob)
                 grams = Grams(found.column(text).to_pylist(), order)
-                out = []
-                for k, (h, c) in enumerate(zip(grams.sorted, grams.counts(found.column(learn).to_numpy()), strict=True)):
-                    cuts = [0, *np.searchsorted(h, edges), len(h)]
-                    for b in range(n_parts):
-                        i, j = cuts[b], cuts[b + 1]
-                        if j > i:
-                            out.append((k, b, chunk, squeeze_sorted(h[i:j]), squeeze(c[i:j])))
-                yield pd.DataFrame(out, columns=["k", "bucket", "chunk", "hashes", "counts"])
+                counts = grams.counts(found.column(learn).to_numpy())
+                for k, (h, c) in enumerate(zip(grams.sorted, counts, strict=True)):
+                    yield pd.DataFrame(messages(k, chunk, h, c, 0, 0, more, 64), columns=["k", "part", "sender", "keys", "counts"])
+                del grams, counts, found
                 trim()
 
-    def answer(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        hashes = [spread_sorted(b) for b in pdf["hashes"]]
-        distinct, place = np.unique(np.concatenate(hashes), return_inverse=True)
-        total = np.bincount(place, weights=np.concatenate([spread(b) for b in pdf["counts"]]).astype(np.float64)).astype(np.int64)
-        back = np.split(total[place], np.cumsum([len(h) for h in hashes])[:-1])
-        rows = [(c, key[0], key[1], squeeze(b), 0, 0) for c, b in zip(pdf["chunk"], back, strict=True)]
-        rows.append((-1, key[0], key[1], b"", int(total.sum()), int((total > 0).sum())))
-        return pd.DataFrame(rows, columns=["chunk", "k", "bucket", "counts", "n", "v"])
-
-    sent = chunks.mapInPandas(send, "k int, bucket int, chunk long, hashes binary, counts binary")
-    answers = scratch.save(sent.groupBy("k", "bucket").applyInPandas(answer, "chunk long, k int, bucket int, counts binary, n long, v long"), "answers")
-    n_train, vocabulary = (x or 0 for x in answers.where("chunk = -1 AND k = 0").agg(F.sum("n"), F.sum("v")).first())
+    answers = corpus_counts(chunks.mapInPandas(send, MESSAGE), senders, 64, scratch, "lm", fan)
+    n_train, vocabulary = (x or 0 for x in answers.where("sender = -1 AND k = 0").agg(F.sum("n"), F.sum("v")).first())
     rest = [f for f in rows.schema if f.name not in (text, learn)]
 
     def walk(_: tuple, held: pd.DataFrame, counted: pd.DataFrame) -> pd.DataFrame:
         out = []
-        counted = counted.sort_values(["k", "bucket"])
+        counted = counted.sort_values(["k", "part"])
         for blob in held["packed"]:
             found = opened(blob)
             grams = Grams(found.column(text).to_pylist(), order)
@@ -181,4 +167,4 @@ def score(
         return frame
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest), "n_tokens long, n_known long, train_tokens long, base_score double, score double"])
-    return chunks.groupBy("chunk").cogroup(answers.where("chunk >= 0").groupBy("chunk")).applyInPandas(walk, schema)
+    return chunks.groupBy("chunk").cogroup(answers.where("sender >= 0").groupBy("sender")).applyInPandas(walk, schema)
