@@ -6,61 +6,78 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-from quire.llm.common import trim
+from quire.llm.common import Scratch, trim, unused
 
-BUCKET, TIE = "_quire_bucket", "_quire_tie"
+#: Buckets whose places are summed together: one row of sums each.
+SPAN = 4096
 
 
-def shard(
-    df: DataFrame, n_shards: int = 16, key: str = "doc_id", text: str = "text", seed: int = 17, bucket_bytes: int = 8 << 20
-) -> DataFrame:
+def _content(rows: DataFrame) -> list[Column]:
+    """All columns in a form that can be hashed."""
+    return [F.to_json(F.struct(f.name)) if "map" in f.dataType.simpleString() or "variant" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in rows.schema]
+
+
+def shard(df: DataFrame, n_shards: int = 16, text: str = "text", seed: int = 17, bucket_bytes: int = 8 << 20, scratch: Scratch | None = None) -> DataFrame:
     """Every row of `df`, in random order, with its `shard` and its `slot` there.
 
-    Pass one scatters the rows into buckets of about `bucket_bytes` by a seeded hash of the key. Pass two
-    brings each bucket into one worker's memory, puts it in a canonical order and Fisher-Yates shuffles it
-    with a generator seeded by (seed, bucket). The buckets in sequence are the global order; its row g goes
-    to shard g mod n, slot g div n. So shards hold counts at most one apart (law `rows`), slots are gapless
-    from 0, and neither depends on the order of arrival.
+    Pass one scatters the rows into buckets of about `bucket_bytes` by a seeded hash of their whole content; a row that
+    occurs n times takes part as n copies numbered from 0, whose numbers are hashed too. So a key may hold any share of the rows, and rows
+    that are alike spread over the buckets like others. Pass two brings each bucket into one worker's memory, puts it in a
+    canonical order and Fisher-Yates shuffles it with a generator seeded by (seed, bucket). The buckets in
+    sequence are the global order; its row g goes to shard g mod n, slot g div n. So shards hold counts at most
+    one apart (law `rows`), slots are gapless from 0, and the result depends on the rows alone, not on their files, splits or order.
 
-    The driver holds one row count a bucket. Where keys repeat a lot (less than nine tenths are distinct),
-    the hash also takes the row's ordinal in its input split, so that one key may hold any share of the rows.
+    Before pass one a table of row hashes (128 bits) and sizes is summed and written: the number of buckets, which rows repeat, and
+    where each bucket begins follow from it. Beginnings are running sums over `SPAN` buckets, then over the spans; they are
+    brought to the buckets by a cogroup. The driver gets the number of rows and bytes.
 
-    Null keys and texts are kept and count as such; repeated rows are all kept; an empty table gives no
-    rows. Input columns named `shard` or `slot` are replaced. A text longer than a bucket makes a
-    bucket that large.
+    Null keys and texts are kept and count as such; an empty table gives no
+    rows. Input columns named `shard` or `slot` are replaced. A text longer than a bucket makes a bucket that large.
     """
     if n_shards < 1:
         raise ValueError("n_shards must be at least 1")
+    scratch = scratch or Scratch(df.sparkSession, "shards")
     rows = df.drop("shard", "slot")
-    total, size, distinct = rows.agg(
-        F.count("*"),
-        F.coalesce(F.sum(F.coalesce(F.octet_length(text), F.lit(0)) + 1), F.lit(0)),
-        F.approx_count_distinct(F.coalesce(F.xxhash64(key), F.lit(0)), 0.02),
-    ).first()
+    schema = T.StructType([*rows.schema, T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType())])
+    x, y, n, copy, bucket = unused(rows, "_x", "_y", "_n", "_copy", "_bucket")
+    content = _content(rows)
+    named = rows.withColumns({x: F.xxhash64(F.lit(seed), *content), y: F.xxhash64(F.lit(~seed), *reversed(content))})
+    sizes = named.select(x, y, (F.coalesce(F.octet_length(text), F.lit(0)) + 1).alias("size"))
+    known = scratch.save(sizes.groupBy(x, y).agg(F.count("*").alias(n), F.min("size").alias("size")), "rows")
+    total, size, most = known.agg(F.coalesce(F.sum(n), F.lit(0)), F.coalesce(F.sum(F.col(n) * F.col("size")), F.lit(0)), F.max(n)).first()
     n_buckets = max(1, math.ceil(size / bucket_bytes))
-    salt = [F.monotonically_increasing_id()] if distinct < 0.9 * total else []
-    bucket = F.pmod(F.xxhash64(F.lit(seed), F.col(key), *salt), F.lit(n_buckets))
-    ties = [f.name for f in rows.schema if "map" not in f.dataType.simpleString()]
-    rows = rows.withColumn(BUCKET, bucket)
-    counts = dict(rows.groupBy(BUCKET).count().collect())
-    start, at = {}, 0
-    for b in sorted(counts):
-        start[b], at = at, at + counts[b]
-    schema = T.StructType([*df.drop("shard", "slot").schema, T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType())])
-
-    def shuffled(pdf: pd.DataFrame) -> pd.DataFrame:
-        b = int(pdf[BUCKET].iloc[0])
-        order = np.lexsort((pdf[TIE].to_numpy(), pdf[key].fillna(-1).to_numpy()) if pdf[key].dtype != object else (pdf[TIE].to_numpy(),))
-        np.random.default_rng([seed, b]).shuffle(order)  # Fisher-Yates
-        at = start[b] + np.arange(len(order), dtype=np.int64)
+    at = F.pmod(F.xxhash64(F.lit(seed), x, y, copy), F.lit(n_buckets))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+
+    if total and most > 1:
+        again = known.where(F.col(n) > 1).select(x, y, n)
+        marked = named.join(again, [x, y], "left")
+        single = marked.where(F.col(n).isNull()).withColumn(copy, F.lit(0).cast("long"))
+        several = marked.where(F.col(n).isNotNull()).dropDuplicates([x, y]).withColumn(copy, every)
+        dealt = single.unionByName(several).drop(n)
+    else:
+        dealt = named.withColumn(copy, F.lit(0).cast("long"))
+    dealt = dealt.withColumn(bucket, at)
+    counts = known.withColumn(copy, every).groupBy(at.alias("bucket")).agg(F.count("*").alias("rows")).withColumn("span", F.floor(F.col("bucket") / SPAN))
+    spans = counts.groupBy("span").agg(F.sum("rows").alias("whole"))  # a row for 32 GB of input
+    spans = spans.select("span", (F.sum("whole").over(Window.orderBy("span")) - F.col("whole")).alias("before"))
+    inside = F.sum("rows").over(Window.partitionBy("span").orderBy("bucket")) - F.col("rows")
+    starts = counts.withColumn("inside", inside).join(spans, "span").select("bucket", (F.col("before") + F.col("inside")).alias("start"))
+    starts = scratch.save(starts, "starts")
+
+    def shuffled(key: tuple, pdf: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
+        order = np.lexsort((pdf[copy].to_numpy(), pdf[y].to_numpy(), pdf[x].to_numpy()))
+        np.random.default_rng([seed, int(key[0])]).shuffle(order)  # Fisher-Yates
+        place = int(start["start"].iloc[0]) + np.arange(len(order), dtype=np.int64)
         trim()
-        return pdf.iloc[order].drop(columns=[BUCKET, TIE]).assign(shard=(at % n_shards).astype(np.int32), slot=at // n_shards)
+        return pdf.iloc[order].drop(columns=[x, y, copy, bucket]).assign(shard=(place % n_shards).astype(np.int32), slot=place // n_shards)
 
-    return rows.withColumn(TIE, F.xxhash64(*ties)).groupBy(BUCKET).applyInPandas(shuffled, schema)
+    return dealt.groupBy(bucket).cogroup(starts.groupBy("bucket")).applyInPandas(shuffled, schema)
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:
