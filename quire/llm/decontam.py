@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import BitFilter, Digests, Scratch, mix, signed, trim
+from quire.llm.common import BitFilter, Digests, Scratch, mix, signed, trim, unused
 
 #: A leak is a window of WINDOW tokens that differ from an item's in at most SUBSTITUTIONS places.
 WINDOW, SUBSTITUTIONS, LEAST = 13, 2, 5
@@ -20,8 +20,9 @@ MASKS = ("11101011", "110100111")
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _TOKEN = re.compile(r"\w+")
 _SPLIT_TOKENS = 1 << 18
-#: A table of test hashes of up to so many rows is broadcast (24 bytes a row); a larger one is shuffled.
-BROADCAST_ROWS = 1_000_000
+#: Test hashes with the tokens around them are broadcast if they take so many bytes at most; a larger table is shuffled.
+BROADCAST_BYTES, ROW_BYTES = 32 << 20, 96
+AHEAD = WINDOW - min(map(len, MASKS))
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -58,7 +59,7 @@ def overlaps(docs: DataFrame, tests: DataFrame, scratch: Scratch, key: str = "do
     most 2 places; items of 5 to 12 tokens where they occur whole; shorter ones never. `n_same` is the most
     equal tokens in a window, `first` and `last` bound the token places found in the document.
 
-    Masks hash the tests into a table (hash, item, place). One pass over the documents hashes every place;
+    Masks hash the tests into a table (hash, item, the tokens around the place: what a window that holds the mask can reach). One pass over the documents hashes every place;
     a fixed-size bit table of the test hashes drops nearly all places where nothing can match, and the rest are
     joined with the tests by hash. Each hit carries the tokens around it, so it is verified where it is, without reading the document
     again. Hits are not gathered by item or document before the final sum, which is partial on both sides.
@@ -71,24 +72,23 @@ def overlaps(docs: DataFrame, tests: DataFrame, scratch: Scratch, key: str = "do
     def test_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         digests = Digests()
         for pdf in batches:
-            out = []
             for item, t in zip(pdf["item"], pdf["text"], strict=True):
                 h = digests.of(tokens(t))
                 if len(h) < LEAST:
                     continue
-                short = len(h) < WINDOW
-                for mask in ("1" * len(h),) if short else MASKS:
-                    found = signed(seeds(h, mask))
-                    out += [(int(s), len(mask), int(mask, 2), at, item, h.tobytes()) for at, s in enumerate(found)]
-            yield pd.DataFrame(out, columns=["seed", "span", "mask", "place", "item", "tokens"])
+                for mask in ("1" * len(h),) if len(h) < WINDOW else MASKS:
+                    found, out = signed(seeds(h, mask)), []
+                    for at, s in enumerate(found):
+                        begin = max(0, at - AHEAD)
+                        out.append((int(s), len(mask), int(mask, 2), at - begin, len(h) < WINDOW, item, h[begin : at + WINDOW].tobytes()))
+                    yield pd.DataFrame(out, columns=["seed", "span", "mask", "place", "short", "item", "tokens"])
 
     rows = tests.select(F.col(test_key).alias("item"), F.col(test_text).alias("text"))
     kind = rows.schema["item"].dataType.simpleString()
-    hashed = scratch.save(rows.mapInPandas(test_rows, f"seed long, span int, mask int, place int, item {kind}, tokens binary"), "tests")
-    n_tests = hashed.count()
+    hashed = scratch.save(rows.mapInPandas(test_rows, f"seed long, span int, mask int, place int, short boolean, item {kind}, tokens binary"), "tests")
+    n_tests, test_bytes = hashed.agg(F.count("*"), F.sum(F.length("tokens") + F.coalesce(F.octet_length(F.col("item").cast("string")), F.lit(0)) + ROW_BYTES)).first()
     masks = sorted((r["mask"], r["span"]) for r in hashed.select("mask", "span").distinct().collect())  # 2 and a length of short items each: 10 at most
     bits = BitFilter(hashed, "seed", bits=1 << 26, hashed=True)
-    ahead = WINDOW - min(map(len, MASKS))
 
     def doc_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         digests, pending, keys, size = Digests(), [], [], 0
@@ -105,7 +105,7 @@ def overlaps(docs: DataFrame, tests: DataFrame, scratch: Scratch, key: str = "do
                 at = np.flatnonzero((owner[: len(found)] == owner[span - 1 :]) & bits.maybe(signed(found)))
                 for place, seed in zip(at, signed(found[at]), strict=True):
                     d = owner[place]
-                    a, b = max(begin[d], place - ahead), min(begin[d] + lengths[d], place + max(WINDOW, span))
+                    a, b = max(begin[d], place - AHEAD), min(begin[d] + lengths[d], place + max(WINDOW, span))
                     out.append((keys[d], int(seed), int(place - a), int(a - begin[d]), flat[a:b].tobytes()))
             return pd.DataFrame(out, columns=["doc", "seed", "inside", "offset", "around"])
 
@@ -127,20 +127,20 @@ def overlaps(docs: DataFrame, tests: DataFrame, scratch: Scratch, key: str = "do
     doc_kind = texts.schema["doc"].dataType.simpleString()
     hits = texts.mapInPandas(doc_rows, f"doc {doc_kind}, seed long, inside int, offset int, around binary") if n_tests else spark.createDataFrame([], f"doc {doc_kind}, seed long, inside int, offset int, around binary")
     hits = scratch.save(hits, "hits")  # so that finding and verifying have one Python worker a task each, not two
-    side = hashed.select("seed", "place", "item", "tokens")
-    joined = hits.join(F.broadcast(side) if n_tests <= BROADCAST_ROWS else side, "seed")
+    side = hashed.select("seed", "place", "short", "item", "tokens")
+    joined = hits.join(F.broadcast(side) if (test_bytes or 0) <= BROADCAST_BYTES else side, "seed")
 
     @F.pandas_udf("n_same int, n_window int, first int, last int")
-    def verify(around: pd.Series, inside: pd.Series, offset: pd.Series, place: pd.Series, item: pd.Series) -> pd.DataFrame:
+    def verify(around: pd.Series, inside: pd.Series, offset: pd.Series, place: pd.Series, short: pd.Series, item: pd.Series) -> pd.DataFrame:
         out = []
-        for a, i, o, p, t in zip(around, inside, offset, place, item, strict=True):
+        for a, i, o, p, small, t in zip(around, inside, offset, place, short, item, strict=True):
             t = np.frombuffer(t, dtype=np.uint64)
-            window = min(WINDOW, len(t))
-            found = _aligned(np.frombuffer(a, dtype=np.uint64), t, i - p, window, SUBSTITUTIONS if window == WINDOW else 0)
+            window = len(t) if small else WINDOW
+            found = _aligned(np.frombuffer(a, dtype=np.uint64), t, i - p, window, 0 if small else SUBSTITUTIONS)
             out.append((found[2], window, found[0] + o, found[1] + o) if found else (None, None, None, None))
         return pd.DataFrame(out, columns=["n_same", "n_window", "first", "last"]).astype("Int32")
 
-    checked = joined.select("doc", "item", verify("around", "inside", "offset", "place", "tokens").alias("v")).where("v.n_same IS NOT NULL")
+    checked = joined.select("doc", "item", verify("around", "inside", "offset", "place", "short", "tokens").alias("v")).where("v.n_same IS NOT NULL")
     grouped = checked.groupBy("doc", "item").agg(
         F.max("v.n_same").alias("n_same"), F.max("v.n_window").alias("n_window"), F.min("v.first").alias("first"), F.max("v.last").alias("last")
     )
@@ -148,7 +148,8 @@ def overlaps(docs: DataFrame, tests: DataFrame, scratch: Scratch, key: str = "do
 
 
 def without_leaks(docs: DataFrame, tests: DataFrame, scratch: Scratch, text: str = "text", test_key: str = "item_id") -> DataFrame:
-    """The rows of `docs` whose texts overlap with no item; equal texts share their fate, keys don't matter."""
-    named = docs.withColumn("_quire_text", F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
-    leaked = scratch.save(overlaps(named, tests, scratch, key="_quire_text", text=text, test_key=test_key).select("_quire_text").distinct(), "leaked")
-    return named.join(leaked, "_quire_text", "left_anti").drop("_quire_text")
+    """The rows of `docs` whose texts overlap with no item; equal texts share their fate, keys don't matter. All columns stay."""
+    (name,) = unused(docs, "_text_id")
+    named = docs.withColumn(name, F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
+    leaked = scratch.save(overlaps(named, tests, scratch, key=name, text=text, test_key=test_key).select(name).distinct(), "leaked")
+    return named.join(leaked, name, "left_anti").drop(name)
