@@ -10,9 +10,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import Scratch
+from quire.llm.common import Scratch, unused
 
-ROUNDS, TOLERANCE = 40, 1e-7
+#: Passes over the posteriors at most, and the distance from the targets, as a share of all tokens, that ends them.
+PASSES, TOLERANCE = 40, 1e-7
 _SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -52,16 +53,17 @@ def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
 def fit_domains(docs: DataFrame, labels: DataFrame, scratch: Scratch, max_labelled: int = 8_000, n_features: int = 256, seed: int = 8) -> DomainModel:
     """Learns domains from `labels` (doc_id, domain): at most `max_labelled` labelled documents, those of smallest hash, so every
     domain has its share. The words kept are those whose document counts depart most (chi-square) from the same in each domain;
-    counting and choosing them is a distributed sum. The driver gets which of them each of the sampled documents has, and fits the weights."""
+    counting and choosing them is a distributed sum. The driver gets which of them each of the sampled documents has, and fits the weights.
+    Without a labelled document there is no domain."""
     once = labels.where("domain IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("domain").alias("domain"))
     once = once.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
     sample = F.broadcast(once.orderBy(F.xxhash64(F.lit(seed), "doc_id")).limit(max_labelled))
-    chosen = docs.select("doc_id", "text").join(sample, "doc_id")
+    chosen = docs.select("doc_id", "text").join(sample, "doc_id").groupBy("doc_id", "domain").agg(F.min("text").alias("text"))  # one row a key
     words = scratch.save(chosen.select("doc_id", "domain", F.array_distinct(_tokens(F.col("text"))).alias("words")), "sample")
     totals = {r["domain"]: r["n"] for r in words.groupBy("domain").agg(F.count("*").alias("n")).collect()}
     domains = sorted(totals)
     if not domains:
-        raise ValueError("no labelled document")
+        return DomainModel([], [], {})
     n = np.array([totals[d] for d in domains], dtype=float)
     each = [F.sum((F.col("domain") == d).cast("int")).alias(f"n{i}") for i, d in enumerate(domains)]
     counts = words.select("domain", F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"), *each).where("n >= 10")
@@ -94,89 +96,110 @@ def _softmax(x: np.ndarray, y: np.ndarray, d: int, penalty: float = 2e-4, rounds
     return w
 
 
-def with_posterior(docs: DataFrame, model: DomainModel, text: str = "text") -> DataFrame:
-    """`docs` with n_tokens (words) and the posterior's columns p0, p1, ..."""
-    rows = docs.withColumn("_quire_words", _tokens(F.col(text)))
-    rows = rows.withColumn("n_tokens", F.size("_quire_words").cast("long")).withColumn("_quire_p", model.posterior(F.col("_quire_words")))
+def with_posterior(docs: DataFrame, model: DomainModel, text: str = "text", n_tokens: str = "n_tokens", prefix: str = "p") -> DataFrame:
+    """`docs` with the number of words and the posterior's columns, `prefix` with 0, 1, ..."""
+    words, odds = unused(docs, "_words", "_odds")
+    rows = docs.withColumn(words, _tokens(F.col(text)))
+    rows = rows.withColumn(n_tokens, F.size(words).cast("long"))
+    if model.domains:
+        rows = rows.withColumn(odds, model.posterior(F.col(words)))
     for d in range(len(model.domains)):
-        rows = rows.withColumn(f"p{d}", F.col("_quire_p")[d])
-    return rows.drop("_quire_words", "_quire_p")
+        rows = rows.withColumn(f"{prefix}{d}", F.col(odds)[d])
+    return rows.drop(words, odds)
 
 
-def rate(theta: list[float]) -> Column:
-    """A document's rate: the projection of 1 + P theta on the nonnegative numbers."""
-    moved = F.lit(1.0)
-    for d, t in enumerate(theta):
-        moved = moved + F.col(f"p{d}") * F.lit(float(t))
-    return F.greatest(F.lit(0.0), moved)
+Steps = list[list[float]]
 
 
-def fit_rates(rows: DataFrame, domains: list[str], weights: dict[str, float], anchor: str | None = None) -> list[float]:
-    """The steps theta that bring expected domain token totals to their targets.
+def rate(steps: Steps, prefix: str = "p") -> Column:
+    """A document's rate after projected gradient steps from 1: each subtracts the posterior times the step's numbers, then cuts at 0."""
+    now = F.lit(1.0)
+    for step in steps:
+        down = F.lit(0.0)
+        for d, x in enumerate(step):
+            down = down + F.col(f"{prefix}{d}") * F.lit(float(x))
+        now = F.greatest(F.lit(0.0), now - down)
+    return now
 
-    `rows` has n_tokens and p0, p1, ...; least squares asks for sum(rate * tokens * P) = target with rates as near to 1 as can be.
-    All gradients lie in the span of the posteriors, so the rates after any number of projected steps are max(0, 1 + P theta): a
-    step is one distributed sum of D totals and the D x D Gram matrix of the documents with positive rates, which scales the step.
-    Nothing is kept a document, so a lost executor costs one sum. Domains without a weight get 0; weights of domains that
-    were not learnt are left out and the others scaled up. The targets add up to the tokens there are, or
-    to as many as leave the `anchor` domain its own total.
+
+def fit_rates(rows: DataFrame, domains: list[str], weights: dict[str, float], anchor: str | None = None, n_tokens: str = "n_tokens", prefix: str = "p", passes: int = PASSES) -> Steps:
+    """The projected gradient steps that bring expected domain token totals to their targets.
+
+    `rows` has n_tokens (t) and p0, p1, ... (p); least squares minimises half the square of e = sum(rate t p) - target over nonnegative
+    rates, starting from 1 for every document. Distances between rates are weighed by tokens, so a document's gradient is p . e and a
+    projected step sets its rate to max(0, rate - p . v), v being the D numbers of a scaled e: the rates never need to be stored, as they
+    follow from a document's p and the v of each step. A pass is one distributed sum of e and of the D x D Gram matrix
+    G = sum(t p p') of the documents with positive rates. A step is scaled by the inverse of G first, which ends the error at
+    once if no rate is cut; while that doesn't bring the totals nearer it is halved, three times, and then scaled by the largest
+    eigenvalue alone, as plain projected gradient is, which always does. A lost executor costs one sum.
+
+    Domains without a weight get 0; weights of domains that were not learnt are left out and the others scaled up. The targets
+    add up to the tokens there are, or to as many as leave the `anchor` domain its own total. Targets that no
+    nonnegative rates meet are met as nearly as can be.
     """
     d = len(domains)
     share = np.array([max(0.0, weights.get(x, 0.0)) for x in domains])
-    share = share / share.sum() if share.sum() > 0 else np.full(d, 1 / d)
-
-    def sums(theta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        r = rate(theta.tolist())
-        t = F.col("n_tokens").cast("double")
-        totals = [F.sum(r * t * F.col(f"p{i}")) for i in range(d)]
-        gram = [F.sum(F.when(r > 0, t * F.col(f"p{i}") * F.col(f"p{j}")).otherwise(0.0)) for i in range(d) for j in range(d)]
-        got = np.array([x or 0.0 for x in rows.agg(*(c.alias(f"c{k}") for k, c in enumerate([*totals, *gram]))).first()])
-        return got[:d], got[d:].reshape(d, d)
-
-    theta = np.zeros(d)
-    now, gram = sums(theta)
+    share = share / share.sum() if share.sum() > 0 else np.full(d, 1 / max(d, 1))
+
+    def sums(steps: Steps) -> tuple[np.ndarray, np.ndarray]:
+        r, t, p = F.col("r"), F.col(n_tokens).cast("double"), [F.col(f"{prefix}{i}") for i in range(d)]
+        totals = [F.sum(r * t * x) for x in p]
+        gram = [F.sum(F.when(r > 0, t * p[i] * p[j]).otherwise(0.0)) for i in range(d) for j in range(i + 1)]
+        rated = rows.select(n_tokens, *p, rate(steps, prefix).alias("r"))
+        got = np.array([x or 0.0 for x in rated.agg(*(c.alias(f"c{k}") for k, c in enumerate([*totals, *gram]))).first()])
+        matrix = np.zeros((d, d))
+        matrix[np.tril_indices(d)] = got[d:]
+        return got[:d], np.tril(matrix) + np.tril(matrix, -1).T
+
+    if not d:
+        return []
+    done: Steps = []
+    now, gram = sums(done)
     natural = now.sum()
     if not natural:
-        return theta.tolist()
+        return []
     target = share * natural
     if anchor in domains and share[domains.index(anchor)] > 0:
         target = share * now[domains.index(anchor)] / share[domains.index(anchor)]
-    best, error = theta, float(np.abs(now - target).sum())
-    step = 1.0
-    for _ in range(ROUNDS):
-        if error <= TOLERANCE * natural:
+    error, spent = float(np.linalg.norm(now - target)), 1
+    while spent < passes and error > TOLERANCE * natural:
+        values, vectors = np.linalg.eigh(gram)
+        keep = values > 1e-9 * values[-1]
+        if not keep.any():  # every rate is 0
             break
-        trial = best - step * np.linalg.lstsq(gram + 1e-9 * natural * np.eye(d), now - target, rcond=None)[0]
-        totals, matrix = sums(trial)
-        if (off := float(np.abs(totals - target).sum())) < error:
-            best, error, now, gram, step = trial, off, totals, matrix, min(1.0, step * 2)
+        scaled = (vectors[:, keep] / values[keep]) @ (vectors[:, keep].T @ (now - target))
+        for v in (scaled, scaled / 2, scaled / 4, scaled / 8, (now - target) / values[-1]):
+            totals, matrix = sums([*done, v.tolist()])
+            spent += 1
+            off = float(np.linalg.norm(totals - target))
+            if off < 0.999 * error:
+                break
         else:
-            step /= 2
-            if step < 1e-3:
+            if off >= error * (1 - 1e-6):  # as near as can be
                 break
-    return best.tolist()
+        done, error, now, gram = [*done, v.tolist()], off, totals, matrix
+    return done
 
 
-def copies(key: str = "doc_id", seed: int = 8) -> Column:
+def copies(seed: int, key: Column, n_tokens: Column, rated: Column) -> Column:
     """How often a document is taken: its rate rounded up or down by a seeded hash, so that the expectation is the rate."""
-    chance = F.pmod(F.xxhash64(F.lit(seed), F.col(key), "n_tokens"), F.lit(1 << 30)) / float(1 << 30)
-    return (F.floor("rate") + (chance < F.col("rate") - F.floor("rate")).cast("long")).cast("int")
+    chance = F.pmod(F.xxhash64(F.lit(seed), key, n_tokens), F.lit(1 << 30)) / float(1 << 30)
+    return (F.floor(rated) + (chance < rated - F.floor(rated)).cast("long")).cast("int")
 
 
-def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], scratch: Scratch, key: str = "doc_id", anchor: str | None = None) -> tuple[DataFrame, DomainModel, list[float]]:
-    """((key, n_tokens, p0.., rate, copies) a row, the model, theta).
+def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], scratch: Scratch, key: str = "doc_id", anchor: str | None = None, seed: int = 8) -> tuple[DataFrame, DomainModel, Steps]:
+    """((key, n_tokens, p0.., rate, copies) a row, the model, the gradient steps).
 
     Each text is read once, wholly: its word count and posterior are written to the shared folder, and the
     rates are fitted on those few numbers. Null and empty texts have no tokens and the prior as posterior; null keys and
-    repeated rows each have their row; further columns are ignored; an empty table gives no rows.
+    repeated rows each have their row; further columns are ignored, whatever their names; an empty table gives no rows. Where no document is labelled
+    there are no domains: no p columns, and every rate is 1.
     """
-    if docs.isEmpty():
-        return docs.select(key, F.lit(0).cast("long").alias("n_tokens"), F.lit(1.0).alias("rate"), F.lit(1).alias("copies")), DomainModel([], [], {}), []
     model = fit_domains(docs, labels, scratch)
     rows = scratch.save(with_posterior(docs.select(key, "text"), model).drop("text"), "posteriors")
-    theta = fit_rates(rows, model.domains, weights, anchor)
-    rated = rows.withColumn("rate", rate(theta))
-    return rated.withColumn("copies", copies(key)), model, theta
+    steps = fit_rates(rows, model.domains, weights, anchor)
+    rated = rows.withColumn("rate", rate(steps))
+    return rated.withColumn("copies", copies(seed, F.col(key), F.col("n_tokens"), F.col("rate"))), model, steps
 
 
 def by_quality_and_toxicity(labels: DataFrame) -> DataFrame:
@@ -185,19 +208,23 @@ def by_quality_and_toxicity(labels: DataFrame) -> DataFrame:
     return labels.select("doc_id", domain.alias("domain"))
 
 
-
-
-def take(docs: DataFrame, labels: DataFrame, weights: dict[str, float], key: str = "doc_id", anchor: str | None = None) -> DataFrame:
+def take(docs: DataFrame, labels: DataFrame, weights: dict[str, float], key: str = "doc_id", anchor: str | None = None, seed: int = 8) -> DataFrame:
     """`docs` resampled to the weights: each row as many times as its copies, with its columns as they are.
 
-    Rates are rounded to hundredths first, so that a document the mixture leaves alone is taken exactly once.
-    An empty table, or one without a labelled document, is returned as it is.
+    Each text is scored once: the rows are written with their posteriors, of which the fit reads just those. Rates are rounded to hundredths, so
+    that a document the mixture leaves alone is taken exactly once. An empty table, or one without a labelled document, is returned as it is.
     """
     scratch = Scratch(docs.sparkSession, "mix")
-    if docs.isEmpty() or labels.where("domain IS NOT NULL").join(docs.select("doc_id"), "doc_id", "left_semi").isEmpty():
+    model = fit_domains(docs, labels, scratch)
+    if not model.domains:
         return docs
-    _, model, theta = mix(docs, labels, weights, scratch, key, anchor)
-    rated = with_posterior(docs.withColumns({f"_quire_{c}": F.col(c) for c in docs.columns}), model)
-    rated = rated.withColumn("rate", F.round(rate(theta), 2)).withColumn("copies", copies(key))
-    taken = rated.where("copies > 0").withColumn("_quire_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return taken.select(*(F.col(f"_quire_{c}").alias(c) for c in docs.columns))
+    n_tokens, rated, copy, texts = unused(docs, "_n_tokens", "_rate", "_copy", "_text")
+    prefix = "_p"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix = "_" + prefix
+    rows = scratch.save(with_posterior(docs.withColumnRenamed("text", texts), model, texts, n_tokens, prefix), "rows")
+    steps = fit_rates(rows, model.domains, weights, anchor, n_tokens, prefix)
+    rows = rows.withColumn(rated, F.round(rate(steps, prefix), 2))
+    rows = rows.withColumn(copy, copies(seed, F.col(key), F.col(n_tokens), F.col(rated))).where(F.col(copy) > 0)
+    taken = rows.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copy))))
+    return taken.withColumnRenamed(texts, "text").select(*docs.columns)

@@ -65,7 +65,9 @@ def op8_mixing_to_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = mixing.by_quality_and_toxicity(table(spark, sf_dir, "labels"))
     rated, model, _ = mixing.mix(docs, labels, MIX_WEIGHTS, Scratch(spark, "op8"))
-    named = [F.col(f"p{k}").alias(f"p_{d}") for k, d in enumerate(model.domains)]
+    place = {d: F.col(f"p{k}") for k, d in enumerate(model.domains)}
+    unknown = F.lit(0.0 if place else None).cast("double")
+    named = [place.get(d, unknown).alias(f"p_{d}") for d in sorted(MIX_WEIGHTS)]
     return rated.select("doc_id", "n_tokens", *named, "rate", "copies")
 
 
@@ -145,27 +147,20 @@ reach AS (SELECT x AS origin, y AS node FROM links UNION SELECT origin, y FROM r
 low AS (SELECT origin, min(node) AS least FROM reach GROUP BY origin)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(low.least, d.doc_id)) AS component_id
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN low ON low.origin = d.doc_id""",
+    # every pair of equal lines, a later with an earlier one; pairs that follow each other on both sides are a run that occurs before
     "op7_line_dedup": """
 WITH
-raw AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
-firsts AS (SELECT text, min(doc_id) AS first FROM raw GROUP BY text),
 l AS (SELECT doc_id, i - 1 AS place, trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS line
-      FROM (SELECT doc_id, unnest(x) AS line, generate_subscripts(x, 1) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM raw))),
+      FROM (SELECT doc_id, unnest(x) AS line, generate_subscripts(x, 1) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents))),
 n AS (SELECT doc_id, place, line, len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) AS words, row_number() OVER (PARTITION BY doc_id ORDER BY place) AS pos
       FROM l WHERE line <> ''),
-total AS (SELECT doc_id, count(*) AS n_lines, sum(words) AS words FROM n GROUP BY doc_id),
-doc AS (SELECT r.doc_id, r.doc_id = f.first AS is_first, coalesce(t.n_lines, 0) AS n_lines, coalesce(t.words, 0) AS words
-        FROM raw r JOIN firsts f USING (text) LEFT JOIN total t ON t.doc_id = r.doc_id),
-c AS (SELECT n.*, sum(n.words) OVER (PARTITION BY n.doc_id ORDER BY pos) AS cum FROM n JOIN doc d ON d.doc_id = n.doc_id WHERE d.is_first AND d.words >= 50),
-lists AS (SELECT doc_id, list(line ORDER BY pos) AS ls FROM c GROUP BY doc_id),
-w AS (SELECT a.doc_id, a.pos, min(b.pos) AS stop FROM c a JOIN c b ON b.doc_id = a.doc_id AND b.pos BETWEEN a.pos AND a.pos + 49 AND b.cum >= a.cum - a.words + 50 GROUP BY ALL),
-k AS (SELECT w.*, array_to_string(ls[pos:stop], chr(10)) AS content FROM w JOIN lists USING (doc_id)),
-lead_of AS (SELECT content, min({'d': doc_id, 'p': pos}) AS lead FROM k GROUP BY content HAVING count(*) > 1),
-copy AS (SELECT k.doc_id, k.pos, k.stop, x.ls[k.stop + 1:k.stop + 63] AS mine, y.ls[lead.p + k.stop - k.pos + 1:lead.p + k.stop - k.pos + 63] AS theirs
-         FROM k JOIN lead_of USING (content) JOIN lists x ON x.doc_id = k.doc_id JOIN lists y ON y.doc_id = lead.d WHERE {'d': k.doc_id, 'p': k.pos} > lead),
-run AS (SELECT doc_id, pos, stop + coalesce(list_filter(range(1, least(len(mine), len(theirs)) + 1), lambda i: mine[i] <> theirs[i])[1] - 1, least(len(mine), len(theirs))) AS last FROM copy),
-gone AS (SELECT DISTINCT n.doc_id, n.place FROM run JOIN n ON n.doc_id = run.doc_id AND n.pos BETWEEN run.pos AND run.last
-         UNION SELECT n.doc_id, n.place FROM n JOIN doc USING (doc_id) WHERE NOT doc.is_first AND doc.words >= 50),
-g AS (SELECT doc_id, count(*) AS n_removed, string_agg(place, ',' ORDER BY place) AS removed FROM gone GROUP BY doc_id)
-SELECT d.doc_id, CAST(n_lines AS INTEGER) AS n_lines, CAST(coalesce(n_removed, 0) AS INTEGER) AS n_removed, coalesce(removed, '') AS removed FROM doc d LEFT JOIN g ON g.doc_id = d.doc_id""",
+same AS (SELECT a.doc_id AS doc, a.pos AS pos, b.doc_id AS other, a.pos - b.pos AS shift, a.words
+         FROM n a JOIN n b ON a.line = b.line AND (b.doc_id < a.doc_id OR b.doc_id = a.doc_id AND b.pos < a.pos)),
+runs AS (SELECT *, pos - row_number() OVER (PARTITION BY doc, other, shift ORDER BY pos) AS run FROM same),
+long AS (SELECT doc, min(pos) AS first, max(pos) AS last FROM runs GROUP BY doc, other, shift, run HAVING sum(words) >= 50),
+gone AS (SELECT DISTINCT doc_id, place FROM n JOIN (SELECT DISTINCT * FROM long) ON doc = doc_id AND pos BETWEEN first AND last),
+g AS (SELECT doc_id, count(*) AS n_removed, string_agg(place, ',' ORDER BY place) AS removed FROM gone GROUP BY doc_id),
+t AS (SELECT doc_id, count(*) AS n_lines FROM n GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(n_lines, 0) AS INTEGER) AS n_lines, CAST(coalesce(n_removed, 0) AS INTEGER) AS n_removed, coalesce(removed, '') AS removed
+FROM documents d LEFT JOIN t ON t.doc_id = d.doc_id LEFT JOIN g ON g.doc_id = d.doc_id""",
 }
