@@ -25,63 +25,89 @@ def unescape(text: Column) -> Column:
     return text
 
 
-def reply_paths(messages: DataFrame, scratch: Scratch) -> DataFrame:
-    """Root-to-leaf paths of reply trees: (tree, leaf, root, node, depth), a row for each message of a path.
+def _same(left: str, right: str) -> Column:
+    return F.col(f"x.{left}").eqNullSafe(F.col(f"y.{right}"))
+
+
+class ReplyTrees:
+    """The branches of reply trees, from messages (tree, node, parent, score); nodes are unique in their tree.
 
-    `messages` has tree, node and parent (null for roots); nodes are unique in their tree. Jump tables of 1, 2,
-    4, ... steps towards the root are made by self-joins, then every leaf takes the jumps in falling order, so
-    a tree d deep takes 2 log2(d) joins. A parent that isn't in the tree makes a root; messages
-    on a cycle are on no path. `depth` counts from the leaf. Each round is written to the shared folder.
+    Jump tables of 1, 2, 4, ... steps towards the root are made by self-joins that add up the scores on the way; every leaf then takes the
+    jumps in falling order, so a tree d deep takes 2 log2(d) joins and a row a leaf, not one for each message of each branch. A parent
+    that isn't in the tree, or null, makes a root. Messages on a cycle, and those that answer them, have no root and
+    are on no branch: they are those that can take as many steps as their tree has messages. Each round is written to the shared folder.
     """
-    nodes = scratch.save(messages.select("tree", "node", "parent"), "nodes")
-
-    def same(left: str, right: str) -> Column:
-        return F.col(f"x.{left}").eqNullSafe(F.col(f"y.{right}"))
-
-    up = nodes.alias("x").join(nodes.select("tree", "node").alias("y"), same("tree", "tree") & (F.col("x.parent") == F.col("y.node")), "left_semi")
-    jumps = [scratch.save(up.select("tree", "node", F.col("parent").alias("over")), "jump-0")]
-    total = nodes.count()
-    while (1 << len(jumps)) < 2 * total + 2:
-        last = jumps[-1]
-        step = last.alias("x").join(last.alias("y"), same("tree", "tree") & (F.col("x.over") == F.col("y.node"))).select("x.tree", "x.node", "y.over")
-        step = scratch.save(step, f"jump-{len(jumps)}")
-        if step.isEmpty():
-            break
-        jumps.append(step)
-    parents = jumps[0].select("tree", F.col("over").alias("node"))
-    leaves = nodes.alias("x").join(parents.alias("y"), same("tree", "tree") & same("node", "node"), "left_anti")
-    paths = leaves.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("depth"))
-    for k in reversed(range(len(jumps))):
-        further = paths.alias("x").join(jumps[k].alias("y"), same("tree", "tree") & same("node", "node"))
-        paths = paths.union(further.select("x.tree", "x.leaf", F.col("y.over").alias("node"), F.col("x.depth") + (1 << k)))
-        paths = scratch.save(paths, f"paths-{k}")
-    ends = paths.groupBy("tree", "leaf").agg(F.max_by("node", "depth").alias("root"))
-    return paths.alias("x").join(ends.alias("y"), same("tree", "tree") & same("leaf", "leaf")).select("x.tree", "x.leaf", "y.root", "x.node", "x.depth")
+
+    def __init__(self, messages: DataFrame, scratch: Scratch):
+        self.scratch = scratch
+        self.nodes = nodes = scratch.save(messages.select("tree", "node", "parent", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score")), "nodes")
+        up = nodes.alias("x").join(nodes.select("tree", "node", "score").alias("y"), _same("tree", "tree") & (F.col("x.parent") == F.col("y.node")))
+        self.jumps = [scratch.save(up.select("x.tree", "x.node", F.col("y.node").alias("over"), F.col("y.score").alias("sum")), "jump-0")]
+        most = nodes.groupBy("tree").count().agg(F.max("count")).first()[0] or 0
+        while (1 << (len(self.jumps) - 1)) < most:
+            last = self.jumps[-1]
+            step = last.alias("x").join(last.alias("y"), _same("tree", "tree") & (F.col("x.over") == F.col("y.node")))
+            step = scratch.save(step.select("x.tree", "x.node", "y.over", (F.col("x.sum") + F.col("y.sum")).alias("sum")), f"jump-{len(self.jumps)}")
+            if step.isEmpty():
+                break
+            self.jumps.append(step)
+        self.looping = self.jumps.pop() if (1 << (len(self.jumps) - 1)) >= most and len(self.jumps) > 1 else None
+
+    def branches(self) -> DataFrame:
+        """(tree, leaf, root, score, length): a row a branch, score being the mean of its messages' scores, to nine places."""
+        parents = self.jumps[0].select("tree", F.col("over").alias("node"))
+        leaves = self.nodes.alias("x").join(parents.alias("y"), _same("tree", "tree") & _same("node", "node"), "left_anti")
+        if self.looping is not None:
+            leaves = leaves.alias("x").join(self.looping.alias("y"), _same("tree", "tree") & _same("node", "node"), "left_anti")
+        ends = leaves.select("tree", F.col("node").alias("leaf"), F.col("node").alias("root"), F.col("score").alias("sum"), F.lit(1).cast("long").alias("length"))
+        for k in reversed(range(len(self.jumps))):
+            moved = ends.alias("x").join(self.jumps[k].alias("y"), _same("tree", "tree") & _same("root", "node"), "left")
+            far = F.col("y.over").isNotNull()
+            ends = moved.select(
+                "x.tree", "x.leaf", F.coalesce("y.over", "x.root").alias("root"), (F.col("x.sum") + F.coalesce("y.sum", F.lit(0.0))).alias("sum"), (F.col("x.length") + F.when(far, 1 << k).otherwise(0)).alias("length")
+            )
+            ends = self.scratch.save(ends, f"ends-{k}")
+        return ends.select("tree", "leaf", "root", F.round(F.col("sum") / F.col("length"), 9).alias("score"), "length")
+
+    def paths(self, branches: DataFrame) -> DataFrame:
+        """`branches` with node and depth: a row for each message of a branch, depth counting from the leaf."""
+        kept = [c for c in branches.columns if c not in ("node", "depth")]
+        paths = branches.select(*kept, F.col("leaf").alias("node"), F.lit(0).cast("long").alias("depth"))
+        for k in reversed(range(len(self.jumps))):
+            further = paths.alias("x").join(self.jumps[k].alias("y"), _same("tree", "tree") & _same("node", "node"))
+            paths = paths.union(further.select(*(f"x.{c}" for c in kept), F.col("y.over").alias("node"), F.col("x.depth") + (1 << k)))
+            paths = self.scratch.save(paths, f"paths-{k}")
+        return paths
+
+
+def reply_paths(messages: DataFrame, scratch: Scratch) -> DataFrame:
+    """All root-to-leaf paths: (tree, leaf, root, node, depth), a row for each message of each branch of `messages` (tree, node, parent)."""
+    trees = ReplyTrees(messages.withColumn("score", F.lit(0.0)), scratch)
+    return trees.paths(trees.branches().select("tree", "leaf", "root"))
 
 
 def conversations(messages: DataFrame, scratch: Scratch, top: int = 1, learn_role: str = "assistant") -> DataFrame:
     """(tree, root, leaf, score, rank, formatted, loss_spans): the `top` best branches below each root as conversations.
 
     `messages`: tree, node, parent, role, text, score. A branch scores the mean of its messages' scores (null: 0); ties go to
-    the longer branch, then to the smaller leaf. Each turn is written `<turn role="ROLE">`, newline, text, newline, `</turn>`, newline,
+    the longer branch, then to the smaller leaf. Branches are ranked as rows of their own; only those chosen are walked again for their messages.
+    Each turn is written `<turn role="ROLE">`, newline, text, newline, `</turn>`, newline,
     role and text escaped. `loss_spans` are the places (start, end) in code points of the texts by `learn_role`, in order.
 
-    Null roles and texts are empty; a null tree is a tree like others; further columns are ignored. Empty tables give no rows. No step is
-    Python: paths are self-joins, places are running sums in a window over one branch.
+    Null roles and texts are empty; a null tree is a tree like others; further columns are ignored. Messages on a cycle, and those that
+    answer them, are on no branch. Empty tables give no rows. No step is Python: paths are self-joins, places are running sums in
+    a window over one branch, which is one row of the result in the end.
     """
-    paths = scratch.save(reply_paths(messages, scratch), "paths")
-    facts = messages.select("tree", "node", "role", "text", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
+    trees = ReplyTrees(messages, scratch)
+    facts = messages.select("tree", "node", "role", "text")
+    best = Window.partitionBy("tree", "root").orderBy(F.desc("score"), F.desc("length"), "leaf")
+    ranked = trees.branches().withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
+    chosen = trees.paths(scratch.save(ranked.drop("length"), "chosen"))
 
     def on(right: str) -> Column:
-        return F.col("x.tree").eqNullSafe(F.col("y.tree")) & F.col("x.node").eqNullSafe(F.col(f"y.{right}"))
+        return _same("tree", "tree") & _same("node", right)
 
-    scored = paths.alias("x").join(facts.select("tree", "node", "score").alias("y"), on("node")).groupBy("x.tree", "x.root", "x.leaf")
-    scored = scored.agg(F.avg("y.score").alias("score"), F.count("*").alias("length"))
-    best = Window.partitionBy("tree", "root").orderBy(F.desc("score"), F.desc("length"), "leaf")
-    ranked = scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
-    chosen = paths.alias("x").join(ranked.alias("y"), F.col("x.tree").eqNullSafe(F.col("y.tree")) & (F.col("x.leaf") == F.col("y.leaf")))
-    chosen = chosen.select("x.tree", "x.root", "x.leaf", "y.score", "y.rank", "x.node", "x.depth")
-    turns = chosen.alias("x").join(facts.select("tree", "node", "role", "text").alias("y"), on("node"))
+    turns = chosen.alias("x").join(facts.alias("y"), on("node"))
     head = F.concat(F.lit(OPEN), escape(F.col("y.role")), F.lit(AFTER_ROLE))
     turns = turns.select("x.*", head.alias("head"), escape(F.col("y.text")).alias("body"), F.coalesce(F.col("y.role") == learn_role, F.lit(False)).alias("learn"))
     turns = turns.withColumn("size", (F.length("head") + F.length("body") + len(CLOSE)).cast("long"))
