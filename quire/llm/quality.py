@@ -8,10 +8,10 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import Scratch, trim
+from quire.llm.common import Scratch, trim, unused
 
 FOLDS, BINS, LOW, HIGH = 4, 2000, -0.75, 1.75
 _BYTE = np.arange(256)
@@ -92,26 +92,28 @@ class QualityModel:
         return np.interp(self.raw(stats), self.xs, self.ys) if len(stats) else np.zeros(0)
 
 
-def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
-    """`docs` with its text replaced by the column `stats` (float64 values as bytes)."""
+def with_statistics(docs: DataFrame, into: str, text: str = "text") -> DataFrame:
+    """`docs` with the column `into` of its texts' statistics (float64 values as bytes)."""
 
     @F.pandas_udf("binary")
     def stats(texts: pd.Series) -> pd.Series:
-        return pd.Series([statistics(t).tobytes() for t in texts], dtype=object)
+        found = pd.Series([statistics(t).tobytes() for t in texts], dtype=object)
+        trim()
+        return found
 
-    return docs.withColumn("stats", stats(text)).drop(text)
+    return docs.withColumn(into, stats(text))
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(column), dtype=np.float64).reshape(len(column), -1)
 
 
-def fit(stats: DataFrame, seed: int = 5, n_waves: int = 256, ridge: float = 1e-3) -> QualityModel:
-    """Fits rows (doc_id, stats, label): all of them, none sampled.
+def fit(stats: DataFrame, scratch: Scratch, seed: int = 5, n_waves: int = 256, ridge: float = 1e-3) -> QualityModel:
+    """Fits rows (doc_id, stats, label): all of them, none sampled. They are read three times, so `stats` had better be a written table.
 
     One pass sums moments for the standardisation. One pass sums the normal equations of each of four
-    folds (by a hash of doc_id) within its partition; the partial sums, all of one size, are added in a
-    tree with a fan-in of 16, so the driver gets 16 at most. The whole sum gives the weights; each fold is also scored by the
+    folds (by a hash of doc_id) within its partition; the partial sums, all of one size (1.5 MB), are added in a
+    tree with a fan-in of 16, so the driver gets 4 at most. The whole sum gives the weights; each fold is also scored by the
     weights of the other three, and those scores, counted in 2,000 bins, are calibrated by pooling
     adjacent violators. Rows without label or statistics are left out. Without any rows every text scores 0.5.
     """
@@ -140,6 +142,7 @@ def fit(stats: DataFrame, seed: int = 5, n_waves: int = 256, ridge: float = 1e-3
         mean, scale, rng.normal(size=(N_STATS, n_waves)) / np.sqrt(N_STATS), rng.uniform(0, 2 * np.pi, n_waves), np.zeros(n_waves + N_STATS + 1), np.zeros(0), np.zeros(0)
     )
     width = len(model.weights) + 1
+    upper = np.triu_indices(width)  # the rest is the same mirrored
 
     def normal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros((FOLDS, width, width))
@@ -154,19 +157,22 @@ def fit(stats: DataFrame, seed: int = 5, n_waves: int = 256, ridge: float = 1e-3
                 part = z[fold == f]
                 total[f] += part.T @ part
         if seen:
-            yield pd.DataFrame({"part": [TaskContext.get().partitionId()], "sums": [total.tobytes()]})
+            yield pd.DataFrame({"part": [TaskContext.get().partitionId()], "sums": [total[:, upper[0], upper[1]].tobytes()]})
 
     def add(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         total = sum(np.frombuffer(b, dtype=np.float64) for b in pdf["sums"])
         return pd.DataFrame({"part": [key[0]], "sums": [total.tobytes()]})
 
     folded = rows.withColumn("fold", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(FOLDS)).cast("int"))
-    partial = folded.mapInPandas(normal, "part long, sums binary")
-    left = rows.rdd.getNumPartitions()
-    while left > 16:
-        left = -(-left // 16)
+    partial = scratch.save(folded.mapInPandas(normal, "part long, sums binary"), "sums")
+    left = partial.count()
+    while left > 4:
+        left = max(4, -(-left // 16))
         partial = partial.groupBy(F.pmod("part", F.lit(left)).alias("part")).applyInPandas(add, "part long, sums binary")
-    total = sum(np.frombuffer(r["sums"], dtype=np.float64).reshape(FOLDS, width, width) for r in partial.collect())
+    flat = sum(np.frombuffer(r["sums"], dtype=np.float64).reshape(FOLDS, -1) for r in partial.collect())
+    total = np.zeros((FOLDS, width, width))
+    total[:, upper[0], upper[1]] = flat
+    total[:, upper[1], upper[0]] = flat
 
     def solve(a: np.ndarray) -> np.ndarray:
         count = max(a[-2, -2], 1.0)
@@ -202,38 +208,43 @@ def isotonic(x: np.ndarray, n: np.ndarray, good: np.ndarray) -> tuple[np.ndarray
     return np.array([p[0] / p[1] for p in pools]), np.clip([p[2] / p[1] for p in pools], 0.0, 1.0)
 
 
-def with_score(rows: DataFrame, model: QualityModel) -> DataFrame:
-    """Rows with `stats` replaced by `score`."""
+def scored(rows: DataFrame, model: QualityModel, stats: str) -> Column:
+    """The score of the statistics in the column `stats`."""
 
     @F.pandas_udf("double")
-    def score(stats: pd.Series) -> pd.Series:
-        return pd.Series(model.score(_matrix(stats)))
+    def score(values: pd.Series) -> pd.Series:
+        return pd.Series(model.score(_matrix(values)) if len(values) else np.zeros(0))
 
-    return rows.withColumn("score", score("stats")).drop("stats")
+    return score(rows[stats])
 
 
-def labelled(stats: DataFrame, labels: DataFrame) -> DataFrame:
-    """Statistics of the documents that `labels` (doc_id, label) marks; repeated labels are averaged first."""
+def labelled(stats: DataFrame, labels: DataFrame, key: str, column: str) -> DataFrame:
+    """(doc_id, stats, label) of the documents that `labels` (doc_id, label) marks; repeated labels are averaged first."""
     once = labels.where("label IS NOT NULL").groupBy("doc_id").agg(F.avg("label").alias("label"))
-    return stats.select("doc_id", "stats").join(once, "doc_id")
+    return stats.select(F.col(key).alias("doc_id"), F.col(column).alias("stats")).join(once, "doc_id")
 
 
-def classify(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> tuple[DataFrame, QualityModel]:
-    """(`docs` without text and with `score`, the model). Each text is read once: its statistics are kept in the shared folder."""
-    stats = scratch.save(with_statistics(docs), "statistics")
-    model = fit(labelled(stats, labels))
-    return with_score(stats, model), model
+def classify(docs: DataFrame, labels: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, QualityModel]:
+    """(`docs` without text and with `score`, the model), learnt from the documents that `labels` (doc_id, label) marks.
 
+    Each text is read once: its statistics are kept in the shared folder. Null and empty texts are scored as texts
+    without words. Repeated rows and null keys each have their row; a row takes part in the fit as often as it occurs, and not
+    with a null key or label. An input column named `score` is replaced, others pass through. An empty table gives
+    no rows; without labelled documents every score is 0.5.
+    """
+    (stats,) = unused(docs, "_stats")
+    rows = scratch.save(with_statistics(docs.drop("score"), stats, text).drop(text), "statistics")
+    model = fit(scratch.save(labelled(rows, labels, key, stats), "labelled"), scratch)
+    return rows.withColumn("score", scored(rows, model, stats)).drop(stats), model
 
-def keep_good(docs: DataFrame, model: QualityModel, least: float = 0.5) -> DataFrame:
-    """The rows of `docs` whose texts score `least` or more."""
 
-    @F.pandas_udf("boolean")
-    def good(texts: pd.Series) -> pd.Series:
-        if not len(texts):
-            return pd.Series([], dtype=bool)
-        found = pd.Series(model.score(np.stack([statistics(t) for t in texts])) >= least)
-        trim()
-        return found
+def keep_good(docs: DataFrame, labels: DataFrame, scratch: Scratch, least: float = 0.5, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of `docs`, with all their columns, whose texts score `least` or more, by a model learnt as `classify` does.
 
-    return docs.where(good("text"))
+    The rows are written with their statistics, so that each text is read once. Odd rows are as in `classify`; without labelled
+    documents all rows stay.
+    """
+    (stats,) = unused(docs, "_stats")
+    rows = scratch.save(with_statistics(docs, stats, text), "statistics")
+    model = fit(scratch.save(labelled(rows, labels, key, stats), "labelled"), scratch)
+    return rows.where(scored(rows, model, stats) >= least).drop(stats)
