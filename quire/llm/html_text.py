@@ -12,6 +12,8 @@ from pyspark.sql import types as T
 
 #: Elements whose content is markup, not text.
 RAW = ("script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp", "noframes")
+#: Of these, one that is never closed is taken for a slip that hides nothing.
+OPEN_ENDED = frozenset(("noscript", "template", "iframe", "noframes", "title"))
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that never hold main text.
 DROPPED = frozenset((*RAW, *"head nav footer aside form button select option svg math canvas object audio video dialog menu datalist map".split()))
@@ -46,6 +48,8 @@ RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in RAW}
 SPACE = re.compile(r"\s+")
 #: Characters below which text within the article bears out a name, and a page's text is hardly any.
 SHORT, SCANT = 25, 80
+#: A block gives points to so many elements above it at most; the last of them gets less than a hundredth.
+REACH = 64
 
 
 #: What marks an element as junk: a name may be wrong about an element that holds the article or is part of it, hidden
@@ -54,10 +58,11 @@ BY_NAME, BY_STYLE, BY_TAG = 1, 2, 3
 
 
 class Node:
-    __slots__ = ("children", "junk", "own", "parent", "points", "tag")
+    __slots__ = ("children", "junk", "linked", "own", "parent", "points", "tag", "volume")
 
     def __init__(self, tag: str, parent: Node | None, own: int):
         self.tag, self.parent, self.own, self.children, self.points = tag, parent, own, [], 0.0
+        self.volume = self.linked = 0
         self.junk = max(own, parent.junk) if parent else own
 
 
@@ -126,7 +131,7 @@ def parse(html: str, by_name: bool = True) -> Node:
             node.children.append(new)
             if tag in RAW and not m[4]:
                 end = RAW_END[tag].search(html, at)
-                at = end.end() if end else length
+                at = end.end() if end else at if tag in OPEN_ENDED else length
             elif tag not in VOID and not (m[4] and tag not in BLOCK):
                 node = new
         elif m[0].startswith("<![CDATA["):
@@ -263,22 +268,24 @@ def _main_text(root: Node) -> tuple[str, bool]:
     _blocks(root, blocks)
     if not blocks:
         return "", False
-    order: dict[int, Node] = {}
-    volume: dict[int, list[int]] = {}
+    scored: dict[int, Node] = {}
     for own, text, linked in blocks:
         points = _points(text, linked)
         up, share = own.parent if own.tag not in ("div", "article", "section", "main", "body", "html", "td") and own.parent else own, 1.0
+        up.volume += len(text)
+        up.linked += min(linked, len(text))
         level = 1
-        while up:
-            order.setdefault(id(up), up)
+        while up and level <= REACH:
+            scored.setdefault(id(up), up)
             up.points += points * share
-            v = volume.setdefault(id(up), [0, 0])
-            v[0] += len(text)
-            v[1] += min(linked, len(text))
             level += 1
             share = 1 / (2 * (level - 1))
             up = up.parent
-    best = max(order.values(), key=lambda n: n.points * (1 - volume[id(n)][1] / volume[id(n)][0]))
+    for node in reversed([root, *_below(root)]):  # what an element holds counts for its parent, too
+        if node.parent:
+            node.parent.volume += node.volume
+            node.parent.linked += node.linked
+    best = max(scored.values(), key=lambda n: n.points * (1 - n.linked / n.volume))
     up: Node | None = best
     while up:
         if up.tag in ("article", "main"):
@@ -310,7 +317,7 @@ def _main_text(root: Node) -> tuple[str, bool]:
 
 
 def extract(pages: DataFrame, html: str = "html", text: str = "text") -> DataFrame:
-    """`pages` with the column `text` holding each page's main text; the html column is dropped.
+    """`pages` with the column `text` holding each page's main text; the html column is dropped, others pass through.
 
     Pages are independent rows: nothing is shuffled, and a lost executor repeats only its own pages. A null
     or empty page gives an empty text; a column that is already named as the result is replaced.

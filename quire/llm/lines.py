@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quire.llm.common import Scratch
+from quire.llm.common import Scratch, unused, whole_numbers
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -41,8 +41,9 @@ def removals(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str =
 
     Ranks and intervals are sums and joins, nothing is gathered by line or interval; windows are within one text.
     Null keys come last; rows with equal keys and texts are one document; null and empty texts have no lines; further
-    columns are ignored; an empty table gives no rows. Lines and texts are held by their MD5 digests.
+    columns are ignored; an empty table gives no rows. Keys are whole numbers. Lines and texts are held by their MD5 digests.
     """
+    whole_numbers(docs, key)
     rows = docs.select(F.col(key).cast("long").alias("key"), F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))).alias("text_id"), _lines(F.col(text)).alias("lines"))
     rows = rows.withColumn("lines", F.transform("lines", lambda s: F.struct(s["place"].alias("place"), F.unhex(F.md5(s["line"].cast("binary"))).alias("id"), F.regexp_count(s["line"], F.lit(WORD)).alias("words"))))
     rows = rows.withColumn("words", F.aggregate("lines.words", F.lit(0).cast("long"), lambda a, x: a + x))
@@ -108,10 +109,12 @@ def removals(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str =
 
 def without_repeats(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "text", min_words: int = 50) -> DataFrame:
     """`docs` with the repeated lines taken out of its texts; all columns stay, a null text stays null."""
+    at, name, gone = unused(docs, "_key", "_text_id", "_removed")
     cut = removals(docs, scratch, key, text, min_words).where(F.size("removed") > 0).dropDuplicates([key, "text_id"])
-    cut = scratch.save(cut.select(F.col(key).alias("_quire_key"), F.col("text_id").alias("_quire_text"), F.col("removed").alias("_quire_removed")), "cut")
-    named = docs.withColumn("_quire_text", F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))))
-    joined = named.alias("d").join(cut.alias("c"), F.col(f"d.{key}").eqNullSafe(F.col("c._quire_key")) & (F.col("d._quire_text") == F.col("c._quire_text")), "left")
-    kept = F.filter(F.transform(F.split(F.col(f"d.{text}"), "\n"), lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: ~F.array_contains(F.col("_quire_removed"), s["i"]))
-    clean = F.when(F.col("_quire_removed").isNull(), F.col(f"d.{text}")).otherwise(F.array_join(F.transform(kept, lambda s: s["x"]), "\n"))
+    cut = scratch.save(cut.select(F.col(key).alias(at), F.col("text_id").alias(name), F.col("removed").alias(gone)), "cut")
+    named = docs.withColumn(name, F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))))
+    joined = named.alias("d").join(cut.alias("c"), F.col(f"d.{key}").eqNullSafe(F.col(f"c.{at}")) & (F.col(f"d.{name}") == F.col(f"c.{name}")), "left")
+    numbered = F.transform(F.split(F.col(f"d.{text}"), "\n"), lambda x, i: F.struct(x.alias("x"), i.alias("i")))
+    kept = F.filter(numbered, lambda s: ~F.array_contains(F.col(f"c.{gone}"), s["i"]))
+    clean = F.when(F.col(f"c.{gone}").isNull(), F.col(f"d.{text}")).otherwise(F.array_join(F.transform(kept, lambda s: s["x"]), "\n"))
     return joined.select(*(clean.alias(c) if c == text else F.col(f"d.{c}") for c in docs.columns))
