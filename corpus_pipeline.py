@@ -22,8 +22,7 @@ MIX = {"good": 0.98, "low": 0.01, "toxic": 0.01}
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go. It learns from the same labelled rows as its query."""
     labels = table(spark, sf_dir, "labels").where(remainder("doc_id", 3) != 1).select("doc_id", F.col("quality").alias("label"))
-    _, model = quality.classify(docs.select("doc_id", "text"), labels, Scratch(spark, "quality"))
-    return quality.keep_good(docs, model)
+    return quality.keep_good(docs, labels, Scratch(spark, "quality"))
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
