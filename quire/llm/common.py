@@ -97,6 +97,13 @@ class Scratch:
         for name in names:
             self._delete(f"{self.root}/{name}")
 
+    def keep(self, *names: str) -> None:
+        """Drops all tables but these."""
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        fs = at.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        held = [x.getPath().getName() for x in fs.listStatus(at)] if fs.exists(at) else []
+        self.drop(*(name for name in held if name not in names))
+
     def close(self) -> None:
         try:
             self._delete(self.root)

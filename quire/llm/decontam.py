@@ -152,4 +152,5 @@ def without_leaks(docs: DataFrame, tests: DataFrame, scratch: Scratch, text: str
     (name,) = unused(docs, "_text_id")
     named = docs.withColumn(name, F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
     leaked = scratch.save(overlaps(named, tests, scratch, key=name, text=text, test_key=test_key).select(name).distinct(), "leaked")
+    scratch.keep("leaked")
     return named.join(leaked, name, "left_anti").drop(name)

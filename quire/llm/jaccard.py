@@ -131,7 +131,7 @@ def _sets(docs: DataFrame, key: str, text: str, width: int, num: int, den: int,
     schema = "id long, chunk long, n long, s1 long, s2 long, l int, head array<long>, shingles binary"
     made = chunks.groupBy("chunk").cogroup(answers.where("sender >= 0").groupBy("sender")).applyInPandas(heads, schema)
     sets = scratch.save(made, f"{label}-sets")
-    scratch.drop(f"{label}-chunks")
+    scratch.drop(f"{label}-chunks", *(f"{label}-{x}-{k}" for x in ("answers", "sent") for k in range(9)))
     return sets
 
 
@@ -203,6 +203,8 @@ def similar_groups(
     nodes = scratch.save(nodes.withColumn("sid", F.monotonically_increasing_id()), f"{label}-nodes")  # numbers that stay, once written
     owned = keyed.where("head IS NOT NULL").select("s1", "s2", "chunk", "n", "l", "head", "shingles")
     holders = scratch.save(owned.join(nodes.where("chunk IS NOT NULL"), ["s1", "s2", "chunk"]).select("sid", "n", "l", "head", "shingles"), f"{label}-holders")
+    named = scratch.save(sets.select("id", "n", "s1", "s2"), f"{label}-rows")
+    scratch.drop(f"{label}-sets")
     each = holders.select("sid", "n", "l", F.explode("head").alias("h"))
     common = each.groupBy("h").agg(F.min("sid").alias("low"), F.max("sid").alias("high")).where("low < high").select("h")
     postings = scratch.save(each.join(common, "h"), f"{label}-postings")
@@ -233,8 +235,9 @@ def similar_groups(
     members = nodes.select("s1", "s2", "sid", "low")
     members = members.join(comps, "sid", "left").withColumn("c", F.coalesce("c", "sid")) if comps is not None else members.withColumn("c", F.col("sid"))
     lowest = members.groupBy("c").agg(F.min("low").alias("component_id"))
-    named = scratch.save(members.join(lowest, "c").select("s1", "s2", "component_id"), f"{label}-named")
-    rows = sets.select("id", "n", "s1", "s2").join(named, ["s1", "s2"], "left")
+    whole = scratch.save(members.join(lowest, "c").select("s1", "s2", "component_id"), f"{label}-named")
+    scratch.keep(f"{label}-rows", f"{label}-named")
+    rows = named.join(whole, ["s1", "s2"], "left")
     component = F.when(F.col("id").isNull(), None).when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
     return rows.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"))
 
@@ -318,6 +321,7 @@ def one_of_each(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: st
     Keys name documents: of rows with equal key and text one stays, and a key goes if its text is linked to a smaller key.
     """
     groups = scratch.save(similar_groups(docs, scratch, key, text), "groups")
+    scratch.keep("groups")
     gone = groups.where(F.col(key) != F.col("component_id")).select(key).distinct()
     kept = docs.join(gone, key, "left_anti")
     repeated = scratch.save(groups.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").select(key), "repeated")

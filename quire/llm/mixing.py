@@ -73,6 +73,7 @@ def fit_domains(docs: DataFrame, labels: DataFrame, scratch: Scratch, max_labell
     if not known:
         return DomainModel(domains, [float(x) for x in np.log(n / n.sum())], {})
     seen = words.select("domain", F.array_intersect("words", F.array(*map(F.lit, known))).alias("words")).collect()
+    scratch.drop("sample")
     place = {w: k for k, w in enumerate(known)}
     x = np.zeros((len(seen), len(known) + 1))
     x[:, -1] = 1.0
@@ -208,13 +209,12 @@ def by_quality_and_toxicity(labels: DataFrame) -> DataFrame:
     return labels.select("doc_id", domain.alias("domain"))
 
 
-def take(docs: DataFrame, labels: DataFrame, weights: dict[str, float], key: str = "doc_id", anchor: str | None = None, seed: int = 8) -> DataFrame:
+def take(docs: DataFrame, labels: DataFrame, weights: dict[str, float], scratch: Scratch, key: str = "doc_id", anchor: str | None = None, seed: int = 8) -> DataFrame:
     """`docs` resampled to the weights: each row as many times as its copies, with its columns as they are.
 
     Each text is scored once: the rows are written with their posteriors, of which the fit reads just those. Rates are rounded to hundredths, so
     that a document the mixture leaves alone is taken exactly once. An empty table, or one without a labelled document, is returned as it is.
     """
-    scratch = Scratch(docs.sparkSession, "mix")
     model = fit_domains(docs, labels, scratch)
     if not model.domains:
         return docs

@@ -169,7 +169,9 @@ def fit(stats: DataFrame, scratch: Scratch, seed: int = 5, n_waves: int = 256, r
     while left > 4:
         left = max(4, -(-left // 16))
         partial = partial.groupBy(F.pmod("part", F.lit(left)).alias("part")).applyInPandas(add, "part long, sums binary")
-    flat = sum(np.frombuffer(r["sums"], dtype=np.float64).reshape(FOLDS, -1) for r in partial.collect())
+    sums = partial.collect()
+    scratch.drop("sums")
+    flat = sum(np.frombuffer(r["sums"], dtype=np.float64).reshape(FOLDS, -1) for r in sums)
     total = np.zeros((FOLDS, width, width))
     total[:, upper[0], upper[1]] = flat
     total[:, upper[1], upper[0]] = flat
@@ -235,6 +237,7 @@ def classify(docs: DataFrame, labels: DataFrame, scratch: Scratch, key: str = "d
     (stats,) = unused(docs, "_stats")
     rows = scratch.save(with_statistics(docs.drop("score"), stats, text).drop(text), "statistics")
     model = fit(scratch.save(labelled(rows, labels, key, stats), "labelled"), scratch)
+    scratch.drop("labelled")
     return rows.withColumn("score", scored(rows, model, stats)).drop(stats), model
 
 
@@ -247,4 +250,5 @@ def keep_good(docs: DataFrame, labels: DataFrame, scratch: Scratch, least: float
     (stats,) = unused(docs, "_stats")
     rows = scratch.save(with_statistics(docs, stats, text), "statistics")
     model = fit(scratch.save(labelled(rows, labels, key, stats), "labelled"), scratch)
+    scratch.drop("labelled")
     return rows.where(scored(rows, model, stats) >= least).drop(stats)

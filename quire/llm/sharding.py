@@ -55,7 +55,7 @@ def shard(df: DataFrame, n_shards: int = 16, text: str = "text", seed: int = 17,
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
 
     if total and most > 1:
-        again = known.where(F.col(n) > 1).select(x, y, n)
+        again = scratch.save(known.where(F.col(n) > 1).select(x, y, n), "repeated")  # so that its size is known when the join is planned
         marked = named.join(again, [x, y], "left")
         single = marked.where(F.col(n).isNull()).withColumn(copy, F.lit(0).cast("long"))
         several = marked.where(F.col(n).isNotNull()).dropDuplicates([x, y]).withColumn(copy, every)
@@ -69,6 +69,7 @@ def shard(df: DataFrame, n_shards: int = 16, text: str = "text", seed: int = 17,
     inside = F.sum("rows").over(Window.partitionBy("span").orderBy("bucket")) - F.col("rows")
     starts = counts.withColumn("inside", inside).join(spans, "span").select("bucket", (F.col("before") + F.col("inside")).alias("start"))
     starts = scratch.save(starts, "starts")
+    scratch.drop("rows")
 
     def shuffled(key: tuple, pdf: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
         order = np.lexsort((pdf[copy].to_numpy(), pdf[y].to_numpy(), pdf[x].to_numpy()))

@@ -8,6 +8,7 @@ import duckdb
 import numpy as np
 import pytest
 from compare import DATA, assert_same
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quire.llm import decontam, lm, queries
@@ -121,3 +122,29 @@ def test_pipeline_against_brute_force(spark, tmp_path):
 
 def test_run_is_the_last_stage(spark):
     assert set(corpus_pipeline.run(spark, DATA).columns) == {*corpus_pipeline.COLUMNS, "shard", "slot"}
+
+
+def test_pipeline_stages_with_odd_rows(spark):
+    """Nulls in any column, empty and very long texts, repeated rows, columns with names that the stages use; then an empty table."""
+    base = [r["text"] for r in spark.read.parquet(f"{DATA}/documents.parquet").where("lang = 'en' AND length(text) > 400").orderBy("doc_id").limit(6).collect()]
+    rows = [(100_000 + i, t, "en", "s", 1) for i, t in enumerate(base)]
+    rows += [(None, base[0], None, None, None), (None, None, None, None, None), (100_010, None, "en", None, None), (100_011, "", "en", "s", 0), (100_012, " \n\t", "en", "s", 0)]
+    rows += [rows[0], rows[0], (100_000, base[1], "en", "s", 1), (100_020, " ".join(base) * 40, "en", "s", 1), (100_021, "x" * 300_000, "en", "s", 1)]
+    plain = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int").repartition(3)
+    clash = {c: F.lit(c) for c in ("score", "_stats", "label", "sid", "chunk", "_text_id", "seed", "p0", "_p0", "rate", "copies", "n_tokens", "bucket", "_x", "_copy")}
+    for name, stage in corpus_pipeline.STAGES:
+        docs = plain.withColumns(clash)
+        got = stage(spark, docs, DATA)
+        assert [c for c in got.columns if c not in ("shard", "slot")] == docs.columns
+        found = got.toPandas()
+        assert all((found[c] == c).all() for c in clash), name
+        texts = [t for t in found["text"] if t is not None]
+        if name == "quality_classifier":
+            assert set(base) <= set(texts)
+        if name == "ngram_jaccard_join":  # one row of each key and text; a key goes if its text is a smaller key's too; rows without a key or words stay
+            keys = found["doc_id"].dropna().astype(int).tolist()
+            assert keys.count(100_000) == 2 and 100_001 not in keys and {100_010, 100_011, 100_012, 100_020, 100_021} <= set(keys) and found["doc_id"].isna().sum() == 2
+        if name == "sharding":
+            assert len(found) == len(rows) and sorted(found["slot"] * 16 + found["shard"]) == list(range(len(rows)))
+        none = stage(spark, docs.where("false"), DATA)
+        assert none.columns == got.columns and none.count() == 0, name

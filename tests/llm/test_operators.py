@@ -583,14 +583,14 @@ def test_mixing_meets_targets(spark):
     held = got[(got["doc_id"] >= 600) & (got["doc_id"] < 900)]
     best = held[["p0", "p1", "p2"]].to_numpy().argmax(1)
     assert (best == held["doc_id"].to_numpy() % 3).mean() > 0.95
-    taken = mixing.take(docs, marks, {"good": 0.98, "low": 0.01, "toxic": 0.01}, anchor="good")
+    taken = mixing.take(docs, marks, {"good": 0.98, "low": 0.01, "toxic": 0.01}, Scratch(spark, "t"), anchor="good")
     counts = Counter(r["doc_id"] for r in taken.collect())
     assert taken.columns == docs.columns and np.mean([counts[i] == 1 for i in range(0, 900, 3)]) > 0.95
     assert np.mean([counts[i] == 0 for i in range(2, 900, 3)]) > 0.8
-    assert mixing.take(empty(docs), marks, weights).count() == 0
+    assert mixing.take(empty(docs), marks, weights, Scratch(spark, "t")).count() == 0
     assert mixing.mix(empty(docs), marks, weights, Scratch(spark, "t"))[0].count() == 0
     clash = docs.withColumns({"P0": chat.F.lit("x"), "_words": chat.F.lit("y"), "n_tokens": chat.F.lit(1), "domain": chat.F.lit("z")})
-    again = mixing.take(clash, marks, {"good": 0.98, "low": 0.01, "toxic": 0.01}, anchor="good")
+    again = mixing.take(clash, marks, {"good": 0.98, "low": 0.01, "toxic": 0.01}, Scratch(spark, "t"), anchor="good")
     assert again.columns == clash.columns and Counter(r["doc_id"] for r in again.collect()) == counts
 
 
@@ -601,7 +601,7 @@ def test_mixing_without_labels(spark):
         rated, model, steps = mixing.mix(docs, labels, {"good": 1.0}, Scratch(spark, "t"))
         assert (model.domains, steps) == ([], [])
         assert Counter(map(tuple, rated.collect())) == Counter({(1, 2, 1.0, 1): 2, (2, 0, 1.0, 1): 1, (None, 0, 1.0, 1): 1})
-        assert mixing.take(docs, labels, {"good": 1.0}).count() == 4
+        assert mixing.take(docs, labels, {"good": 1.0}, Scratch(spark, "t")).count() == 4
 
 
 @pytest.mark.parametrize(("weights", "passes"), [((0.7, 0.2, 0.1), 20), ((0.1, 0.1, 0.8), 20), ((0.0, 0.5, 0.5), 40)])
