@@ -14,6 +14,21 @@ from pyspark.sql import functions as F
 from quire.llm import decontam, jaccard, mixing, quality, sharding
 from quire.llm.common import Scratch, remainder, table
 
+_held: list[Scratch] = []
+
+
+def _scratch(spark: SparkSession, docs: DataFrame, name: str) -> Scratch:
+    """A stage's folder for what it keeps until its rows are written. Each stage's `docs` are the rows written of the one before, so the
+    folders of earlier stages go, unless `docs` still reads them."""
+    read = docs.inputFiles()
+    for old in [x for x in _held if not any(x.root.partition(":")[2].lstrip("/") in f for f in read)]:
+        old.close()
+        _held.remove(old)
+    fresh = Scratch(spark, name)
+    _held.append(fresh)
+    return fresh
+
+
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Shares of the expected tokens by domain; the good domain keeps the tokens that it has.
 MIX = {"good": 0.98, "low": 0.01, "toxic": 0.01}
@@ -22,28 +37,28 @@ MIX = {"good": 0.98, "low": 0.01, "toxic": 0.01}
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go. It learns from the same labelled rows as its query."""
     labels = table(spark, sf_dir, "labels").where(remainder("doc_id", 3) != 1).select("doc_id", F.col("quality").alias("label"))
-    return quality.keep_good(docs, labels, Scratch(spark, "quality"))
+    return quality.keep_good(docs, labels, _scratch(spark, docs, "quality"))
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by 5-word shingles at 0.75 or more stays: the one of smallest id."""
-    return jaccard.one_of_each(docs, Scratch(spark, "jaccard"))
+    return jaccard.one_of_each(docs, _scratch(spark, docs, "jaccard"))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that overlap with a benchmark item go."""
-    return decontam.without_leaks(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"), Scratch(spark, "leaks"))
+    return decontam.without_leaks(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"), _scratch(spark, docs, "leaks"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are taken at the rates that bring the domains' expected tokens to MIX; good ones keep a rate of about 1."""
     labels = mixing.by_quality_and_toxicity(table(spark, sf_dir, "labels"))
-    return mixing.take(docs, labels, MIX, anchor="good")
+    return mixing.take(docs, labels, MIX, _scratch(spark, docs, "mix"), anchor="good")
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents get a shard of 16 and a slot there, in random order."""
-    return sharding.shard(docs, n_shards=16)
+    return sharding.shard(docs, n_shards=16, scratch=_scratch(spark, docs, "shards"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
