@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The words and formats that define results.
-ABBREVIATIONS = ("al", "approx", "cf", "dr", "eq", "etc", "fig", "jr", "mr", "mrs", "ms", "no", "nr", "p", "pp", "prof", "ref", "st", "tab", "vs")
+ABBREVIATIONS = ("al", "approx", "cf", "dr", "e.g", "eq", "etc", "fig", "i.e", "jr", "mr", "mrs", "ms", "no", "nr", "p", "pp", "prof", "ref", "st", "tab", "vs")
 ENGLISH_HINTS = ("a", "an", "and", "are", "as", "at", "by", "for", "from", "in", "is", "of", "on", "or", "that", "the", "this", "to", "was", "were", "with")
 ENGLISH_TITLES = (
     "abstract", "appendix", "conclusion", "conclusions", "discussion", "introduction", "material",
@@ -261,7 +262,7 @@ def normalize_language(c: Column) -> Column:
 
 # Sentences and chunks
 
-_ABBREVIATION = "|".join(ABBREVIATIONS)
+_ABBREVIATION = "|".join(map(re.escape, ABBREVIATIONS))
 _BOUNDARY = rf"(?<=[.!?]{CLOSERS}{{0,8}})(?<!(?<!\p{{L}})(?i:{_ABBREVIATION}|\p{{L}})\.{CLOSERS}{{0,8}})\s+(?!\p{{Ll}})"
 
 
@@ -393,10 +394,13 @@ def clean_translation(c: Column, reasoning_model: bool = False) -> Column:
 
 def banned_tokens(ids: Column, n: int, window: int, allowed: list[int] | None = None) -> Column:
     """Tokens that would repeat an n-gram of the trailing window."""
-    size = F.size(ids)
-    prefix = F.slice(ids, F.greatest(size - (n - 2), F.lit(1)), F.lit(n - 1))
-    first, last = F.greatest(F.lit(0), size - window), size - n
-    starts = F.when((size >= n) & (first <= last), F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
-    same = F.filter(starts, lambda i: F.slice(ids, i + 1, F.lit(n - 1)) == prefix) if n > 1 else starts
-    found = F.transform(same, lambda i: F.get(ids, i + (n - 1)))
-    return F.array_sort(F.array_except(F.array_distinct(found), F.array(*map(F.lit, allowed or [])).cast("array<int>")))
+
+    def within(tail: Column) -> Column:
+        size = F.size(tail)
+        prefix = F.slice(tail, F.greatest(size - (n - 2), F.lit(1)), F.lit(n - 1))
+        starts = F.when(size >= n, F.sequence(F.lit(0), size - n)).otherwise(F.array().cast("array<int>"))
+        same = F.filter(starts, lambda i: F.slice(tail, i + 1, F.lit(n - 1)) == prefix) if n > 1 else starts
+        found = F.transform(same, lambda i: F.get(tail, i + (n - 1)))
+        return F.array_sort(F.array_except(F.array_distinct(found), F.array(*map(F.lit, allowed or [])).cast("array<int>")))
+
+    return bound(ids, lambda x: bound(F.slice(x, F.greatest(F.size(x) - (window - 1), F.lit(1)), F.lit(window)), within))
