@@ -57,13 +57,16 @@ def recognized(images: DataFrame, backend: Callable[[], OcrBackend]) -> DataFram
     return images.mapInPandas(run, schema)
 
 
+def with_retries(first: DataFrame, again: DataFrame) -> DataFrame:
+    """Texts of which a blank one is replaced by its second reading (name, ocr_text), if that is not blank."""
+    read = again.select("name", F.col("ocr_text").alias("again")).where(T.strip(F.col("again")) != "")
+    blank = T.strip(F.col("ocr_text")) == ""
+    return first.join(read, "name", "left").withColumn("ocr_text", F.when(blank, F.coalesce("again", "ocr_text")).otherwise(F.col("ocr_text"))).drop("again")
+
+
 def recognized_twice(images: DataFrame, retries: DataFrame, backend: Callable[[], OcrBackend]) -> DataFrame:
     """Texts of the images; a blank one is replaced by its retry image's, if that has one."""
-    first = recognized(images, backend)
-    again = recognized(retries, backend).select("name", F.col("ocr_text").alias("again")).where(T.strip(F.col("again")) != "")
-    joined = first.join(again, "name", "left")
-    blank = T.strip(F.col("ocr_text")) == ""
-    return joined.withColumn("ocr_text", F.when(blank, F.coalesce("again", "ocr_text")).otherwise(F.col("ocr_text"))).drop("again")
+    return with_retries(recognized(images, backend), recognized(retries, backend))
 
 
 def detected_language(text: Column) -> Column:
