@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +14,49 @@ RESULT = "pdf_file_id string, page_number int, box_id string, x0 double, y0 doub
 EVENT = "event string, phase string, index string, total string, pages string, chars string"
 
 
+_SPOT = "struct<x0:double,y0:double,x1:double,y1:double>"
+_BLOCK = f"id string, page_number int, block_type string, text string, bbox {_SPOT}, confidence double, reading_order_index int, source_type string, language string, metadata map<string,string>"
+_TABLE = f"id string, page_numbers array<int>, page int, bbox {_SPOT}, caption_block_id string, caption string, headers array<string>, rows array<array<string>>"
+_CHUNK = "id string, block_ids array<string>, source_text string, translated_text string, context string, source_language string, source_token_count int"
+
+
+def _as_struct(columns: str) -> str:
+    return "struct<" + re.sub(r"(^|, )(\w+) ", r"\1\2:", columns) + ">"
+
+
+DOCUMENT = ", ".join((
+    "metadata struct<filename:string,title:string,author:string,page_count:int,detected_language:string>",
+    "pages array<struct<page_number:int,width:double,height:double,has_embedded_text:boolean,embedded_text_quality:double,extraction_mode:string>>",
+    f"blocks array<{_as_struct(_BLOCK)}>",
+    f"tables array<{_as_struct(_TABLE)}>",
+    f"translation_chunks array<{_as_struct(_CHUNK)}>",
+    "warnings array<string>",
+))
+
+
+def found(spark: SparkSession, path: str) -> bool:
+    """Whether any file fits a path, in whatever store it is."""
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    status = at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at)
+    return status is not None and len(status) > 0
+
+
+def structured_documents(spark: SparkSession, path: str) -> DataFrame:
+    """(file, metadata, pages, blocks, tables, translation_chunks, warnings) of structured documents, one JSON object a file."""
+    return spark.read.schema(DOCUMENT).option("multiLine", True).json(path).withColumn("file", F.input_file_name())
+
+
+def document_blocks(documents: DataFrame) -> DataFrame:
+    """(file, block_ord, ...): a row for each block of structured documents, in their order."""
+    return documents.select("file", F.posexplode("blocks").alias("block_ord", "b")).select("file", "block_ord", "b.*")
+
+
+def document_tables(documents: DataFrame) -> DataFrame:
+    """(file, table_ord, ...): a row for each table of structured documents."""
+    return documents.select("file", F.posexplode("tables").alias("table_ord", "t")).select("file", "table_ord", "t.*")
+
+
 def pdf_files(spark: SparkSession, path: str) -> DataFrame:
     """(path, modificationTime, length, content) of uploaded files."""
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").load(path)
@@ -37,7 +82,10 @@ def region_pages(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(REGION_PAGE).option("multiLine", True).json(f"{path}/page_*.json")
 
 
-def ocr_results(spark: SparkSession, path: str) -> DataFrame:
+def ocr_results(spark: SparkSession, path: str) -> DataFrame | None:
+    """The results of files of OCR results; None if there is no such file."""
+    if not found(spark, path):
+        return None
     return spark.read.schema(f"results array<struct<{', '.join(f'{n}:{t}' for n, t in (x.split(' ', 1) for x in RESULT.split(', ')))}>>").option("multiLine", True).json(path).select(F.explode("results").alias("r")).select("r.*")
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.functions import geometry
+from quire.functions.html import markdown_html
 from quire.functions.text import strip
 from quire.operators.reports import profile, profile_summary
 
@@ -28,6 +30,36 @@ def write_region_pages(regions: DataFrame, path: str) -> None:
     regions.groupBy("doc_id", "page_number").agg(F.array_sort(F.collect_list(item)).alias("regions")).write.json(path)
 
 
+def write_all_pages(regions: DataFrame, path: str) -> None:
+    """A document's pages with their regions as one JSON object: doc_id and `pages`, by number."""
+    rest = [c for c in regions.columns if c not in ("doc_id", "page_number", "reading_order", "id")]
+    pages = regions.groupBy("doc_id", "page_number").agg(F.array_sort(F.collect_list(F.struct("reading_order", "id", *rest))).alias("regions"))
+    pages.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page_number", "regions"))).alias("pages")).write.json(path)
+
+
+def write_ocr_results(results: DataFrame, path: str) -> None:
+    """A document's recognised regions as one JSON object: doc_id and `results`, in reading order; `files.ocr_results` reads them."""
+    rest = [c for c in results.columns if c not in ("doc_id", "page_number", "reading_order", "box_id")]
+    item = F.struct("page_number", "reading_order", "box_id", *rest)
+    results.groupBy("doc_id").agg(F.array_sort(F.collect_list(item)).alias("results")).write.json(path)
+
+
+def source_markdown(pages: DataFrame, results: DataFrame) -> DataFrame:
+    """(doc_id, markdown) of documents' sources: their page texts (doc_id, page_number, text) trimmed and joined by blank lines; for
+    documents without any, their recognised regions with page markers."""
+    item = F.struct("page_number", strip(F.col("text")).alias("text"))
+    whole = pages.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["text"]), "\n\n").alias("text"))
+    full = whole.select("doc_id", F.concat(strip(F.col("text")), F.lit("\n")).alias("markdown"))
+    return full.unionByName(region_markdown(results).join(full.select("doc_id"), "doc_id", "left_anti"))
+
+
+def write_debug_boxes(regions: DataFrame, path: str) -> None:
+    """Each region's geometry as JSON: its box in shares and in percent of the page, by document."""
+    percent = F.struct(*(c.alias(n) for c, n in zip(geometry.percent(tuple(F.col(n) for n in ("x0", "y0", "x1", "y1"))), ("x", "y", "width", "height"), strict=True)))
+    shown = regions.select("doc_id", "page_number", "id", "type", "reading_order", F.struct("x0", "y0", "x1", "y1").alias("bbox"), percent.alias("percent"))
+    shown.write.partitionBy("doc_id").json(path)
+
+
 def region_markdown(results: DataFrame) -> DataFrame:
     """(doc_id, markdown): texts in order with a marker before each page's first; blank texts are left out."""
     full = results.withColumn("text", strip(F.col("ocr_text"))).where("text <> ''")
@@ -69,6 +101,11 @@ def decisions(pages: DataFrame) -> DataFrame:
 MODE_CSS = {"readable": "", "faithful": "column-count: 2; column-gap: 8mm;", "debug_markdown": "white-space: pre-wrap; font-family: monospace;"}
 
 
+def html_documents(documents: DataFrame, mode: str = "readable") -> DataFrame:
+    """(doc_id, html): printable pages of documents (doc_id, title, markdown)."""
+    return documents.select("doc_id", html_page(markdown_html(F.col("markdown")), F.col("title"), mode).alias("html"))
+
+
 def html_page(body: Column, title: Column, mode: str = "readable") -> Column:
     """A printable page around a body that is HTML already."""
     head = F.concat(F.lit('<!doctype html>\n<html><head><meta charset="utf-8"><title>'), F.coalesce(title, F.lit("Translated Document")), F.lit("</title>"))

@@ -43,15 +43,15 @@ def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of documents made into markdown by their place: headings, items, table rows and blank lines."""
+    """Lines of documents, each whole, made into markdown by their place: headings, items, table rows and captions; a blank line stays where a text has one."""
     split = table(spark, sf_dir, "documents").select("doc_id", "lang", F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
     return split.selectExpr(
         "doc_id",
         "lang",
         "pos",
         """CASE WHEN pos % 7 = 0 THEN concat('# ', raw) WHEN pos % 7 = 3 THEN concat('- ', raw)
-                WHEN pos % 11 = 5 OR pos % 11 = 6 THEN concat('| ', left(replace(raw, '|', ' '), 20), ' | ', length(raw), ' |')
-                WHEN pos % 13 = 4 THEN concat('Table ', pos, ' ', left(raw, 30)) WHEN pos % 5 = 4 THEN '' ELSE raw END AS line""",
+                WHEN pos % 11 = 5 OR pos % 11 = 6 THEN concat('| ', replace(raw, '|', ' '), ' | ', length(raw), ' |')
+                WHEN pos % 13 = 4 THEN concat('Table ', pos, ' ', raw) ELSE raw END AS line""",
     )
 
 
@@ -96,8 +96,8 @@ SQL_VIEWS = {
         CASE WHEN l_linestatus = 'O' THEN 'normalized' ELSE 'pdf' END AS coordinate_space, l_returnflag <> 'R' AS selected,
         CASE l_returnflag WHEN 'A' THEN 'text' WHEN 'N' THEN 'table' ELSE 'figure' END AS type FROM lineitem""",
     "lines": """SELECT doc_id, lang, pos, CASE WHEN pos % 7 = 0 THEN '# ' || raw WHEN pos % 7 = 3 THEN '- ' || raw
-        WHEN pos % 11 = 5 OR pos % 11 = 6 THEN '| ' || left(replace(raw, '|', ' '), 20) || ' | ' || length(raw) || ' |'
-        WHEN pos % 13 = 4 THEN 'Table ' || pos || ' ' || left(raw, 30) WHEN pos % 5 = 4 THEN '' ELSE raw END AS line
+        WHEN pos % 11 = 5 OR pos % 11 = 6 THEN '| ' || replace(raw, '|', ' ') || ' | ' || length(raw) || ' |'
+        WHEN pos % 13 = 4 THEN 'Table ' || pos || ' ' || raw ELSE raw END AS line
         FROM (SELECT doc_id, lang, unnest(x) AS raw, generate_subscripts(x, 1) - 1 AS pos FROM (SELECT doc_id, lang, string_split(text, chr(10)) AS x FROM documents))""",
     "timings": """SELECT event_id, 'j' || (user_id % 50) AS job_id, event_type AS stage, value AS seconds, CASE WHEN event_id % 3 > 0 THEN user_id % 9 + 1 END AS page FROM events""",
     "jobs": """SELECT user_id AS job_id, event_id,
