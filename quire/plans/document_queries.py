@@ -9,7 +9,7 @@ from quire.functions import geometry as G
 from quire.functions import text as T
 from quire.operators import compiling, jobs, layout, markdown, reports, translation
 from quire.plans.registry import query
-from quire.plans.text_queries import _COMPACT, _STRIP, _TOKENS
+from quire.plans.text_queries import _CLEAN, _COMPACT, _COUNT, _ENGLISH, _FOUND, _PARAGRAPHS, _STRIP, _TOKENS, chunks_sql
 from quire.sources import files
 from quire.sources import tables as S
 from quire.sources.tables import with_views
@@ -300,7 +300,7 @@ def compile_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     with_views("ocr_results")
     + f""", p AS (SELECT doc_id, box_id, {_PRE.format("ocr_text || CASE WHEN reading_order % 3 = 0 THEN ' co-' ELSE '' END")} AS a, {_SUF.format("lead(ocr_text) OVER (PARTITION BY doc_id ORDER BY page_number, reading_order, box_id)")} AS b FROM ocr_results),
 q AS (SELECT doc_id, box_id, {_LEFT} AS l, {_RIGHT} AS r FROM p WHERE b IS NOT NULL), s AS (SELECT *, regexp_replace(string_split(regexp_replace(r, '^\\s+|\\s+$', '', 'g'), chr(10))[1], '^\\s+|\\s+$', '', 'g') AS h FROM q)
-SELECT doc_id, box_id, right(l, 20) AS before, left(r, 20) AS after, {_RUNS_ON} AS runs_on FROM s"""
+SELECT doc_id, box_id, l AS before, r AS after, {_RUNS_ON} AS runs_on FROM s"""
 )
 def join_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql.window import Window
@@ -310,7 +310,7 @@ def join_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = S.ocr_results(spark, sf_dir).select("doc_id", "box_id", marked.alias("a"), F.lead("ocr_text").over(order).alias("b")).where("b IS NOT NULL")
     left, right = T.dehyphenated(F.col("a"), F.col("b"))
     return pairs.select("doc_id", "box_id", left.alias("l"), right.alias("r")).select(
-        "doc_id", "box_id", F.right("l", F.lit(20)).alias("before"), F.left("r", F.lit(20)).alias("after"), T.joined_by_space(F.col("l"), F.col("r")).alias("runs_on")
+        "doc_id", "box_id", F.col("l").alias("before"), F.col("r").alias("after"), T.joined_by_space(F.col("l"), F.col("r")).alias("runs_on")
     )
 
 
@@ -373,16 +373,15 @@ def _paged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _KIND = r"""CASE WHEN l = '' THEN 'blank' WHEN starts_with(l, '|') AND suffix(l, '|') THEN 'table' WHEN regexp_matches(l, '^#{1,6}\s+.+$') THEN 'heading' WHEN regexp_matches(l, '^[-*+]\s+') THEN 'list'
  WHEN regexp_matches(l, '(?i)^(table|figure)\s+\d+') THEN 'caption' ELSE 'paragraph' END"""
-_PAGED = with_views("lines") + f", pl AS (SELECT doc_id, pos, CAST(pos // 20 AS INT) + 1 AS page_number, {_STRIP.format('line')} AS l FROM lines), k AS (SELECT *, {_KIND} AS kind FROM pl)"
-_BLOCKS = (
-    _PAGED
-    + r""", c AS (SELECT *, CASE WHEN coalesce(lag(kind) OVER w <> kind, true) OR kind IN ('heading', 'list', 'caption') THEN 1 ELSE 0 END AS fresh FROM k WINDOW w AS (PARTITION BY doc_id, page_number ORDER BY pos)),
+_KINDS = f", k AS (SELECT *, {_KIND} AS kind FROM pl)"
+_PAGED = with_views("lines") + f", pl AS (SELECT doc_id, pos, CAST(pos // 20 AS INT) + 1 AS page_number, {_STRIP.format('line')} AS l FROM lines)" + _KINDS
+_RUNS = r""", c AS (SELECT *, CASE WHEN coalesce(lag(kind) OVER w <> kind, true) OR kind IN ('heading', 'list', 'caption') THEN 1 ELSE 0 END AS fresh FROM k WINDOW w AS (PARTITION BY doc_id, page_number ORDER BY pos)),
 g AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, page_number ORDER BY pos) AS run FROM c),
 b AS (SELECT doc_id, page_number, run, kind AS block_type, CASE WHEN kind = 'table' THEN '[TABLE]' ELSE string_agg(CASE kind WHEN 'heading' THEN regexp_replace(regexp_replace(l, '^#{1,6}\s+', ''), '^\s+|\s+$', '', 'g')
   WHEN 'list' THEN regexp_replace(l, '^[-*+]\s+', '') ELSE l END, ' ' ORDER BY pos) END AS text FROM g WHERE kind <> 'blank' GROUP BY doc_id, page_number, run, kind),
 blocks AS (SELECT doc_id, page_number, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY page_number, run) - 1 AS INT) AS block_ord, block_type, text FROM b)
 """
-)
+_BLOCKS = _PAGED + _RUNS
 
 
 @query(_PAGED + " SELECT doc_id, pos, kind FROM k")
@@ -417,24 +416,57 @@ def extract_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query()
+_ESCAPED = "trim(replace(replace({0}, chr(10), '<br>'), '|', '\\|'))"
+_GRID = """, g0 AS (SELECT n.doc_id, n.page_number, n.t - 1 AS table_ord, n.caption, list_filter(r.x, lambda c: len(list_filter(c, lambda y: y <> '')) > 0 OR len(c) > 1) AS x FROM n JOIN r ON r.doc_id = n.doc_id AND n.pos = r.p0),
+grid AS (SELECT doc_id, page_number, CAST(table_ord AS INT) AS table_ord, caption, x[1] AS headers, CASE WHEN len(x) > 2 AND len(list_filter(x[2], lambda y: regexp_replace(y, '^[-: ]+', '') <> '')) = 0 THEN x[3:] ELSE x[2:] END AS rows FROM g0)
+"""
+
+
+@query(
+    _TABLES
+    + _RUNS
+    + _GRID
+    + f""", named AS (SELECT *, coalesce(caption, 'Table ' || row_number() OVER (PARTITION BY doc_id ORDER BY page_number, table_ord)) AS title FROM grid),
+md AS (SELECT doc_id, page_number, string_agg(chr(10) || '### ' || title || chr(10) || chr(10) || array_to_string(list_concat(['<table class="structured-table">', '<thead><tr>'], list_transform(headers, lambda h: '<th>' || {_ESCAPED.format("h")} || '</th>'), ['</tr></thead>', '<tbody>'],
+  flatten(list_transform(rows, lambda y: list_concat(['<tr>'], list_transform(y, lambda c: '<td>' || {_ESCAPED.format("c")} || '</td>'), ['</tr>']))), ['</tbody></table>']), chr(10)), chr(10) ORDER BY table_ord) AS tables_md FROM named GROUP BY doc_id, page_number),
+kept AS (SELECT *, coalesce(lag(page_number) OVER w <> page_number, true) AS turned, row_number() OVER (PARTITION BY doc_id, page_number, block_type ORDER BY block_ord) AS nth FROM blocks WHERE block_type = 'table' OR text <> '' WINDOW w AS (PARTITION BY doc_id ORDER BY block_ord)),
+parts AS (SELECT doc_id, block_ord, CASE WHEN turned THEN chr(10) || '<!-- page: ' || page_number || ' -->' || chr(10) || chr(10) ELSE '' END AS mark, CASE WHEN block_type = 'heading' THEN '## ' || text || chr(10) WHEN block_type = 'list' THEN '- ' || text || chr(10)
+  WHEN block_type = 'caption' THEN '*' || text || '*' || chr(10) WHEN block_type = 'table' THEN CASE WHEN nth = 1 THEN tables_md END ELSE text || chr(10) END AS body FROM kept LEFT JOIN md USING (doc_id, page_number)),
+pieces AS (SELECT doc_id, block_ord, CASE WHEN body IS NULL THEN CASE WHEN mark <> '' THEN rtrim(mark, chr(10)) END ELSE mark || body END AS piece FROM parts)
+SELECT doc_id, coalesce(string_agg(piece, chr(10) ORDER BY block_ord), '') AS markdown FROM pieces GROUP BY doc_id"""
+)
 def build_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = _paged(spark, sf_dir)
     return markdown.markdown(markdown.blocks(lines), markdown.tables(lines))
 
 
-@query()
+@query(
+    _TABLES
+    + _RUNS
+    + f""", j AS (SELECT doc_id, string_agg(text, chr(10) ORDER BY block_ord) AS t FROM blocks WHERE block_type IN ('paragraph', 'heading') GROUP BY doc_id),
+m AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, page_number, table_ord FROM r) GROUP BY doc_id), s AS (SELECT doc_id, {_STRIP.format("left(t, 4000)")} AS sample FROM j),
+b2 AS (SELECT doc_id, count(*) AS n_blocks, count(*) FILTER (WHERE block_type = 'heading') AS n_headings, string_agg(block_type || ': ' || text, chr(10) ORDER BY block_ord) AS content FROM blocks GROUP BY doc_id)
+SELECT b2.doc_id, n_blocks, n_headings, content, coalesce(m.n, 0) AS n_tables, CASE WHEN length(sample) >= 40 THEN sample END AS sample FROM b2 LEFT JOIN m USING (doc_id) LEFT JOIN s USING (doc_id)"""
+)
 def build_document(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts of each document's blocks and tables with its language sample's length."""
+    """Each document's blocks in order, their number, its tables' and its language sample."""
     lines = _paged(spark, sf_dir)
     found = markdown.blocks(lines)
-    counts = found.groupBy("doc_id").agg(F.count("*").alias("n_blocks"), F.count_if(F.col("block_type") == "heading").alias("n_headings"))
+    item = F.struct("block_ord", F.concat("block_type", F.lit(": "), "text").alias("piece"))
+    content = F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["piece"]), "\n")
+    counts = found.groupBy("doc_id").agg(F.count("*").alias("n_blocks"), F.count_if(F.col("block_type") == "heading").alias("n_headings"), content.alias("content"))
     tables = markdown.tables(lines).groupBy("doc_id").agg(F.count("*").alias("n_tables"))
-    sample = markdown.language_sample(found).select("doc_id", F.length("sample").alias("sample_chars"))
-    return counts.join(tables, "doc_id", "left").join(sample, "doc_id", "left").fillna(0, ["n_tables"])
+    return counts.join(tables, "doc_id", "left").join(markdown.language_sample(found), "doc_id", "left").fillna(0, ["n_tables"])
 
 
-@query()
+@query(
+    with_views("ocr_results")
+    + f""", pages_of AS (SELECT doc_id, page_number, string_agg(ocr_text, chr(10) || chr(10) ORDER BY reading_order, ocr_text) AS text FROM ocr_results GROUP BY doc_id, page_number),
+pl AS (SELECT doc_id, page_number, generate_subscripts(x, 1) - 1 AS pos, {_STRIP.format("unnest(x)")} AS l FROM (SELECT doc_id, page_number, string_split(text, chr(10)) AS x FROM pages_of))"""
+    + _KINDS
+    + _RUNS
+    + "SELECT * FROM blocks"
+)
 def cached_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks of documents from cached page texts."""
     pages = S.ocr_results(spark, sf_dir).groupBy("doc_id", "page_number").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("reading_order", "ocr_text"))), lambda x: x["ocr_text"]), "\n\n").alias("text"))
@@ -464,12 +496,16 @@ def translatable_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.where(~F.col("block_type").isin("header", "footer") & (T.strip(F.col("text")) != "")).select("doc_id", "block_ord")
 
 
-@query()
+@query(
+    _TABLES
+    + """, d AS (SELECT DISTINCT doc_id, page_number, CAST(table_ord AS INT) AS table_ord FROM r), e AS (SELECT *, unnest(CASE WHEN table_ord % 2 = 1 THEN [page_number, page_number + 1] ELSE [page_number] END) AS on_page FROM d)
+SELECT doc_id, page_number, table_ord, CAST(on_page AS INT) AS on_page, on_page = page_number AS written FROM e"""
+)
 def tables_by_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tables on each of their pages (odd ones reach onto the next page), marked where they are written first."""
     from pyspark.sql.window import Window
 
-    found = markdown.tables(_paged(spark, sf_dir)).select("doc_id", "page_number", "table_ord")
+    found = markdown.tables(_paged(spark, sf_dir)).select("doc_id", "page_number", F.col("table_ord").cast("int"))
     pages = found.withColumn("on_page", F.explode(F.when(F.col("table_ord") % 2 == 1, F.array("page_number", F.col("page_number") + 1)).otherwise(F.array("page_number"))))
     first = Window.partitionBy("doc_id", "page_number", "table_ord").orderBy("on_page")
     return pages.withColumn("written", F.row_number().over(first) == 1)
@@ -517,7 +553,20 @@ def paragraph_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", F.col("unit_ord").cast("int"), F.array_join("block_ids", ",").alias("ids"), "block_type", "context", "text")
 
 
-@query()
+@query(
+    _TABLES
+    + _RUNS
+    + _GRID
+    + f""", ub AS (SELECT * FROM blocks WHERE block_type <> 'table' AND text <> ''),
+uc AS (SELECT *, CASE WHEN block_type = 'paragraph' AND lag(block_type) OVER w = 'paragraph' AND lag(page_number) OVER w = page_number AND block_ord - lag(block_ord) OVER w <= 9
+  AND NOT (regexp_matches(lag(text) OVER w, '[.!?:;]$') AND regexp_matches(text, '^\\p{{Lu}}')) THEN 0 ELSE 1 END AS fresh FROM ub WINDOW w AS (PARTITION BY doc_id ORDER BY block_ord)),
+ud AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY block_ord) - 1 AS unit FROM uc),
+ue AS (SELECT doc_id, unit, first(block_type) AS kind, string_agg('b' || doc_id || '-' || block_ord, ',' ORDER BY block_ord) AS ids, list(text ORDER BY block_ord) AS ts FROM ud GROUP BY doc_id, unit),
+parts AS (SELECT doc_id, table_ord * 100000 - 1 AS ord, '__table_header__:t' || page_number || '-' || table_ord AS ids, headers AS cells, page_number FROM grid WHERE len(headers) > 0
+  UNION ALL SELECT doc_id, table_ord * 100000 + i - 1, '__table_row__:t' || page_number || '-' || table_ord || ':' || (i - 1), y, page_number FROM (SELECT *, unnest(rows) AS y, generate_subscripts(rows, 1) AS i FROM grid))
+SELECT doc_id, 0 AS part, CAST(unit AS BIGINT) AS ord, ids, kind AS block_type, CASE WHEN kind = 'paragraph' THEN {_COMPACT.format("array_to_string(list_transform(ts, lambda l, k: CASE WHEN k = len(ts) THEN l WHEN suffix(l, '-') THEN left(l, length(l) - 1) ELSE l || ' ' END), '')")} ELSE ts[1] END AS text FROM ue
+UNION ALL SELECT doc_id, 1, CAST(ord AS BIGINT), ids, 'table', array_to_string(cells, chr(10) || '|||CELL_BREAK|||' || chr(10)) FROM parts"""
+)
 def units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All translation units: blocks in order, then table parts."""
     lines = _paged(spark, sf_dir)
@@ -527,7 +576,7 @@ def units(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = markdown.tables(lines).withColumn("table_id", F.concat(F.lit("t"), "page_number", F.lit("-"), "table_ord"))
     parts = translation.table_units(tables, F.lit(""))
     parts = parts.select("doc_id", F.lit(1).alias("part"), (F.col("table_ord") * 100_000 + F.col("row_ord")).cast("long").alias("ord"), "block_ids", "block_type", "text")
-    return text_units.unionByName(parts)
+    return text_units.unionByName(parts).withColumn("block_ids", F.array_join("block_ids", ",")).withColumnRenamed("block_ids", "ids")
 
 
 def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -560,30 +609,68 @@ def table_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.withColumn("at", at).join(offsets, "part").select("page_id", (F.col("at") + F.col("offset")).cast("int").alias("ordinal"))
 
 
-@query()
+_UNIT_TEXT = f"CASE WHEN kind = 'paragraph' THEN {_COMPACT.format("array_to_string(list_transform(ts, lambda l, k: CASE WHEN k = len(ts) THEN l WHEN suffix(l, '-') THEN left(l, length(l) - 1) ELSE l || ' ' END), '')")} ELSE ts[1] END"
+_CHUNKED = (
+    _BOXED
+    + f""", src AS (SELECT {{'d': doc_id, 'u': unit_ord}} AS k, {_UNIT_TEXT} AS t FROM un),
+{chunks_sql("src", 128)},
+ck AS (SELECT k.d AS doc_id, k.u AS unit_ord, unnest(x) AS text, generate_subscripts(x, 1) AS part FROM packed),
+cl AS (SELECT ck.doc_id, ck.unit_ord, ck.part, ck.text, d.lang AS language, un.kind, un.ids, {_CLEAN.format("ck.text")} AS clean FROM ck JOIN un ON un.doc_id = ck.doc_id AND un.unit_ord = ck.unit_ord JOIN documents d ON d.doc_id = ck.doc_id),
+ce AS (SELECT *, {_FOUND} AS found FROM cl),
+cs AS (SELECT doc_id, unit_ord, kind, ids, text AS s, '[' || text || ']' AS bracketed, CASE WHEN language = 'en' OR (language IS NULL AND {_STRIP.format("text")} <> '') THEN {_ENGLISH} ELSE false END AS skipped,
+  CAST(row_number() OVER (PARTITION BY doc_id ORDER BY unit_ord, part) - 1 AS INT) AS chunk_ord FROM ce)
+"""
+)
+
+
+def _holds(t: str) -> str:
+    """SQL: whether the translation `t` keeps the structure of the chunk `s` of a block of `kind`."""
+    items, heads = r"(?m)^\s*[-*+]\s+\S", r"(?m)^\s{0,3}#{1,6}\s+\S"
+    return f"""(length({t}) > 0 AND NOT ((length(s) >= 200 AND length({t}) < greatest(40, floor(length(s) * 0.2::DOUBLE))) OR ({_PARAGRAPHS.format("s")} >= 3 AND {_PARAGRAPHS.format(t)} < greatest(2, {_PARAGRAPHS.format("s")} // 2))
+  OR ({_COUNT.format("s", items)} > 0 AND {_COUNT.format(t, items)} < {_COUNT.format("s", items)}) OR ({_COUNT.format("s", heads)} > 0 AND {_COUNT.format(t, heads)} < {_COUNT.format("s", heads)})
+  OR (kind = 'heading' AND contains({t}, chr(10) || chr(10)))))"""
+
+
+def _joined(column: str) -> str:
+    """SQL: the texts of a unit's chunks, joined by blank lines if there are more than one."""
+    return f"CASE WHEN count(*) = 1 THEN first({column}) ELSE coalesce(string_agg({_STRIP.format(column)}, chr(10) || chr(10) ORDER BY chunk_ord) FILTER (WHERE {_STRIP.format(column)} <> ''), '') END"
+
+
+@query(_CHUNKED + f"SELECT doc_id, min(chunk_ord) AS chunk_ord, ids, {_joined('s')} AS source_text, {_joined('bracketed')} AS translated_text FROM cs GROUP BY doc_id, unit_ord, ids")
 def coalesce_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = _chunks(spark, sf_dir).withColumn("translated_text", F.upper("source_text"))
+    chunks = _chunks(spark, sf_dir).withColumn("translated_text", F.concat(F.lit("["), "source_text", F.lit("]")))
     return translation.coalesced(chunks).select("doc_id", "chunk_ord", F.array_join("block_ids", ",").alias("ids"), "source_text", "translated_text")
 
 
-@query()
+@query(
+    _CHUNKED
+    + f"""SELECT doc_id, chunk_ord, CASE WHEN skipped THEN 'skipped' WHEN {_holds("'short'")} THEN 'translated' WHEN {_holds("bracketed")} THEN 'retried' ELSE 'source' END AS outcome,
+ CASE WHEN skipped THEN 0 WHEN {_holds("'short'")} THEN 1 ELSE 2 END AS attempts, CASE WHEN skipped THEN s WHEN {_holds("'short'")} THEN 'short' WHEN {_holds("bracketed")} THEN bracketed ELSE s END AS translated_text FROM cs"""
+)
 def validated_translate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks through a model that fails at first and answers at the second call."""
-    done = translation.translated(_chunks(spark, sf_dir), translation.FirstTryFails())
-    return done.select("doc_id", "chunk_ord", "outcome", "attempts", F.length("translated_text").alias("n_chars"))
+    done = translation.translated(_chunks(spark, sf_dir), translation.FirstTryFails)
+    return done.select("doc_id", "chunk_ord", "outcome", "attempts", "translated_text")
 
 
 @query()
 def table_translate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages with tables through a model that keeps markup."""
-    rows = S.markup(spark, sf_dir).select("page_id", T.normalize_table(F.col("text")).alias("source_text"), F.lit("").alias("context"), F.lit("table").alias("block_type"), F.lit(False).alias("skipped"))
-    return translation.translated(rows, translation.IdentityTranslator()).select("page_id", "outcome", "attempts")
+    rows = S.markup(spark, sf_dir).select("page_id", F.col("text").alias("source_text"), F.lit("").alias("context"), F.lit("table").alias("block_type"), F.lit(False).alias("skipped"))
+    return translation.translated(rows, translation.IdentityTranslator).select("page_id", "outcome", "attempts", "translated_text")
 
 
-@query()
+@query(
+    _CHUNKED
+    + f""", done AS (SELECT *, CASE WHEN skipped THEN s WHEN {_holds("bracketed")} THEN bracketed ELSE s END AS now FROM cs),
+whole AS (SELECT doc_id, unit_ord, {_joined("now")} AS text FROM done GROUP BY doc_id, unit_ord),
+placed AS (SELECT doc_id, i, block_id, unit_ord, row_number() OVER (PARTITION BY doc_id, unit_ord ORDER BY i) AS nth, first(block_id) OVER (PARTITION BY doc_id, unit_ord ORDER BY i) AS head FROM gr)
+SELECT bx.doc_id, CAST(bx.i AS INT) AS block_ord, CASE WHEN nth > 1 THEN head END AS merged_into, CASE WHEN nth IS NULL THEN bx.t WHEN nth = 1 THEN {_STRIP.format("whole.text")} ELSE '' END AS text
+FROM bx LEFT JOIN placed ON placed.doc_id = bx.doc_id AND placed.i = bx.i LEFT JOIN whole ON whole.doc_id = placed.doc_id AND whole.unit_ord = placed.unit_ord"""
+)
 def translate_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks after translation: skipped, bracketed and merged."""
-    chunks = translation.coalesced(translation.translated(_chunks(spark, sf_dir), translation.BracketTranslator()))
+    chunks = translation.coalesced(translation.translated(_chunks(spark, sf_dir), translation.BracketTranslator))
     return translation.applied(_boxed(spark, sf_dir), chunks).select("doc_id", "block_ord", "merged_into", "text")
 
 
@@ -636,12 +723,12 @@ _CASES = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in reports.FAILURES.items())
 _FIX_CASES = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in reports.FIXES.items())
 
 
-@query(f"""WITH f AS (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 'empty' WHEN doc_id % 7 = 0 THEN 'short' WHEN doc_id % 5 = 0 THEN 'table' WHEN length(text) > 0 AND length(left(text, (doc_id % 3000)::INT)) < length(text) * 0.35::DOUBLE THEN 'length' ELSE 'none' END AS k FROM documents)
+@query(f"""WITH f AS (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 'empty' WHEN doc_id % 7 = 0 THEN 'short' WHEN doc_id % 5 = 0 THEN 'table' WHEN length(text) > 0 AND length(text) * (doc_id % 10) // 10 < length(text) * 0.35::DOUBLE THEN 'length' ELSE 'none' END AS k FROM documents)
 SELECT doc_id, CASE k {_CASES} END AS failure, CASE k {_FIX_CASES} END AS fix FROM f""")
 def failure_point(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = F.col("doc_id")
-    cut = F.left("text", (d % 3000).cast("int"))
-    key = reports.failure(d % 11 == 0, d % 7 == 0, d % 5 == 0, T.paragraph_count(F.col("text")), F.lit(1), F.length("text"), F.length(cut))
+    n = F.length("text")
+    key = reports.failure(d % 11 == 0, d % 7 == 0, d % 5 == 0, T.paragraph_count(F.col("text")), F.lit(1), n, F.floor(n * (d % 10) / 10))
     return S.table(spark, sf_dir, "documents").select("doc_id", reports.described(key, reports.FAILURES).alias("failure"), reports.described(key, reports.FIXES).alias("fix"))
 
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
-from quire.plans.registry import SQL, query
+from quire.plans.registry import query
 from quire.sources import tables as S
 from quire.sources.tables import with_views
 
@@ -29,7 +31,7 @@ _ENGLISH = f"""CASE WHEN {_STRIP.format("text")} = '' THEN true
     WHEN len(found) <= 4 THEN len(list_filter(found, lambda w: list_contains({_LIST(T.ENGLISH_HINTS)}, w))) >= 1
     ELSE len(list_filter(found, lambda w: list_contains({_LIST(T.ENGLISH_HINTS)}, w))) >= greatest(2, len(found) // 8) END"""
 _FOUND = "regexp_extract_all(lower(clean), '[a-z]+')"
-_ABBR = "|".join(T.ABBREVIATIONS)
+_ABBR = "|".join(map(re.escape, T.ABBREVIATIONS))
 _CL = "[''\"”’)\\]}]"
 #: Sentences without look-around: the dots of abbreviations are hidden, boundaries marked, and the marks split.
 _SENTENCES = (
@@ -43,6 +45,38 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.table(spark, sf_dir, "documents")
 
 
+def _greedy(pieces: str, budget: int) -> str:
+    """SQL: strings of a list joined by spaces into parts of at most `budget` tokens."""
+    states = f"list_prepend({{'p': CAST([] AS VARCHAR[]), 'n': ''}}, list_transform({pieces}, lambda w: {{'p': CAST([] AS VARCHAR[]), 'n': w}}))"
+    step = f"""CASE WHEN a.n <> '' AND (length(a.n) + 1 + length(b.n)) // 4 > {budget} THEN {{'p': list_append(a.p, a.n), 'n': b.n}}
+      ELSE {{'p': a.p, 'n': CASE WHEN a.n = '' THEN b.n ELSE a.n || ' ' || b.n END}} END"""
+    return f"list_transform([list_reduce({states}, lambda a, b: {step})], lambda z: CASE WHEN z.n <> '' THEN list_append(z.p, z.n) ELSE z.p END)[1]"
+
+
+_CLAUSES = "string_split(regexp_replace(regexp_replace({0}, '([;:])\\s+', '\\1' || chr(1), 'g'), ',\\s+([A-Z0-9(])', ',' || chr(1) || '\\1', 'g'), chr(1))"
+
+
+def _parts_of_long(source: str, into: str, budget: int) -> str:
+    """CTEs that give `into` (k, i, s, x): the sentence s of `source` (k, i, s) in the list x of parts within the budget."""
+    return f"""{into}_c AS (SELECT k, i, s, {_CLAUSES.format("s")} AS c FROM {source}),
+{into}_p AS (SELECT *, CASE WHEN {_TOKENS.format("s")} > {budget} THEN {_greedy("c", budget)} ELSE [] END AS pc,
+  CASE WHEN {_TOKENS.format("s")} > {budget} THEN {_greedy("list_filter(string_split(s, ' '), lambda w: w <> '')", budget)} ELSE [] END AS pw FROM {into}_c),
+{into} AS (SELECT k, i, s, CASE WHEN {_TOKENS.format("s")} <= {budget} THEN [s] WHEN len(c) > 1 AND len(pc) > 0 AND len(list_filter(pc, lambda x: {_TOKENS.format("x")} > {budget})) = 0 THEN pc
+  WHEN len(pw) = 0 THEN [s] ELSE pw END AS x FROM {into}_p)"""
+
+
+def chunks_sql(source: str, budget: int) -> str:
+    """CTEs that give `packed` (k, x): the text t of `source` (k, t) in the list x of chunks."""
+    return f"""snt AS (SELECT k, unnest(x) AS s, generate_subscripts(x, 1) AS i FROM (SELECT k, CASE WHEN c = '' THEN [] ELSE {_SENTENCES.replace("{0}", "c")} END AS x FROM (SELECT k, {_COMPACT.format("t")} AS c FROM {source}))),
+{_parts_of_long("snt", "lng", budget)},
+sts AS (SELECT k, list({{'p': CASE WHEN {_TOKENS.format("s")} > {budget} THEN x ELSE [] END, 'n': CASE WHEN {_TOKENS.format("s")} > {budget} THEN '' ELSE s END, 'cut': {_TOKENS.format("s")} > {budget}}} ORDER BY i) AS xs FROM lng GROUP BY k),
+fld AS (SELECT k, list_reduce(list_prepend({{'p': CAST([] AS VARCHAR[]), 'n': '', 'cut': false}}, xs), lambda a, b: CASE
+  WHEN b.cut THEN {{'p': list_concat(CASE WHEN a.n <> '' THEN list_append(a.p, a.n) ELSE a.p END, b.p), 'n': '', 'cut': false}}
+  WHEN a.n <> '' AND (length(a.n) + 1 + length(b.n)) // 4 > {budget} THEN {{'p': list_append(a.p, a.n), 'n': b.n, 'cut': false}}
+  ELSE {{'p': a.p, 'n': CASE WHEN a.n = '' THEN b.n ELSE a.n || ' ' || b.n END, 'cut': false}} END) AS f FROM sts),
+packed AS (SELECT k, CASE WHEN {_TOKENS.format("t")} <= {budget} OR f IS NULL OR len(f.p) = 0 AND f.n = '' THEN [t] WHEN f.n <> '' THEN list_append(f.p, f.n) ELSE f.p END AS x FROM {source} LEFT JOIN fld USING (k))"""
+
+
 @query(f"""
 WITH d AS (SELECT *, {_CLEAN.format("text")} AS clean FROM documents),
 e AS (SELECT *, {_FOUND} AS found FROM d)
@@ -145,13 +179,15 @@ def lang_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.table(spark, sf_dir, "pages").select("page_id", F.when(F.length(T.for_detection(F.col("html"))) >= 24, "xx").alias("language"))
 
 
-@query(f"""WITH d AS (SELECT doc_id, left(text, (doc_id % 60)::INT) AS part, CASE WHEN doc_id % 4 > 0 THEN lang END AS detected, doc_id % 5 = 0 AS heading FROM documents)
-SELECT doc_id, CASE WHEN length({_CLEAN.format("part")}) >= 24 AND detected IS NOT NULL THEN detected
+@query(f"""WITH l AS (SELECT doc_id, lang, unnest(x) AS part, generate_subscripts(x, 1) - 1 AS pos FROM (SELECT doc_id, lang, string_split(text, chr(10)) AS x FROM documents)),
+d AS (SELECT doc_id, pos, part, CASE WHEN doc_id % 4 > 0 THEN lang END AS detected, pos % 5 = 0 AS heading FROM l)
+SELECT doc_id, pos, CASE WHEN length({_CLEAN.format("part")}) >= 24 AND detected IS NOT NULL THEN detected
   WHEN heading OR {_INLINE.format("part")} THEN CASE WHEN {_CLEAN.format("part")} <> '' THEN detected END ELSE 'de' END AS language FROM d""")
 def chunk_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = F.left("text", (F.col("doc_id") % 60).cast("int"))
+    """The language of each line of the documents."""
+    rows = _documents(spark, sf_dir).select("doc_id", "lang", F.posexplode(F.split("text", "\n")).alias("pos", "part")).withColumn("pos", F.col("pos").cast("long"))
     detected = F.when(F.col("doc_id") % 4 > 0, F.col("lang"))
-    return _documents(spark, sf_dir).select("doc_id", T.chunk_language(part, detected, F.col("doc_id") % 5 == 0, F.lit("de")).alias("language"))
+    return rows.select("doc_id", "pos", T.chunk_language(F.col("part"), detected, F.col("pos") % 5 == 0, F.lit("de")).alias("language"))
 
 
 @query(r"""WITH c AS (SELECT doc_id, ([' EN', 'pt_BR', 'zh-cn', 'de-at', 'x', 'eng', 'en-GB', 'f1', ''])[(doc_id % 9 + 1)::INT] AS raw FROM documents),
@@ -174,33 +210,25 @@ def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _documents(spark, sf_dir).select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("pos", "sentence")).withColumn("pos", F.col("pos").cast("long"))
 
 
-@query(f"""WITH RECURSIVE d AS (SELECT doc_id, {_COMPACT.format("text")} AS c, text FROM documents),
-s AS (SELECT doc_id, text, CASE WHEN c = '' THEN [] ELSE {_SENTENCES.replace("{0}", "c")} END AS x FROM d),
-f AS (SELECT doc_id, 1 AS i, 0 AS part, x[1] AS now, x FROM s WHERE {_TOKENS.format("text")} > 128 AND len(list_filter(x, lambda y: {_TOKENS.format("y")} > 128)) = 0 AND len(x) > 0
-  UNION ALL SELECT doc_id, i + 1, CASE WHEN {_TOKENS.format("(now || ' ' || x[i + 1])")} > 128 THEN part + 1 ELSE part END,
-  CASE WHEN {_TOKENS.format("(now || ' ' || x[i + 1])")} > 128 THEN x[i + 1] ELSE now || ' ' || x[i + 1] END, x FROM f WHERE i < len(x)),
-whole AS (SELECT doc_id, part, arg_max(now, i) AS chunk FROM f GROUP BY doc_id, part)
-SELECT doc_id, part AS pos, chunk FROM whole UNION ALL SELECT doc_id, 0, text FROM s WHERE {_TOKENS.format("text")} <= 128""")
+@query(f"""WITH src AS (SELECT doc_id AS k, text AS t FROM documents), {chunks_sql("src", 128)}
+SELECT k AS doc_id, CAST(generate_subscripts(x, 1) - 1 AS INTEGER) AS pos, unnest(x) AS chunk FROM packed""")
 def pack_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents without oversize sentences in chunks of 128 tokens; pack_all_chunks has all documents."""
-    c = F.col("text")
-    fits = (T.token_count(c) <= 128) | F.forall(T.sentences(c), lambda s: T.token_count(s) <= 128)
-    return _documents(spark, sf_dir).where(fits).select("doc_id", F.posexplode(T.chunks(c, 128)).alias("pos", "chunk"))
-
-
-@query()
-def pack_all_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in chunks of 128 tokens, with the sentences split that are longer."""
     return _documents(spark, sf_dir).select("doc_id", F.posexplode(T.chunks(F.col("text"), 128)).alias("pos", "chunk"))
 
 
-@query()
+@query(f"""WITH src AS (SELECT doc_id AS k, 1 AS i, {_COMPACT.format("text")} AS s FROM documents), {_parts_of_long("src", "parts", 64)}
+SELECT k AS doc_id, CAST(generate_subscripts(x, 1) - 1 AS INTEGER) AS pos, unnest(x) AS part FROM parts""")
 def split_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole texts taken as one sentence each, in parts of 64 tokens."""
     return _documents(spark, sf_dir).select("doc_id", F.posexplode(T.split_long(T.compact(F.col("text")), 64)).alias("pos", "part"))
 
 
-@query()
+@query(f"""WITH src AS (SELECT doc_id AS k, text AS t FROM documents), {chunks_sql("src", 800)},
+c AS (SELECT k AS doc_id, CAST(generate_subscripts(x, 1) - 1 AS INTEGER) AS chunk_ord, unnest(x) AS text FROM packed),
+l AS (SELECT c.*, d.lang AS language, {_CLEAN.format("c.text")} AS clean FROM c JOIN documents d ON d.doc_id = c.doc_id), e AS (SELECT *, {_FOUND} AS found FROM l)
+SELECT doc_id, chunk_ord, 'chunk-' || chunk_ord AS id, text AS source_text, {_TOKENS.format("text")} AS n_tokens,
+ CASE WHEN language = 'en' OR (language IS NULL AND {_STRIP.format("text")} <> '') THEN {_ENGLISH} ELSE false END AS skipped FROM e""")
 def chunk_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as chunks with their token counts and whether translation is skipped."""
     parts = _documents(spark, sf_dir).select("doc_id", "lang", F.posexplode(T.chunks(F.col("text"), T.token_budget(F.lit(0)))).alias("chunk_ord", "source_text"))
@@ -344,29 +372,29 @@ def cell_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""SELECT doc_id, '<table class="structured-table">' || chr(10) || '<thead><tr>' || chr(10) || '<th>' || lang || '</th>' || chr(10) || '<th>a\|b</th>' || chr(10) || '</tr></thead>' || chr(10) || '<tbody>' || chr(10) || '<tr>' || chr(10)
- || '<td' || CASE WHEN doc_id % 3 > 1 THEN ' rowspan="' || (doc_id % 3) || '"' ELSE '' END || CASE WHEN doc_id % 4 > 1 THEN ' colspan="' || (doc_id % 4) || '"' ELSE '' END || '>' || trim(replace(replace(left(text, 40), chr(10), '<br>'), '|', '\|')) || '</td>'
+ || '<td' || CASE WHEN doc_id % 3 > 1 THEN ' rowspan="' || (doc_id % 3) || '"' ELSE '' END || CASE WHEN doc_id % 4 > 1 THEN ' colspan="' || (doc_id % 4) || '"' ELSE '' END || '>' || trim(replace(replace(text, chr(10), '<br>'), '|', '\|')) || '</td>'
  || chr(10) || '</tr>' || chr(10) || '</tbody></table>' AS html FROM documents""")
 def table_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cell = F.struct(F.left("text", F.lit(40)).alias("text"), (F.col("doc_id") % 3).cast("int").alias("rowspan"), (F.col("doc_id") % 4).cast("int").alias("colspan"))
+    cell = F.struct(F.col("text"), (F.col("doc_id") % 3).cast("int").alias("rowspan"), (F.col("doc_id") % 4).cast("int").alias("colspan"))
     return _documents(spark, sf_dir).select("doc_id", T.table_html(F.array("lang", F.lit("a|b")), F.array(F.array(cell))).alias("html"))
 
 
 # Model output
 
 
-@query(r"""WITH t AS (SELECT doc_id, '<image>' || chr(10) || CASE WHEN doc_id % 2 = 0 THEN 'Convert the document' || chr(10) || chr(10) ELSE '' END || '<|ref|>t<|/ref|><|det|>[[1]]<|/det|>' || left(text, 80) || '<|end|> PROMPT' AS raw FROM documents)
+@query(r"""WITH t AS (SELECT doc_id, '<image>' || chr(10) || CASE WHEN doc_id % 2 = 0 THEN 'Convert the document' || chr(10) || chr(10) ELSE '' END || '<|ref|>t<|/ref|><|det|>[[1]]<|/det|>' || text || '<|end|> PROMPT' AS raw FROM documents)
 SELECT doc_id, regexp_replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(CASE WHEN doc_id % 2 = 0 THEN substr(raw, 31) ELSE substr(raw, 9) END,
  '(?s)<\|ref\|>.*?<\|/ref\|>', '', 'g'), '(?s)<\|det\|>.*?<\|/det\|>', '', 'g'), '<\|[^>]+?\|>', '', 'g'), '^\s+', ''), 'PROMPT', '') , '^\s+|\s+$', '', 'g') AS clean FROM t""")
 def clean_ocr_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     echoed = F.when(F.col("doc_id") % 2 == 0, "Convert the document\n\n").otherwise("")
-    raw = F.concat(F.lit("<image>\n"), echoed, F.lit("<|ref|>t<|/ref|><|det|>[[1]]<|/det|>"), F.left("text", F.lit(80)), F.lit("<|end|> PROMPT"))
+    raw = F.concat(F.lit("<image>\n"), echoed, F.lit("<|ref|>t<|/ref|><|det|>[[1]]<|/det|>"), F.col("text"), F.lit("<|end|> PROMPT"))
     return _documents(spark, sf_dir).select("doc_id", T.clean_ocr(raw, "PROMPT").alias("clean"))
 
 
-@query(r"""SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN '<end_of_turn> <end_of_turn>' ELSE regexp_replace(left(text, 50), '^\s+|\s+$', '', 'g') END AS clean FROM documents""")
+@query(r"""SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN '<end_of_turn> <end_of_turn>' ELSE regexp_replace(text, '^\s+|\s+$', '', 'g') END AS clean FROM documents""")
 def postprocess(spark: SparkSession, sf_dir: str) -> DataFrame:
     marks = F.lit("<end_of_turn> <end_of_turn>")
-    raw = F.when(F.col("doc_id") % 4 == 0, marks).otherwise(F.concat(F.lit("<think>why</think> "), F.left("text", F.lit(50)), F.lit("<|im_end|><|eot_id|> "), marks))
+    raw = F.when(F.col("doc_id") % 4 == 0, marks).otherwise(F.concat(F.lit("<think>why</think> "), F.col("text"), F.lit("<|im_end|><|eot_id|> "), marks))
     return _documents(spark, sf_dir).select("doc_id", T.clean_translation(raw, reasoning_model=True).alias("clean"))
 
 
@@ -405,11 +433,13 @@ def malformed_markup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query()
+@query("""WITH t AS (SELECT doc_id, list_transform(list_filter(string_split(text, ''), lambda c: c <> ''), lambda c: unicode(c) % 7) AS ids FROM documents), n AS (SELECT *, len(ids) AS n FROM t)
+SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(list_transform(list_filter(range(greatest(0, n - 50), n - 2), lambda i: ids[i + 1] = ids[n - 1] AND ids[i + 2] = ids[n]), lambda i: ids[i + 3]),
+ lambda x: x <> 2))), ',') AS banned FROM n""")
 def ngram_ban(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens (code points modulo 7) that would repeat a trigram in a text's last 50."""
     ids = F.transform(F.filter(F.split("text", ""), lambda ch: ch != ""), lambda ch: (F.ascii(ch) % 7).cast("int"))
-    return _documents(spark, sf_dir).select("doc_id", T.banned_tokens(ids, 3, 50, [2]).alias("banned"))
+    return _documents(spark, sf_dir).select("doc_id", F.array_join(T.banned_tokens(ids, 3, 50, [2]).cast("array<string>"), ",").alias("banned"))
 
 
 @query(r"""WITH p AS (SELECT doc_id, text AS s, lang AS context FROM documents)
@@ -419,32 +449,3 @@ def prompt_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.operators.translation import prompt
 
     return _documents(spark, sf_dir).select("doc_id", F.length(prompt(F.col("text"), F.col("lang"), "SYSTEM")).cast("long").alias("n_chars"))
-
-
-# The same over whole texts: the queries above take the beginning of each
-
-
-@query(SQL["clean_ocr_text"].replace("left(text, 80)", "text"))
-def clean_whole_ocr_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    echoed = F.when(F.col("doc_id") % 2 == 0, "Convert the document\n\n").otherwise("")
-    raw = F.concat(F.lit("<image>\n"), echoed, F.lit("<|ref|>t<|/ref|><|det|>[[1]]<|/det|>"), F.col("text"), F.lit("<|end|> PROMPT"))
-    return _documents(spark, sf_dir).select("doc_id", T.clean_ocr(raw, "PROMPT").alias("clean"))
-
-
-@query(SQL["postprocess"].replace("left(text, 50)", "text"))
-def postprocess_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    marks = F.lit("<end_of_turn> <end_of_turn>")
-    raw = F.when(F.col("doc_id") % 4 == 0, marks).otherwise(F.concat(F.lit("<think>why</think> "), F.col("text"), F.lit("<|im_end|><|eot_id|> "), marks))
-    return _documents(spark, sf_dir).select("doc_id", T.clean_translation(raw, reasoning_model=True).alias("clean"))
-
-
-@query(SQL["table_html"].replace("left(text, 40)", "text"))
-def table_html_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cell = F.struct(F.col("text"), (F.col("doc_id") % 3).cast("int").alias("rowspan"), (F.col("doc_id") % 4).cast("int").alias("colspan"))
-    return _documents(spark, sf_dir).select("doc_id", T.table_html(F.array("lang", F.lit("a|b")), F.array(F.array(cell))).alias("html"))
-
-
-@query(SQL["chunk_language"].replace("left(text, (doc_id % 60)::INT)", "text"))
-def text_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    detected = F.when(F.col("doc_id") % 4 > 0, F.col("lang"))
-    return _documents(spark, sf_dir).select("doc_id", T.chunk_language(F.col("text"), detected, F.col("doc_id") % 5 == 0, F.lit("de")).alias("language"))
