@@ -1,4 +1,4 @@
-"""Every query against its SQL; those without SQL must run and give rows."""
+"""Every query against its SQL; test_functions has brute force for those without."""
 
 from __future__ import annotations
 
@@ -13,9 +13,8 @@ def test_query_equals_sql(spark, name):
     assert_same(spark, catalogue.QUERIES[name], catalogue.SQL[name])
 
 
-@pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.SQL)))
-def test_query_without_sql_gives_rows(spark, name):
-    assert catalogue.QUERIES[name](spark, DATA).count() > 0
+def test_queries_without_sql_have_a_test_of_their_own():
+    assert set(catalogue.QUERIES) - set(catalogue.SQL) == {"normalize_table", "table_translate"}
 
 
 def test_entry_runs(spark):
