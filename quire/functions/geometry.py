@@ -93,6 +93,32 @@ def manual_copy(box: Box) -> Box:
     return left, top, clamp(left + w, left + MIN_SIDE, 1.0), clamp(top + h, top + MIN_SIDE, 1.0)
 
 
+def drawn(a: tuple[Column, Column], b: tuple[Column, Column], width: Column | float, height: Column | float) -> Box:
+    """The box between two points of a canvas, as shares of it, `MIN_SIDE` wide and high at least."""
+    out = []
+    for p, q, side in zip(a, b, (width, height), strict=True):
+        low = clamp(F.least(p, q) / side, 0.0, 1 - MIN_SIDE)
+        out.append((low, clamp(F.greatest(p, q) / side, low + MIN_SIDE, 1.0)))
+    (x0, x1), (y0, y1) = out
+    return x0, y0, x1, y1
+
+
+def edited(box: Box, field: Column, value: Column) -> Box:
+    """A box of which one number was typed in percent: x or y move it, w or h resize it; a value that is none changes nothing."""
+    x0, y0, x1, y1 = box
+    typed = F.when(value.isNotNull() & ~F.isnan(value) & (F.abs(value) != float("inf")), value)
+
+    def along(low: Column, high: Column, move: str, size: str) -> tuple[Column, Column]:
+        start, length = unit(low), clamp(high - low, MIN_SIDE, 1.0)
+        moved = clamp(clamp(typed / 100), 0.0, 1 - length)
+        resized = clamp(start + clamp(typed / 100, MIN_SIDE, 1.0), start + MIN_SIDE, 1.0)
+        moves, resizes = (field == move) & typed.isNotNull(), (field == size) & typed.isNotNull()
+        return F.when(moves, moved).otherwise(low), F.when(moves, clamp(moved + length, moved + MIN_SIDE, 1.0)).when(resizes, resized).otherwise(high)
+
+    (a, c), (b, d) = along(x0, x1, "x", "w"), along(y0, y1, "y", "h")
+    return a, b, c, d
+
+
 def drawn_large_enough(width: Column, height: Column, canvas_width: Column, canvas_height: Column) -> Column:
     return (width >= F.greatest(F.lit(float(MIN_DRAWN_PIXELS)), canvas_width * MIN_DRAWN_SHARE)) & (
         height >= F.greatest(F.lit(float(MIN_DRAWN_PIXELS)), canvas_height * MIN_DRAWN_SHARE)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,6 +43,41 @@ class FixtureOcr:
         return [self.texts.get(n, "") for n in names]
 
 
+# Table marks that may repeat, and two ids that always may.
+CELL_MARKS, FREE_IDS = ("<td>", "</td>"), (128821, 128822)
+
+
+def free_tokens(encode: Callable[[str], list[int]]) -> set[int]:
+    """Ids that a repeat guard never bans: those of cell marks that are one token, and the fixed ones."""
+    found = set(FREE_IDS)
+    for mark in CELL_MARKS:
+        try:
+            ids = encode(mark)
+        except Exception:  # a tokenizer may not know the mark
+            continue
+        if len(ids) == 1:
+            found.add(int(ids[0]))
+    return found
+
+
+class RepeatGuard:
+    """Takes tokens that would repeat an n-gram of the trailing window out of a model's scores; `T.banned_tokens` is the same as a column."""
+
+    def __init__(self, n: int, window: int, free: set[int] | None = None):
+        self.n, self.window, self.free = n, window, free or set()
+
+    def banned(self, ids: list[int]) -> set[int]:
+        tail = list(ids)[-self.window :] if self.window else []
+        head = tuple(tail[len(tail) - self.n + 1 :])
+        grams = zip(*(tail[k:] for k in range(self.n)), strict=False)
+        return {g[-1] for g in grams if g[:-1] == head} - self.free if len(tail) >= self.n else set()
+
+    def __call__(self, ids: list[int], scores: np.ndarray) -> np.ndarray:
+        out = np.array(scores, dtype=float)
+        out[..., [k for k in self.banned(ids) if 0 <= k < out.shape[-1]]] = -np.inf
+        return out
+
+
 def recognized(images: DataFrame, backend: Callable[[], OcrBackend]) -> DataFrame:
     """`images` (name, image, ...) with `ocr_text` in place of the image; `backend` makes the model once a worker."""
     rest = [f for f in images.schema if f.name != "image"]

@@ -115,6 +115,35 @@ def drawn_box_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.regions(spark, sf_dir).where(big).select("id")
 
 
+@query(
+    with_views("regions")
+    + """, w AS (SELECT id, greatest(0, least(0.995::DOUBLE, least(x0 * 600, y1 * 300) / 640)) AS a, greatest(x0 * 600, y1 * 300) / 640 AS c, greatest(0, least(0.995::DOUBLE, least(y0 * 900, x1 * 100) / 1024)) AS b, greatest(y0 * 900, x1 * 100) / 1024 AS d FROM regions)
+SELECT id, a AS x0, b AS y0, least(greatest(c, a + 0.005::DOUBLE), 1) AS x1, least(greatest(d, b + 0.005::DOUBLE), 1) AS y1 FROM w"""
+)
+def drawn_box(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes between two points of a canvas."""
+    a, b = (F.col("x0") * 600, F.col("y0") * 900), (F.col("y1") * 300, F.col("x1") * 100)
+    return S.regions(spark, sf_dir).select("id", *_named(G.drawn(a, b, 640.0, 1024.0)))
+
+
+_EDIT = "(['x', 'y', 'w', 'h', 'none'])[(reading_order % 5 + 1)::INT]"
+
+
+@query(
+    with_views("regions")
+    + f""", e AS (SELECT id, x0, y0, x1, y1, {_EDIT} AS f, (x1 * 90 - 10)::DOUBLE AS v FROM regions), n AS (SELECT *, greatest(0, least(1, v / 100)) AS m, greatest(0.005::DOUBLE, least(1, v / 100)) AS z,
+  least(greatest(x1 - x0, 0.005::DOUBLE), 1) AS w, least(greatest(y1 - y0, 0.005::DOUBLE), 1) AS h, greatest(0, least(1, x0)) AS sx, greatest(0, least(1, y0)) AS sy FROM e),
+p AS (SELECT *, least(greatest(m, 0), 1 - w) AS mx, least(greatest(m, 0), 1 - h) AS my FROM n)
+SELECT id, f AS field, CASE WHEN f = 'x' THEN mx ELSE x0 END AS x0, CASE WHEN f = 'y' THEN my ELSE y0 END AS y0,
+ CASE WHEN f = 'x' THEN least(greatest(mx + w, mx + 0.005::DOUBLE), 1) WHEN f = 'w' THEN least(greatest(sx + z, sx + 0.005::DOUBLE), 1) ELSE x1 END AS x1,
+ CASE WHEN f = 'y' THEN least(greatest(my + h, my + 0.005::DOUBLE), 1) WHEN f = 'h' THEN least(greatest(sy + z, sy + 0.005::DOUBLE), 1) ELSE y1 END AS y1 FROM p"""
+)
+def edited_box(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes with one number typed anew."""
+    field = F.element_at(F.array(*map(F.lit, ("x", "y", "w", "h", "none"))), F.col("reading_order") % 5 + 1)
+    return S.regions(spark, sf_dir).select("id", field.alias("field"), *_named(G.edited(_box(), field, F.col("x1") * 90 - 10)))
+
+
 # Regions
 
 

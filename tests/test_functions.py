@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -14,7 +15,7 @@ from compare import DATA
 from quire.plans import catalogue
 from quire.functions import geometry as G
 from quire.functions import text as T
-from quire.operators import compiling, layout, markdown, translation
+from quire.operators import backends, compiling, layout, markdown, translation
 from quire.sources import tables as sources
 
 
@@ -221,6 +222,20 @@ def test_banned_tokens(spark):
     assert value(spark, T.banned_tokens(ids, 1, 2)) == [10, 11]
 
 
+def test_repeat_guard_follows_the_column(spark):
+    rng = np.random.default_rng(1)
+    runs = [[int(x) for x in rng.integers(0, 4, int(k))] for k in rng.integers(0, 30, 40)]
+    rows = spark.createDataFrame(list(enumerate(runs)), "i int, ids array<int>")
+    for n, window in ((1, 2), (2, 5), (3, 16), (3, 100)):
+        guard = backends.RepeatGuard(n, window, {2})
+        got = [r["b"] for r in rows.select("i", T.banned_tokens(F.col("ids"), n, window, [2]).alias("b")).orderBy("i").collect()]
+        assert got == [sorted(guard.banned(ids)) for ids in runs]
+    scores = backends.RepeatGuard(3, 16)([10, 11, 1, 10, 11], np.zeros((1, 4)))
+    assert np.isneginf(scores[0]).tolist() == [False, True, False, False]
+    codes = {"<td>": [5], "</td>": [6, 7]}
+    assert backends.free_tokens(codes.__getitem__) == {5, *backends.FREE_IDS} and backends.free_tokens({}.__getitem__) == set(backends.FREE_IDS)
+
+
 # Geometry
 
 
@@ -243,6 +258,15 @@ def test_boxes(spark):
     assert numbers(spark, G.snap(box(0.12345, 0.9999, 0.00049, 1.2))) == pytest.approx((0.0, 1.0, 0.123, 1.0))
 
 
+def test_typed_and_drawn_boxes(spark):
+    whole = box(0.2, 0.2, 0.6, 0.5)
+    assert numbers(spark, G.edited(whole, F.lit("x"), F.lit(90.0))) == pytest.approx((0.6, 0.2, 1.0, 0.5))
+    assert numbers(spark, G.edited(whole, F.lit("h"), F.lit(0.0))) == pytest.approx((0.2, 0.2, 0.6, 0.205))
+    assert numbers(spark, G.edited(whole, F.lit("w"), F.lit(float("nan")))) == pytest.approx((0.2, 0.2, 0.6, 0.5))
+    point = lambda x, y: (F.lit(float(x)), F.lit(float(y)))
+    assert numbers(spark, G.drawn(point(50, 10), point(10, 10), 100.0, 100.0)) == pytest.approx((0.1, 0.1, 0.5, 0.105))
+
+
 # Layout and documents
 
 
