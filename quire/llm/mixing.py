@@ -109,77 +109,72 @@ def with_posterior(docs: DataFrame, model: DomainModel, text: str = "text", n_to
     return rows.drop(words, odds)
 
 
-Steps = list[list[float]]
-
-
-def rate(steps: Steps, prefix: str = "p") -> Column:
-    """A document's rate after projected gradient steps from 1: each subtracts the posterior times the step's numbers, then cuts at 0."""
+def rate(moved: list[float], prefix: str = "p") -> Column:
+    """A document's rate: the projection on the nonnegative numbers of 1 less its posterior times what the gradient steps add up to."""
     now = F.lit(1.0)
-    for step in steps:
-        down = F.lit(0.0)
-        for d, x in enumerate(step):
-            down = down + F.col(f"{prefix}{d}") * F.lit(float(x))
-        now = F.greatest(F.lit(0.0), now - down)
-    return now
+    for d, x in enumerate(moved):
+        now = now - F.col(f"{prefix}{d}") * F.lit(float(x))
+    return F.greatest(F.lit(0.0), now)
 
 
-def fit_rates(rows: DataFrame, domains: list[str], weights: dict[str, float], anchor: str | None = None, n_tokens: str = "n_tokens", prefix: str = "p", passes: int = PASSES) -> Steps:
-    """The projected gradient steps that bring expected domain token totals to their targets.
+def fit_rates(rows: DataFrame, domains: list[str], weights: dict[str, float], anchor: str | None = None, n_tokens: str = "n_tokens", prefix: str = "p", passes: int = PASSES) -> list[float]:
+    """The sum of the projected gradient steps that bring expected domain token totals to their targets.
 
     `rows` has n_tokens (t) and p0, p1, ... (p); least squares minimises half the square of e = sum(rate t p) - target over nonnegative
-    rates, starting from 1 for every document. Distances between rates are weighed by tokens, so a document's gradient is p . e and a
-    projected step sets its rate to max(0, rate - p . v), v being the D numbers of a scaled e: the rates never need to be stored, as they
-    follow from a document's p and the v of each step. A pass is one distributed sum of e and of the D x D Gram matrix
-    G = sum(t p p') of the documents with positive rates. A step is scaled by the inverse of G first, which ends the error at
-    once if no rate is cut; while that doesn't bring the totals nearer it is halved, three times, and then scaled by the largest
-    eigenvalue alone, as plain projected gradient is, which always does. A lost executor costs one sum.
+    rates, starting from 1 for every document. Distances between rates are weighed by tokens, so a document's gradient is p . e.
+    Projected gradient in its lazy form adds up the steps and projects the sum: after steps v1, v2, ..., each a scaled e, a rate is
+    max(0, 1 - p . (v1 + v2 + ...)). So rates need not be stored, as they follow from a document's p and the D numbers of the sum, and of
+    all rates that meet the targets they tend to those nearest to 1: they have the form that this optimum has, the sum being its multipliers.
+    A pass is one distributed sum of e and of the D x D Gram matrix G = sum(t p p') of the documents with positive
+    rates. A step is scaled by the inverse of G, which ends the error at once if no rate begins or ceases to be cut; while that doesn't
+    bring the totals nearer it is halved, three times, and then scaled by the largest eigenvalue that G had at first. A lost executor costs one sum.
 
     Domains without a weight get 0; weights of domains that were not learnt are left out and the others scaled up. The targets
-    add up to the tokens there are, or to as many as leave the `anchor` domain its own total. Targets that no
-    nonnegative rates meet are met as nearly as can be.
+    add up to the tokens there are, or to as many as leave the `anchor` domain its own total. For targets that no
+    nonnegative rates meet, the nearest of `passes` passes is taken.
     """
     d = len(domains)
     share = np.array([max(0.0, weights.get(x, 0.0)) for x in domains])
     share = share / share.sum() if share.sum() > 0 else np.full(d, 1 / max(d, 1))
 
-    def sums(steps: Steps) -> tuple[np.ndarray, np.ndarray]:
+    def sums(moved: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         r, t, p = F.col("r"), F.col(n_tokens).cast("double"), [F.col(f"{prefix}{i}") for i in range(d)]
         totals = [F.sum(r * t * x) for x in p]
         gram = [F.sum(F.when(r > 0, t * p[i] * p[j]).otherwise(0.0)) for i in range(d) for j in range(i + 1)]
-        rated = rows.select(n_tokens, *p, rate(steps, prefix).alias("r"))
+        rated = rows.select(n_tokens, *p, rate(moved.tolist(), prefix).alias("r"))
         got = np.array([x or 0.0 for x in rated.agg(*(c.alias(f"c{k}") for k, c in enumerate([*totals, *gram]))).first()])
         matrix = np.zeros((d, d))
         matrix[np.tril_indices(d)] = got[d:]
         return got[:d], np.tril(matrix) + np.tril(matrix, -1).T
 
+    moved = best = np.zeros(d)
     if not d:
         return []
-    done: Steps = []
-    now, gram = sums(done)
+    now, gram = sums(moved)
     natural = now.sum()
     if not natural:
-        return []
+        return best.tolist()
     target = share * natural
     if anchor in domains and share[domains.index(anchor)] > 0:
         target = share * now[domains.index(anchor)] / share[domains.index(anchor)]
-    error, spent = float(np.linalg.norm(now - target)), 1
-    while spent < passes and error > TOLERANCE * natural:
+    error, spent, steepest = float(np.linalg.norm(now - target)), 1, float(np.linalg.eigvalsh(gram)[-1])
+    least = error
+    while spent < passes and least > TOLERANCE * natural:
         values, vectors = np.linalg.eigh(gram)
         keep = values > 1e-9 * values[-1]
         if not keep.any():  # every rate is 0
             break
         scaled = (vectors[:, keep] / values[keep]) @ (vectors[:, keep].T @ (now - target))
-        for v in (scaled, scaled / 2, scaled / 4, scaled / 8, (now - target) / values[-1]):
-            totals, matrix = sums([*done, v.tolist()])
+        for v in (scaled, scaled / 2, scaled / 4, scaled / 8, (now - target) / steepest):
+            totals, matrix = sums(moved + v)
             spent += 1
             off = float(np.linalg.norm(totals - target))
-            if off < 0.999 * error:
-                break
-        else:
-            if off >= error * (1 - 1e-6):  # as near as can be
+            if off < 0.999 * error or spent >= passes:
                 break
-        done, error, now, gram = [*done, v.tolist()], off, totals, matrix
-    return done
+        moved, now, gram, error = moved + v, totals, matrix, off
+        if error < least:
+            best, least = moved, error
+    return best.tolist()
 
 
 def copies(seed: int, key: Column, n_tokens: Column, rated: Column) -> Column:
@@ -188,8 +183,8 @@ def copies(seed: int, key: Column, n_tokens: Column, rated: Column) -> Column:
     return (F.floor(rated) + (chance < rated - F.floor(rated)).cast("long")).cast("int")
 
 
-def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], scratch: Scratch, key: str = "doc_id", anchor: str | None = None, seed: int = 8) -> tuple[DataFrame, DomainModel, Steps]:
-    """((key, n_tokens, p0.., rate, copies) a row, the model, the gradient steps).
+def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], scratch: Scratch, key: str = "doc_id", anchor: str | None = None, seed: int = 8) -> tuple[DataFrame, DomainModel, list[float]]:
+    """((key, n_tokens, p0.., rate, copies) a row, the model, the sum of the gradient steps).
 
     Each text is read once, wholly: its word count and posterior are written to the shared folder, and the
     rates are fitted on those few numbers. Null and empty texts have no tokens and the prior as posterior; null keys and
@@ -198,9 +193,9 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], scratch:
     """
     model = fit_domains(docs, labels, scratch)
     rows = scratch.save(with_posterior(docs.select(key, "text"), model).drop("text"), "posteriors")
-    steps = fit_rates(rows, model.domains, weights, anchor)
-    rated = rows.withColumn("rate", rate(steps))
-    return rated.withColumn("copies", copies(seed, F.col(key), F.col("n_tokens"), F.col("rate"))), model, steps
+    moved = fit_rates(rows, model.domains, weights, anchor)
+    rated = rows.withColumn("rate", rate(moved))
+    return rated.withColumn("copies", copies(seed, F.col(key), F.col("n_tokens"), F.col("rate"))), model, moved
 
 
 def by_quality_and_toxicity(labels: DataFrame) -> DataFrame:
@@ -213,7 +208,7 @@ def take(docs: DataFrame, labels: DataFrame, weights: dict[str, float], scratch:
     """`docs` resampled to the weights: each row as many times as its copies, with its columns as they are.
 
     Each text is scored once: the rows are written with their posteriors, of which the fit reads just those. Rates are rounded to hundredths, so
-    that a document the mixture leaves alone is taken exactly once. An empty table, or one without a labelled document, is returned as it is.
+    that a document the mixture leaves alone is taken once. An empty table, or one without a labelled document, is returned as it is.
     """
     model = fit_domains(docs, labels, scratch)
     if not model.domains:
@@ -223,8 +218,8 @@ def take(docs: DataFrame, labels: DataFrame, weights: dict[str, float], scratch:
     while any(c.lower().startswith(prefix) for c in docs.columns):
         prefix = "_" + prefix
     rows = scratch.save(with_posterior(docs.withColumnRenamed("text", texts), model, texts, n_tokens, prefix), "rows")
-    steps = fit_rates(rows, model.domains, weights, anchor, n_tokens, prefix)
-    rows = rows.withColumn(rated, F.round(rate(steps, prefix), 2))
+    moved = fit_rates(rows, model.domains, weights, anchor, n_tokens, prefix)
+    rows = rows.withColumn(rated, F.round(rate(moved, prefix), 2))
     rows = rows.withColumn(copy, copies(seed, F.col(key), F.col(n_tokens), F.col(rated))).where(F.col(copy) > 0)
     taken = rows.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copy))))
     return taken.withColumnRenamed(texts, "text").select(*docs.columns)
