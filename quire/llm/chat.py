@@ -143,7 +143,8 @@ def under_mask(formatted: Column, spans: Column) -> Column:
 
 
 def sequence_of_turns(rows: DataFrame, conversation: str = "conv_id") -> DataFrame:
-    """Flat conversations as reply trees: each turn answers the one before; equal turns go by role, then text."""
+    """Flat conversations as reply trees: each turn answers the one before; equal turns go by role, then text. The turns of one conversation
+    are sorted in one task, as they are one row of text in the end."""
     order = Window.partitionBy(conversation).orderBy("turn", "role", "text")
     numbered = rows.withColumn("node", F.row_number().over(order))
     parent = F.when(F.col("node") > 1, F.col("node") - 1)

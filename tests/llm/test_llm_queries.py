@@ -37,8 +37,8 @@ def test_sharding_query(spark):
 def test_quality_query(spark):
     got = queries.op5_quality_classifier(spark, DATA).toPandas()
     assert len(got) == len(table("documents")) and got["score"].between(0, 1).all()
-    merged = got.merge(table("labels"), on="doc_id")
-    assert (merged["predicted"] == merged["quality"]).mean() > 0.9
+    merged = got[got["held_out"]].merge(table("labels"), on="doc_id")
+    assert len(merged) > 20 and (merged["predicted"] == merged["quality"]).mean() > 0.95
 
 
 def test_mixing_query(spark):
@@ -47,7 +47,7 @@ def test_mixing_query(spark):
     totals = {d: (got["rate"] * got["n_tokens"] * got[f"p_{d}"]).sum() for d in queries.MIX_WEIGHTS if f"p_{d}" in got}
     want = {d: queries.MIX_WEIGHTS[d] for d in totals}
     for d, t in totals.items():
-        assert t / sum(totals.values()) == pytest.approx(want[d] / sum(want.values()), abs=0.02)
+        assert t / sum(totals.values()) == pytest.approx(want[d] / sum(want.values()), abs=1e-6)
 
 
 def test_language_model_query(spark):
