@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,11 +21,11 @@ STEP = np.uint64(0x9E3779B97F4A7C15)
 class Grams:
     """The distinct n-grams of a chunk of texts, and which of them ends at each token.
 
-    Every text is START, its words, END. `sorted[k]` holds the distinct hashes of the (k+1)-grams that end
+    Every text is START, its words, END. `sorted[k]` holds the distinct hashes, cut to their first `bits` bits, of the (k+1)-grams that end
     at a word or END within one text; `at[k][i]` is the place there of the one that ends at token i, -1 if none.
     """
 
-    def __init__(self, texts: list[str | None], order: int):
+    def __init__(self, texts: list[str | None], order: int, bits: int = 64):
         hashes = [word_hashes(t) for t in texts]
         lengths = np.array([len(t) for t in hashes], dtype=np.int64)
         self.ends = np.cumsum(lengths + 2)  # one past each text's END
@@ -44,7 +45,7 @@ class Grams:
                     longer[1:] = mix(grams[:-1] * STEP + h[1:])
                 grams = longer
             valid = depth >= max(k, 1)
-            distinct, place = np.unique(grams[valid], return_inverse=True)
+            distinct, place = np.unique(grams[valid] >> np.uint64(64 - bits), return_inverse=True)
             at = np.full(len(h), -1, dtype=np.int64)
             at[valid] = place
             self.sorted.append(distinct)
@@ -97,7 +98,7 @@ def score(
     are the add-half base probabilities, where one more, unknown word has its share.
 
     Counts never sit in one place. Texts are packed into chunks of about `chunk_bytes` in the shared folder.
-    Each chunk sends its distinct n-gram hashes (64 bits, sorted, packed as differences) with its counts to
+    Each chunk sends its distinct n-gram hashes (27 bits more than name a byte of the corpus, 64 at most; sorted, packed as differences) with its counts to
     ranges of the hash space, `fan` messages an order at most; ranges add the counts, through blocks of chunks if there are more than
     `fan` chunks, and answer each chunk with the corpus's counts of just its n-grams. So a word that is in every text costs one entry a chunk,
     and a chunk's automaton is held by the one worker that walks its texts. The driver gets two sums.
@@ -110,20 +111,20 @@ def score(
     size = text_bytes(rows, text)
     chunks = scratch.save(packed(rows, text, chunk_bytes), "chunks")
     senders = n_chunks(size, chunk_bytes)
-    more = range_bits(senders, fan)
+    bits, more = min(64, math.ceil(math.log2(size)) + 27), range_bits(senders, fan)
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for chunk, blob in zip(pdf["chunk"], pdf["packed"], strict=True):
                 found = opened(blob)
-                grams = Grams(found.column(text).to_pylist(), order)
+                grams = Grams(found.column(text).to_pylist(), order, bits)
                 counts = grams.counts(found.column(learn).to_numpy())
                 for k, (h, c) in enumerate(zip(grams.sorted, counts, strict=True)):
-                    yield pd.DataFrame(messages(k, chunk, h, c, 0, 0, more, 64), columns=["k", "part", "sender", "keys", "counts"])
+                    yield pd.DataFrame(messages(k, chunk, h, c, 0, 0, more, bits), columns=["k", "part", "sender", "keys", "counts"])
                 del grams, counts, found
                 trim()
 
-    answers = corpus_counts(chunks.mapInPandas(send, MESSAGE), senders, 64, scratch, "lm", fan)
+    answers = corpus_counts(chunks.mapInPandas(send, MESSAGE), senders, bits, scratch, "lm", fan)
     n_train, vocabulary = (x or 0 for x in answers.where("sender = -1 AND k = 0").agg(F.sum("n"), F.sum("v")).first())
     rest = [f for f in rows.schema if f.name not in (text, learn)]
 
@@ -132,7 +133,7 @@ def score(
         counted = counted.sort_values(["k", "part"])
         for blob in held["packed"]:
             found = opened(blob)
-            grams = Grams(found.column(text).to_pylist(), order)
+            grams = Grams(found.column(text).to_pylist(), order, bits)
             seen = []
             for k in range(order):
                 c = [spread(b) for b in counted["counts"][counted["k"] == k]]
