@@ -19,7 +19,7 @@ SPAN = 4096
 
 def _content(rows: DataFrame) -> list[Column]:
     """All columns in a form that can be hashed."""
-    return [F.to_json(F.struct(f.name)) if "map" in f.dataType.simpleString() or "variant" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in rows.schema]
+    return [F.to_json(F.struct(F.col(f"`{f.name}`"))) if "map" in f.dataType.simpleString() or "variant" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in rows.schema]
 
 
 def shard(df: DataFrame, n_shards: int = 16, text: str = "text", seed: int = 17, bucket_bytes: int = 8 << 20, scratch: Scratch | None = None) -> DataFrame:
